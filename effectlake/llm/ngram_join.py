@@ -219,33 +219,58 @@ def _across(rows: DataFrame, scratch: str) -> DataFrame:
     return stored(rows.join(stored(several, f"{scratch}/several").hint("merge"), "h"), f"{scratch}/across")
 
 
+def _signatures(tokens: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """Hashes of pairs of tokens that fall into one of G groups, for powers of two G.
+
+    A pair of documents shares as many of either's tokens as may not be missing
+    from a fifth of its set; G stays below that number for one of the two, and
+    the other, which holds all that they share, uses that G too."""
+    must = max(2, len(tokens) - n // 5)
+    groups = 1 << ((must - 1).bit_length() - 1)
+    while groups < max(2, len(tokens)):
+        order = np.argsort(tokens % groups, kind="stable")
+        place, t = (tokens % groups)[order], tokens[order].astype(np.uint64)
+        edges = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1], [True])))
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            for k in range(lo, hi - 1):
+                yield mix(t[k] * _TURN[1] + t[k + 1 : hi] * _TURN[2] + np.uint64(groups)).view(np.int64)
+        groups *= 2
+    if len(tokens) - n // 5 < 2:
+        yield tokens
+
+
 def _combinations(z: DataFrame, scratch: str) -> DataFrame:
-    """z: h, rep, n, comp.  Candidate pairs of different components from pairs of tokens."""
+    """z: h, rep, n, comp, r.  Candidate pairs x < y of different components from pairs of tokens.
+
+    r counts the tokens that no other component's document shares, or few do; a
+    partner from which more than r tokens may not be missing is none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                t = np.sort(np.array(r["tokens"], np.int64))
-                # A partner shares at least so many of these tokens: n / 5 of all may be missing.
-                must = len(t) - r["n"] // 5
-                top = 1 << max(0, (max(must, 2) - 1).bit_length() - 1)
-                groups, keys = 1, []
-                while groups <= top:
-                    place = t % groups
-                    for g in range(groups):
-                        own = t[place == g].astype(np.uint64)
-                        i, j = np.triu_indices(len(own), 1)
-                        keys.append(mix(own[i] * _TURN[1] + own[j] * _TURN[2] + np.uint64(groups)).view(np.int64))
-                    groups *= 2
-                if must < 2:
-                    keys.append(t)
-                h = np.unique(np.concatenate(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(h), *[pa.array([r[c]] * len(h), pa.int64()) for c in ("rep", "n", "comp")]], ["h", "rep", "n", "comp"])
-
-    docs = z.groupBy("rep", "n", "comp").agg(F.collect_set("h").alias("tokens"))
-    # A pair must share two tokens at least, or one where a document has just one to share.
-    signed = docs.mapInArrow(run, "h long, rep long, n long, comp long")
-    return _pairs(_across(signed, scratch), [])
+            for d in batch.to_pylist():
+                held, size = [], 0
+
+                def out(h: list[np.ndarray], d: dict = d) -> pa.RecordBatch:
+                    keys = np.concatenate(h)
+                    return pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(np.full(len(keys), d[c], np.int64)) for c in ("rep", "n", "comp", "r")]], ["h", "rep", "n", "comp", "r"])
+
+                for h in _signatures(np.sort(np.array(d["tokens"], np.int64)), d["n"]):
+                    held.append(h)
+                    size += len(h)
+                    if size > 100_000:
+                        yield out(held)
+                        held, size = [], 0
+                if held:
+                    yield out(held)
+
+    docs = z.groupBy("rep", "n", "comp", "r").agg(F.collect_set("h").alias("tokens"))
+    signed = docs.mapInArrow(run, "h long, rep long, n long, comp long, r long")
+    signed = _across(signed, scratch)
+    side = lambda s: signed.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "comp", "r")])
+    o = _needed(F.col("n_x"), F.col("n_y"))
+    fits = F.expr("rep_x < rep_y AND comp_x <> comp_y AND 5 * least(n_x, n_y) >= 4 * greatest(n_x, n_y)") & (F.col("r_x") <= F.col("n_x") - o) & (F.col("r_y") <= F.col("n_y") - o)
+    x, y = side("x"), side("y").withColumnRenamed("h", "h_")
+    return x.join(y, (F.col("h") == F.col("h_")) & fits).select(F.col("rep_x").alias("x"), F.col("rep_y").alias("y")).distinct()
 
 
 def links(docs: DataFrame, reps: DataFrame, scratch: str) -> DataFrame:
@@ -269,8 +294,9 @@ def links(docs: DataFrame, reps: DataFrame, scratch: str) -> DataFrame:
     often = stored(across.where(F.col("c") > RARE).groupBy("rep", "n", "comp").agg(F.count(F.lit(1)).alias("f")), f"{scratch}/often2")
     rare = across.where(F.col("c") <= RARE).join(often.select("rep", "f"), "rep", "left").select("h", "rep", "n", "comp", F.coalesce("f", F.lit(0)).alias("f"))
     second = _pairs(rare, ["f"]).where(F.col("k") >= F.greatest(F.lit(1), o - F.least("f_x", "f_y"))).select("x", "y")
-    only = often.where(F.col("n") - F.col("f") <= F.floor(F.col("n") / 5)).select(F.col("rep").alias("id_"))
-    z = stored(_ids_only(across.where(F.col("c") > RARE), "rep", only, "left_semi").select("h", "rep", "n", "comp"), f"{scratch}/z")
+    only = often.where(F.col("n") - F.col("f") <= F.floor(F.col("n") / 5)).select(F.col("rep").alias("id_"), (F.col("n") - F.col("f")).alias("r"))
+    z = across.where(F.col("c") > RARE).join(only, F.col("rep") == F.col("id_")).select("h", "rep", "n", "comp", "r")
+    z = stored(z, f"{scratch}/z")
     third = _combinations(_across(z, f"{scratch}/z2"), f"{scratch}/z3").select("x", "y")
     return found.unionByName(verify(stored(second.unionByName(third), f"{scratch}/second"), whole))
 
