@@ -18,8 +18,9 @@ of the first at most a - o are missing from the second.
    rare tokens are signatures again.
 3. Combinations.  What is left are documents of next to nothing but frequent
    tokens, in different components.  Their frequent tokens are dealt into groups
-   by hash, fewer groups than tokens that a pair must share, so that a pair shares
-   two tokens of one group: pairs of tokens within a group are the signatures.
+   by hash, more groups than tokens that may differ, so that a linked pair has the
+   same tokens in one group: the combination of a group's tokens, about three of
+   them, is a signature.
 
 Each candidate pair is verified on the whole sets.  Rows of a signature that a
 single component holds are dropped before any join.
@@ -195,12 +196,13 @@ def verify(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     return pairs.select("x", "y").distinct().join(one.hint("merge"), "x").join(two.hint("merge"), "y").select("x", "y", "p", "q").mapInArrow(run, "x long, y long")
 
 
-def _hub_pairs(shared: DataFrame, scratch: str, hubs: int = 2) -> DataFrame:
+def _hub_pairs(shared: DataFrame, scratch: str, hubs: int = 3) -> DataFrame:
     """Each document with the central documents that share most of its tokens: x < y.
 
-    The centre of a token is the holder whose tokens are the commonest; a pair
-    that differs too much to link costs one verification."""
-    central = stored(shared.groupBy("rep").agg(F.sum("c").alias("s")), f"{scratch}/central")
+    The centre of a token is the holder whose tokens are the commonest, by the
+    mean of log c over its whole set, so that one very common passage doesn't make
+    a centre.  A pair that differs too much to link costs one verification."""
+    central = stored(shared.groupBy("rep", "n").agg(F.sum(F.log("c")).alias("s")).select("rep", (F.col("s") / F.col("n")).alias("s")), f"{scratch}/central")
     ranked = shared.join(central, "rep").groupBy("h").agg(F.max(F.struct("s", -F.col("rep"))).alias("m"))
     best = stored(ranked.select("h", (-F.col("m.col2")).alias("hub")), f"{scratch}/hubs")
     met = shared.join(best.hint("merge"), "h").where("rep <> hub").groupBy("rep", "n", "hub").agg(F.count(F.lit(1)).alias("k"))
@@ -219,28 +221,31 @@ def _across(rows: DataFrame, scratch: str) -> DataFrame:
     return stored(rows.join(stored(several, f"{scratch}/several").hint("merge"), "h"), f"{scratch}/across")
 
 
-def _signatures(tokens: np.ndarray, n: int) -> Iterator[np.ndarray]:
-    """Hashes of pairs of tokens that fall into one of G groups, for powers of two G.
+def _signatures(tokens: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the combinations of a document's frequent tokens.
 
-    A pair of documents shares as many of either's tokens as may not be missing
-    from a fifth of its set; G stays below that number for one of the two, and
-    the other, which holds all that they share, uses that G too."""
-    must = max(2, len(tokens) - n // 5)
-    groups = 1 << ((must - 1).bit_length() - 1)
-    while groups < max(2, len(tokens)):
+    Sizes fall into classes of ratio 1.25, and partners differ by one class at
+    most; each class deals tokens into more groups by hash than tokens by which
+    a pair of its sizes may differ.  So one group at least holds the same tokens,
+    and some, in both documents of a pair: the combination of all tokens of a
+    group is a signature.  A document serves its own class and the next."""
+    out = []
+    first = int(np.floor(np.log(n) / np.log(1.25) + 1e-9))
+    for j in (first, first + 1):
+        largest = 1.25 ** (j + 1)
+        groups = int(np.ceil(0.3 * largest)) + 3
         order = np.argsort(tokens % groups, kind="stable")
-        place, t = (tokens % groups)[order], tokens[order].astype(np.uint64)
-        edges = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1], [True])))
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            for k in range(lo, hi - 1):
-                yield mix(t[k] * _TURN[1] + t[k + 1 : hi] * _TURN[2] + np.uint64(groups)).view(np.int64)
-        groups *= 2
-    if len(tokens) - n // 5 < 2:
-        yield tokens
+        place = (tokens % groups)[order]
+        edge = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        held = np.add.reduceat(mix(tokens[order].astype(np.uint64)), edge)
+        out.append(mix(held + np.uint64(j) * _TURN[1] + place[edge].astype(np.uint64) * _TURN[2]).view(np.int64))
+        if len(edge) <= 2 * largest / 9:  # too many empty groups
+            out.append(tokens)
+    return np.concatenate(out)
 
 
 def _combinations(z: DataFrame, scratch: str) -> DataFrame:
-    """z: h, rep, n, comp, r.  Candidate pairs x < y of different components from pairs of tokens.
+    """z: h, rep, n, comp, r.  Candidate pairs x < y of different components from combinations of tokens.
 
     r counts the tokens that no other component's document shares, or few do; a
     partner from which more than r tokens may not be missing is none."""
@@ -248,22 +253,11 @@ def _combinations(z: DataFrame, scratch: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for d in batch.to_pylist():
-                held, size = [], 0
-
-                def out(h: list[np.ndarray], d: dict = d) -> pa.RecordBatch:
-                    keys = np.concatenate(h)
-                    return pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(np.full(len(keys), d[c], np.int64)) for c in ("rep", "n", "comp", "r")]], ["h", "rep", "n", "comp", "r"])
-
-                for h in _signatures(np.sort(np.array(d["tokens"], np.int64)), d["n"]):
-                    held.append(h)
-                    size += len(h)
-                    if size > 100_000:
-                        yield out(held)
-                        held, size = [], 0
-                if held:
-                    yield out(held)
-
-    docs = z.groupBy("rep", "n", "comp", "r").agg(F.collect_set("h").alias("tokens"))
+                h = _signatures(np.sort(np.array(d["tokens"], np.int64)), d["n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), *[pa.array(np.full(len(h), d[c], np.int64)) for c in ("rep", "n", "comp", "r")]], ["h", "rep", "n", "comp", "r"])
+
+    # Pairs without a common rare token share frequent ones only, four fifths of either's set at least.
+    docs = z.groupBy("rep", "n", "comp", "r").agg(F.collect_set("h").alias("tokens")).where(F.size("tokens") >= F.ceil(F.col("n") * 4 / 5))
     signed = docs.mapInArrow(run, "h long, rep long, n long, comp long, r long")
     signed = _across(signed, scratch)
     side = lambda s: signed.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "comp", "r")])
