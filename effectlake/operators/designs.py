@@ -1,0 +1,224 @@
+"""Instrumental variables, discontinuities, matching, double machine learning, dependence and sensitivity."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .moments import cross_products, grouped, solve, square
+
+
+def _d(c: str) -> Column:
+    return F.col(c).cast("double")
+
+
+def tsls(df: DataFrame, y: str, d: str, zs: Sequence[str], xs: Sequence[str] = ()) -> DataFrame:
+    """Two-stage least squares from one pass of cross-products: estimate, se (homoskedastic, second-stage residuals), first-stage F of the instruments."""
+    cols = [F.lit(1.0), *map(_d, xs), *map(_d, zs), _d(d), _d(y)]
+    row = cross_products(df, cols).first()
+    n, k, p, q = row["n"], len(cols), 1 + len(xs), len(zs)
+    m = square(row["xx"], k)
+    w = np.linalg.pinv(m[: p + q, : p + q])
+    pi = w @ m[: p + q, p + q]
+    rss = m[p + q, p + q] - pi @ m[: p + q, p + q]
+    small = np.linalg.pinv(m[:p, :p]) @ m[:p, p + q]
+    rss0 = m[p + q, p + q] - small @ m[:p, p + q]
+    exog = [*range(p), p + q]  # second-stage regressors: controls and fitted d
+    a = m[np.ix_(range(p + q), exog)]
+    bread = np.linalg.pinv(a.T @ w @ a)
+    beta = bread @ a.T @ w @ m[: p + q, -1]
+    fitted = w @ a
+    ss = m[-1, -1] - 2 * beta @ fitted.T @ m[: p + q, -1] + beta @ fitted.T @ m[: p + q, : p + q] @ fitted @ beta
+    se = float(np.sqrt(ss / (n - len(exog)) * bread[-1, -1]))
+    f = float((rss0 - rss) / q / (rss / (n - p - q)))
+    return df.sparkSession.createDataFrame([(float(beta[-1]), se, f, n)], "estimate double, se double, first_stage_f double, n long")
+
+
+def sharp_rdd(df: DataFrame, y: str, x: str, cutoff: float, bandwidth: float, by: Sequence[str] = ()) -> DataFrame:
+    """K4: local linear regression on each side with a triangular kernel; the jump at the cutoff.
+
+    Weighted sums per side and segment are all that leaves the tasks."""
+    r = _d(x) - cutoff
+    rows = df.select(*by, (r >= 0).cast("int").alias("side"), r.alias("r"), _d(y).alias("y"), (1 - F.abs(r) / bandwidth).alias("k")).where("k > 0")
+    sums = rows.groupBy(*by, "side").agg(
+        F.sum("k").alias("s0"), F.sum(F.col("k") * F.col("r")).alias("s1"), F.sum(F.col("k") * F.col("r") ** 2).alias("s2"),
+        F.sum(F.col("k") * F.col("y")).alias("t0"), F.sum(F.col("k") * F.col("r") * F.col("y")).alias("t1"), F.count(F.lit(1)).alias("n"),
+    )
+    at = (F.col("s2") * F.col("t0") - F.col("s1") * F.col("t1")) / (F.col("s0") * F.col("s2") - F.col("s1") ** 2)
+    side = lambda c, s: F.max(F.when(F.col("side") == s, c))
+    return grouped(sums, by, (side(at, 1) - side(at, 0)).alias("estimate"), side(F.col("n"), 0).alias("n_left"), side(F.col("n"), 1).alias("n_right"))
+
+
+def histogram(df: DataFrame, x: str, cutoff: float, width: float) -> DataFrame:
+    """K6 and B1: counts by bin of ``width`` from the cutoff; the fits need nothing else."""
+    return df.groupBy(F.floor((_d(x) - cutoff) / width).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def bunching(df: DataFrame, x: str, threshold: float, width: float, window: int, degree: int = 7) -> DataFrame:
+    """Excess mass at a threshold over a polynomial fitted to the bins outside the window; bins are few and their counts come to the driver."""
+    rows = sorted(histogram(df, x, threshold, width).where(F.col("bin").between(-200, 199)).collect())
+    b, n = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
+    out = (b < -window) | (b >= window)
+    degree = min(degree, max(0, int(out.sum()) - 1))
+    fit = np.polynomial.Polynomial.fit(b[out], n[out], degree)
+    cf = np.maximum(fit(b), 0)
+    excess = float((n[~out] - cf[~out]).sum())
+    height = float(cf[~out].mean()) if (~out).any() else float("nan")
+    return df.sparkSession.createDataFrame([(excess, height, excess / height if height else float("nan"), len(rows))], "excess double, height double, mass double, bins long")
+
+
+def nearest_match(df: DataFrame, key: str, t: str, score: str, caliper: float) -> DataFrame:
+    """For each treated row the control with the nearest score within the caliper (with replacement; of two as near, the lower score, then the smaller id).
+
+    Scores are cut into buckets of a caliper's width, and a control is copied to
+    the neighbouring buckets.  Within a bucket controls of one score are first
+    reduced to the smallest id, and an ordered window finds the ones on either
+    side, so nothing is ever paired with everything."""
+    own = df.select(F.col(key).alias("id"), F.col(t).cast("int").alias("t"), _d(score).alias("s")).where(F.col("s").isNotNull())
+    bucket = F.floor(F.col("s") / caliper)
+    controls = own.where("t = 0").groupBy("s").agg(F.min("id").alias("c")).select("s", "c", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("b"))
+    both = own.where("t = 1").select("id", "s", bucket.alias("b"), F.lit(None).cast("long").alias("c")).unionByName(controls.select(F.lit(None).cast("long").alias("id"), "s", "b", "c"))
+    up = Window.partitionBy("b").orderBy("s", F.col("c").asc_nulls_last())
+    down = Window.partitionBy("b").orderBy(F.col("s").desc(), F.col("c").asc_nulls_last())
+    near = F.struct(F.col("s").alias("s"), F.col("c").alias("c"))
+    seen = F.when(F.col("c").isNotNull(), near)
+    found = both.select("id", "s", F.last(seen, ignorenulls=True).over(up).alias("lo"), F.last(seen, ignorenulls=True).over(down).alias("hi")).where("id IS NOT NULL")
+    d_lo, d_hi = F.col("s") - F.col("lo.s"), F.col("hi.s") - F.col("s")
+    first = F.coalesce(d_lo, F.lit(float("inf"))) <= F.coalesce(d_hi, F.lit(float("inf")))
+    best = F.when(first, F.col("lo")).otherwise(F.col("hi"))
+    return found.select(F.col("id").alias("treated_id"), best["c"].alias("control_id"), F.abs(F.col("s") - best["s"]).alias("distance")).where(F.col("distance") <= caliper)
+
+
+def double_ml(df: DataFrame, y: str, t: str, xs: Sequence[str], key: str, folds: int = 5) -> DataFrame:
+    """Cross-fitted partialling out with linear learners.
+
+    Folds come from a hash of the key.  One pass gives each fold's cross-products;
+    a fold's training sums are the total less its own, so K fits cost one scan.
+    The second pass sums residual products."""
+    fold = F.pmod(F.xxhash64(F.col(key)), F.lit(folds)).cast("int")
+    rows = df.select(fold.alias("fold"), *[_d(x).alias(f"x{i}") for i, x in enumerate(xs)], _d(t).alias("t"), _d(y).alias("y"))
+    x = [F.lit(1.0), *[F.col(f"x{i}") for i in range(len(xs))]]
+    k = len(x) + 2
+    sums = {r["fold"]: square(r["xx"], k) for r in cross_products(rows, [*x, F.col("t"), F.col("y")], ["fold"]).collect()}
+    total = sum(sums.values())
+    fits = {}
+    for f, own in sums.items():
+        m = total - own
+        inverse = np.linalg.pinv(m[: k - 2, : k - 2])
+        fits[f] = (inverse @ m[: k - 2, k - 2], inverse @ m[: k - 2, k - 1])
+
+    def residual(c: str, which: int) -> Column:
+        out = F.lit(None).cast("double")
+        for f, fit in fits.items():
+            e = F.col(c) - sum((float(b) * col for b, col in zip(fit[which], x, strict=True)), F.lit(0.0))
+            out = F.when(F.col("fold") == f, e).otherwise(out)
+        return out
+
+    r = rows.select(residual("t", 0).alias("rt"), residual("y", 1).alias("ry"))
+    m = r.agg(F.sum(F.col("rt") * F.col("ry")).alias("ty"), F.sum(F.col("rt") ** 2).alias("tt"), F.count(F.lit(1)).alias("n"))
+    theta = m.select((F.col("ty") / F.col("tt")).alias("theta"), "tt", "n").first()
+    psi = F.col("rt") * (F.col("ry") - theta["theta"] * F.col("rt"))
+    return r.agg(F.lit(theta["theta"]).alias("estimate"), (F.sqrt(F.sum(psi**2)) / theta["tt"]).alias("se"), F.count(F.lit(1)).alias("n"))
+
+
+def partial_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Correlation of each pair of columns given all others, from one pass; a row per pair of columns."""
+    row = cross_products(df.dropna(subset=list(columns)), [F.lit(1.0), *map(_d, columns)]).first()
+    m = square(row["xx"], len(columns) + 1)
+    cov = m[1:, 1:] - np.outer(m[0, 1:], m[0, 1:]) / row["n"]
+    p = np.linalg.pinv(cov)
+    out = [(columns[i], columns[j], float(cov[i, j] / np.sqrt(cov[i, i] * cov[j, j])), float(-p[i, j] / np.sqrt(p[i, i] * p[j, j]))) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    return df.sparkSession.createDataFrame(out, "a string, b string, correlation double, partial double")
+
+
+def g_squared(df: DataFrame, a: str, b: str, given: str) -> DataFrame:
+    """The G statistic of a and b within strata of ``given``, and its degrees of freedom: counts, then margins of counts."""
+    n = df.groupBy(a, b, given).agg(F.count(F.lit(1)).alias("n"))
+    s = lambda *k: F.sum("n").over(Window.partitionBy(*k))
+    e = n.select(given, "n", s(given, a).alias("na"), s(given, b).alias("nb"), s(given).alias("ns"), a, b)
+    g = e.groupBy(given).agg(F.sum(2 * F.col("n") * F.log(F.col("n") * F.col("ns") / (F.col("na") * F.col("nb")))).alias("g"), ((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).alias("df"))
+    return g.agg(F.sum("g").alias("g"), F.sum("df").alias("df"))
+
+
+def baron_kenny(df: DataFrame, y: str, t: str, m: str) -> DataFrame:
+    """Direct and indirect effect from two regressions that share one pass of cross-products, with Sobel's error."""
+    row = cross_products(df, [F.lit(1.0), _d(t), _d(m), _d(y)]).first()
+    q, n = square(row["xx"], 4), row["n"]
+    tri = lambda k: q[np.ix_(k, k)][np.triu_indices(len(k))]
+    a, ai, ra = solve(tri([0, 1, 2]), 3)
+    b, bi, rb = solve(tri([0, 1, 2, 3]), 4)
+    va, vb = ra / (n - 2) * ai[1, 1], rb / (n - 3) * bi[2, 2]
+    return df.sparkSession.createDataFrame([(float(b[1]), float(a[1] * b[2]), float(np.sqrt(a[1] ** 2 * vb + b[2] ** 2 * va)), n)], "direct double, indirect double, se_indirect double, n long")
+
+
+def signed_ranks(df: DataFrame, difference: Column, step: float = 0.0) -> DataFrame:
+    """The sums that every Rosenbaum bound needs: number of non-zero pairs, T+, sum of ranks and of squared ranks, ties at their mean rank.
+
+    Ranks are running counts over the distinct absolute differences, after those are counted; ``step`` rounds differences, if above 0."""
+    d = F.round(difference / step) * step if step else difference
+    v = df.select(d.alias("d")).where("d <> 0").groupBy(F.abs("d").alias("a")).agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("d") > 0).alias("up"))
+    before = F.coalesce(F.sum("k").over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    r = v.select("k", "up", (before + (F.col("k") + 1) / 2).alias("r"))
+    return r.agg(F.sum("k").alias("n"), F.sum(F.col("up") * F.col("r")).alias("t_plus"), F.sum(F.col("k") * F.col("r")).alias("sum_r"), F.sum(F.col("k") * F.col("r") ** 2).alias("sum_rr"))
+
+
+def rosenbaum_bounds(sums: DataFrame, gammas: Sequence[float]) -> DataFrame:
+    """Normal deviates of T+ at the most and least favourable assignment for each Gamma, from the row of signed_ranks."""
+    g = F.explode(F.lit(list(gammas))).alias("gamma")
+    s = sums.select("*", g)
+    hi, lo = F.col("gamma") / (1 + F.col("gamma")), 1 / (1 + F.col("gamma"))
+    z = lambda p: (F.col("t_plus") - p * F.col("sum_r")) / F.sqrt(p * (1 - p) * F.col("sum_rr"))
+    return s.select("gamma", z(hi).alias("z_lower"), z(lo).alias("z_upper"))
+
+
+def e_values(df: DataFrame, estimate: str) -> DataFrame:
+    """The E-value of a risk ratio in each row of a table of estimates."""
+    rr = F.when(F.col(estimate) < 1, 1 / F.col(estimate)).otherwise(F.col(estimate))
+    return df.withColumn("e_value", rr + F.sqrt(rr * (rr - 1)))
+
+
+def bootstrap_means(df: DataFrame, y: str, t: str, key: str, replicates: int, seed: int = 0) -> DataFrame:
+    """BOOT: a difference in means per replicate with Poisson(1) weights from a hash of key and replicate.
+
+    Rows are multiplied only on their way into the partial sums: a task passes on
+    one row per replicate and arm."""
+    each = df.select(F.col(key).alias("key"), F.col(t).alias("t"), _d(y).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    u = each.select("t", "y", "replicate", (F.pmod(F.xxhash64("key", F.lit(seed), "replicate"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("u"))
+    w = u.select("t", "y", "replicate", sum((F.when(F.col("u") >= c, 1).otherwise(0) for c in _POISSON), F.lit(0)).alias("w"))
+    mean = lambda a: F.sum(F.when(F.col("t") == a, F.col("w") * F.col("y"))) / F.sum(F.when(F.col("t") == a, F.col("w")))
+    return w.groupBy("replicate").agg((mean(1) - mean(0)).alias("estimate"))
+
+
+#: Cumulative probabilities of the Poisson distribution of mean 1, from 0 on.
+_POISSON = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720)]).tolist()
+
+
+def synthetic_weights(gram: np.ndarray, cross: np.ndarray, rounds: int = 5_000) -> np.ndarray:
+    """Weights on the simplex that minimise w'Gw - 2 c'w, by mirror descent."""
+    w = np.full(len(cross), 1 / len(cross))
+    step = 1 / (np.abs(gram).max() + 1e-12)
+    for _ in range(rounds):
+        g = 2 * (gram @ w - cross)
+        w = w * np.exp(-step * (g - g.min()))
+        w /= w.sum()
+    return w
+
+
+def synthetic_control(df: DataFrame, unit: str, period: str, y: str, treated: object, first: object) -> DataFrame:
+    """A row per period: the treated unit's outcome, its synthetic path and the gap.
+
+    df has a row per unit and period.  The donors' Gram matrix over the periods
+    before treatment is donors x donors, whatever the number of periods."""
+    own = df.select(F.col(unit).alias("u"), F.col(period).alias("p"), _d(y).alias("y"))
+    units = [r[0] for r in own.where(F.col("p") < first).groupBy("u").count().orderBy("u").collect()]
+    donors = [u for u in units if u != treated]
+    wide = own.where(F.col("p") < first).groupBy("p").pivot("u", units).agg(F.first("y")).na.drop()
+    g = square(cross_products(wide, [F.col(f"`{u}`") for u in [*donors, treated]]).first()["xx"], len(units))
+    w = synthetic_weights(g[:-1, :-1], g[:-1, -1])
+    weights = df.sparkSession.createDataFrame([(u, float(x)) for u, x in zip(donors, w, strict=True)], "u_ " + own.schema["u"].dataType.simpleString() + ", w double")
+    paths = own.join(F.broadcast(weights), F.col("u") == F.col("u_"), "left").groupBy("p")
+    out = paths.agg(F.max(F.when(F.col("u") == treated, F.col("y"))).alias("treated"), F.sum(F.col("w") * F.col("y")).alias("synthetic"))
+    return out.select(F.col("p").alias("period"), "treated", "synthetic", (F.col("treated") - F.col("synthetic")).alias("gap"), (F.col("p") >= first).alias("post"))

@@ -1,0 +1,14 @@
+"""Running moments of a stream: the same aggregate as in batch, kept as state per segment and arm."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def arm_moments(stream: DataFrame, y: str, t: str, by: Sequence[str] = ()) -> DataFrame:
+    """by..., t, n, mean, variance: a row per segment and arm, in complete or update mode."""
+    v = F.col(y).cast("double")
+    return stream.groupBy(*by, F.col(t).alias("t")).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_samp(v).alias("variance"))
