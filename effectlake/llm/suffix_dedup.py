@@ -36,7 +36,7 @@ LENGTH, GRAM = 200, 32
 #: Batches that a set of documents is taken in.
 BATCHES = 4
 #: Strings with more contexts than this are compared by a shuffle of window hashes, not in one task.
-CONTEXTS = 1_000
+CONTEXTS = 20_000
 BROADCAST_IDS = 4_000_000
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 ANCHOR = "doc_id long, tk int, at int, lo int, hi int, g long, ctx long"
