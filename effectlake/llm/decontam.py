@@ -3,9 +3,9 @@
 The benchmark's word windows become a table of distinct n-grams.  Its size is
 measured; up to ``max_bytes`` it is broadcast as a hash set, beyond that the same
 join runs as a shuffle.  Documents are exploded into their own windows, and
-since the key of the join is the whole n-gram, each hit of the hash is verified
-word by word by the join itself.  Only hits are grouped, so a row per document
-and a row per hit window are all that is shuffled.
+the hashes of the windows meet the set first.  The few documents with a hit are
+verified: their windows meet the n-grams themselves, word by word.  Only hits are
+grouped, so a row per document and a row per hit window are all that is shuffled.
 """
 
 from __future__ import annotations
@@ -13,13 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, stored, work_dir
 
 #: Words of the lower-cased text: digits, a-z and all beyond ASCII.
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PIECES = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A benchmark with more bytes of n-grams than this isn't broadcast.
 MAX_BYTES = 64 << 20
+#: More suspected documents than this aren't broadcast.
+BROADCAST_IDS = 4_000_000
 
 
 def words(text: Column) -> Column:
@@ -51,6 +53,27 @@ def _covered(hits: Column) -> Column:
     return F.aggregate(F.array_sort(hits), start, step, lambda s: s["n"])
 
 
+def _copy_key() -> Column:
+    return F.md5(F.coalesce(F.col("text"), F.lit("\x00")).cast("binary"))
+
+
+def _hashes(ws: Column, k: int) -> Column:
+    """A hash for each window of k words."""
+    return F.transform(F.sequence(F.lit(1), F.size(ws) - (k - 1)), lambda i: F.xxhash64(F.slice(ws, i, k)))
+
+
+def _suspects(own: DataFrame, grams: DataFrame, lengths: list[int], broadcast: bool) -> DataFrame | None:
+    """id_, key_ of documents with a window whose hash is in the set: 8 bytes a window pass through the join, not its words."""
+    found = None
+    keys = grams.select("k", F.xxhash64(F.split("gram", " ")).alias("h")).distinct()
+    for k in lengths:
+        hashed = own.where(F.size("ws") >= k).select("doc_id", "copy_key", F.explode(_hashes(F.col("ws"), k)).alias("h"))
+        known = keys.where(F.col("k") == k).select("h")
+        hit = hashed.join(F.broadcast(known) if broadcast else known, "h", "left_semi").select(F.col("doc_id").alias("id_"), F.col("copy_key").alias("key_"))
+        found = hit if found is None else found.unionByName(hit)
+    return found if found is None else stored(found.distinct(), f"{work_dir(own.sparkSession)}/suspects")
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_bytes: int = MAX_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, copy_key, n_words, hits (array of at, k), n_hit, items.
 
@@ -71,6 +94,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_bytes: int = MA
     keyed = grams.select("gram", "k", "items")
     keyed = F.broadcast(keyed) if size <= max_bytes else keyed
     found = None
+    suspects = _suspects(own, grams, lengths, size <= max_bytes)
+    if suspects is not None:
+        few = suspects.count() <= BROADCAST_IDS
+        same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("copy_key") == F.col("key_"))
+        own = docs.select("doc_id", _copy_key().alias("copy_key"), "text").join(F.broadcast(suspects) if few else suspects, same, "left_semi")
+        own = own.select("doc_id", "copy_key", words(F.col("text")).alias("ws"))
     for k in lengths:
         windows = own.where(F.size("ws") >= k).select("doc_id", "copy_key", F.explode(_grams(F.col("ws"), k, F.size("ws"))).alias("w"))
         windows = windows.select("doc_id", "copy_key", F.col("w.at").alias("at"), F.col("w.gram").alias("gram"))
