@@ -17,6 +17,7 @@ retried task leaves no second copy, and any store that Spark reaches will do.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -99,6 +100,12 @@ class Encoder:
         return [f + b"".join(map(known.__getitem__, c)) for f, c in zip(self._encode_many(firsts), cut, strict=True)]
 
 
+@functools.cache
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks that a worker process runs, so what it remembers serves them all."""
+    return Encoder(path)
+
+
 def to_planes(ids: np.ndarray, packer: zstandard.ZstdCompressor) -> list[bytes]:
     return [packer.compress(np.ascontiguousarray(p).tobytes()) for p in ids.astype("<u4").view(np.uint8).reshape(-1, 4).T]
 
@@ -128,7 +135,7 @@ def _writer(tokenizer: str, end_id: int, chunk_ids: int):  # noqa: ANN202
 
         schema = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("n_ids", pa.int32()), ("planes", pa.list_(pa.binary())), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int64())), ("first_doc", pa.int64()), ("first_tie", pa.int64())])
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer)
+            encoder = encoder or encoder_of(tokenizer)
             columns = batch.to_pydict()
             for lo in range(0, batch.num_rows, 256):
                 texts = [t or "" for t in columns["text"][lo : lo + 256]]
