@@ -19,8 +19,8 @@ of the first at most a - o are missing from the second.
 3. Combinations.  What is left are documents of next to nothing but frequent
    tokens, in different components.  Their frequent tokens are dealt into groups
    by hash, more groups than tokens that may differ, so that a linked pair has the
-   same tokens in one group: the combination of a group's tokens, about three of
-   them, is a signature.
+   same tokens in many groups: the combination of a group's tokens, about three of
+   them, is a signature, and a prefix of the rarest signatures is joined.
 
 Each candidate pair is verified on the whole sets.  Rows of a signature that a
 single component holds are dropped before any join.
@@ -221,48 +221,59 @@ def _across(rows: DataFrame, scratch: str) -> DataFrame:
     return stored(rows.join(stored(several, f"{scratch}/several").hint("merge"), "h"), f"{scratch}/across")
 
 
-def _signatures(tokens: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the combinations of a document's frequent tokens.
+def _signatures(tokens: np.ndarray, n: int) -> list[tuple[int, int, np.ndarray]]:
+    """Lists of signatures of a document's frequent tokens: (list, needed, hashes).
 
     Sizes fall into classes of ratio 1.25, and partners differ by one class at
     most; each class deals tokens into more groups by hash than tokens by which
-    a pair of its sizes may differ.  So one group at least holds the same tokens,
-    and some, in both documents of a pair: the combination of all tokens of a
-    group is a signature.  A document serves its own class and the next."""
+    a pair of its sizes may differ.  The combination of all tokens of a group is
+    a signature.  A document serves its own class and the next.  At most ``apart``
+    tokens are not common to the document and a partner, and each spoils one group
+    at most, so that all but ``apart`` of a list's signatures are the partner's too:
+    that is the number needed.  Where a list is too short for that, the tokens
+    themselves follow as a list, of which a partner shares four fifths of n."""
     out = []
     first = int(np.floor(np.log(n) / np.log(1.25) + 1e-9))
+    apart = (9 * len(tokens) - 8 * n + n * 5 // 4) // 9
+    short = False
     for j in (first, first + 1):
-        largest = 1.25 ** (j + 1)
-        groups = int(np.ceil(0.3 * largest)) + 3
+        groups = int(np.ceil(0.3 * 1.25 ** (j + 1))) + 3
         order = np.argsort(tokens % groups, kind="stable")
         place = (tokens % groups)[order]
         edge = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         held = np.add.reduceat(mix(tokens[order].astype(np.uint64)), edge)
-        out.append(mix(held + np.uint64(j) * _TURN[1] + place[edge].astype(np.uint64) * _TURN[2]).view(np.int64))
-        if len(edge) <= 2 * largest / 9:  # too many empty groups
-            out.append(tokens)
-    return np.concatenate(out)
+        out.append((j + 1, len(edge) - apart, mix(held + np.uint64(j) * _TURN[1] + place[edge].astype(np.uint64) * _TURN[2]).view(np.int64)))
+        short |= len(edge) <= apart
+    if short:
+        out.append((-1, -(-4 * n // 5), tokens))
+    return out
 
 
 def _combinations(z: DataFrame, scratch: str) -> DataFrame:
-    """z: h, rep, n, comp, r.  Candidate pairs x < y of different components from combinations of tokens.
+    """z: h, rep, n, comp.  Candidate pairs x < y of different components from combinations of tokens.
 
-    r counts the tokens that no other component's document shares, or few do; a
-    partner from which more than r tokens may not be missing is none."""
+    Of each list of signatures only a prefix is joined, the rarest first: a partner
+    that shares as many as needed shares one of them.  Signatures that one
+    component holds have no part in that, and shorten the prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for d in batch.to_pylist():
-                h = _signatures(np.sort(np.array(d["tokens"], np.int64)), d["n"])
-                yield pa.RecordBatch.from_arrays([pa.array(h), *[pa.array(np.full(len(h), d[c], np.int64)) for c in ("rep", "n", "comp", "r")]], ["h", "rep", "n", "comp", "r"])
+                for k, needed, h in _signatures(np.sort(np.array(d["tokens"], np.int64)), d["n"]):
+                    row = (d["rep"], d["n"], d["comp"], len(d["tokens"]), k, needed)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), *[pa.array(np.full(len(h), v, np.int64)) for v in row]], ["h", "rep", "n", "comp", "t", "list", "needed"])
 
     # Pairs without a common rare token share frequent ones only, four fifths of either's set at least.
-    docs = z.groupBy("rep", "n", "comp", "r").agg(F.collect_set("h").alias("tokens")).where(F.size("tokens") >= F.ceil(F.col("n") * 4 / 5))
-    signed = docs.mapInArrow(run, "h long, rep long, n long, comp long, r long")
-    signed = _across(signed, scratch)
-    side = lambda s: signed.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "comp", "r")])
+    docs = z.groupBy("rep", "n", "comp").agg(F.collect_set("h").alias("tokens")).where(F.size("tokens") >= F.ceil(F.col("n") * 4 / 5))
+    signed = stored(docs.mapInArrow(run, "h long, rep long, n long, comp long, t long, list long, needed long"), f"{scratch}/signed")
+    held = signed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("h", "c")
+    across = signed.join(stored(held, f"{scratch}/held").hint("merge"), "h")
+    own = Window.partitionBy("rep", "list")
+    ranked = across.select("*", F.row_number().over(own.orderBy("c", "h")).alias("k"), F.count(F.lit(1)).over(own).alias("m"))
+    prefix = stored(ranked.where(F.col("k") <= F.col("m") - F.greatest(F.col("needed"), F.lit(1)) + 1).select("h", "rep", "n", "comp", "t"), f"{scratch}/prefix")
+    side = lambda s: prefix.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "comp", "t")])
     o = _needed(F.col("n_x"), F.col("n_y"))
-    fits = F.expr("rep_x < rep_y AND comp_x <> comp_y AND 5 * least(n_x, n_y) >= 4 * greatest(n_x, n_y)") & (F.col("r_x") <= F.col("n_x") - o) & (F.col("r_y") <= F.col("n_y") - o)
+    fits = F.expr("rep_x < rep_y AND comp_x <> comp_y AND 5 * least(n_x, n_y) >= 4 * greatest(n_x, n_y)") & (F.least("t_x", "t_y") >= o)
     x, y = side("x"), side("y").withColumnRenamed("h", "h_")
     return x.join(y, (F.col("h") == F.col("h_")) & fits).select(F.col("rep_x").alias("x"), F.col("rep_y").alias("y")).distinct()
 
@@ -288,8 +299,8 @@ def links(docs: DataFrame, reps: DataFrame, scratch: str) -> DataFrame:
     often = stored(across.where(F.col("c") > RARE).groupBy("rep", "n", "comp").agg(F.count(F.lit(1)).alias("f")), f"{scratch}/often2")
     rare = across.where(F.col("c") <= RARE).join(often.select("rep", "f"), "rep", "left").select("h", "rep", "n", "comp", F.coalesce("f", F.lit(0)).alias("f"))
     second = _pairs(rare, ["f"]).where(F.col("k") >= F.greatest(F.lit(1), o - F.least("f_x", "f_y"))).select("x", "y")
-    only = often.where(F.col("n") - F.col("f") <= F.floor(F.col("n") / 5)).select(F.col("rep").alias("id_"), (F.col("n") - F.col("f")).alias("r"))
-    z = across.where(F.col("c") > RARE).join(only, F.col("rep") == F.col("id_")).select("h", "rep", "n", "comp", "r")
+    only = often.where(F.col("n") - F.col("f") <= F.floor(F.col("n") / 5)).select(F.col("rep").alias("id_"))
+    z = across.where(F.col("c") > RARE).join(only, F.col("rep") == F.col("id_")).select("h", "rep", "n", "comp")
     z = stored(z, f"{scratch}/z")
     third = _combinations(_across(z, f"{scratch}/z2"), f"{scratch}/z3").select("x", "y")
     return found.unionByName(verify(stored(second.unionByName(third), f"{scratch}/second"), whole))
