@@ -254,26 +254,31 @@ def _combinations(z: DataFrame, scratch: str) -> DataFrame:
 
     Of each list of signatures only a prefix is joined, the rarest first: a partner
     that shares as many as needed shares one of them.  Signatures that one
-    component holds have no part in that, and shorten the prefix."""
+    component holds have no part in that, and shorten the prefix.  At the first
+    signature that a pair shares, those before it and those of one component are
+    spoiled, each by a token that isn't common to the pair: no more of them than the
+    pair's sizes allow such tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for d in batch.to_pylist():
                 for k, needed, h in _signatures(np.sort(np.array(d["tokens"], np.int64)), d["n"]):
-                    row = (d["rep"], d["n"], d["comp"], len(d["tokens"]), k, needed)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), *[pa.array(np.full(len(h), v, np.int64)) for v in row]], ["h", "rep", "n", "comp", "t", "list", "needed"])
+                    row = (d["rep"], d["n"], d["comp"], len(d["tokens"]), k, len(h), needed)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), *[pa.array(np.full(len(h), v, np.int64)) for v in row]], ["h", "rep", "n", "comp", "t", "list", "size", "needed"])
 
     # Pairs without a common rare token share frequent ones only, four fifths of either's set at least.
     docs = z.groupBy("rep", "n", "comp").agg(F.collect_set("h").alias("tokens")).where(F.size("tokens") >= F.ceil(F.col("n") * 4 / 5))
-    signed = stored(docs.mapInArrow(run, "h long, rep long, n long, comp long, t long, list long, needed long"), f"{scratch}/signed")
+    signed = stored(docs.mapInArrow(run, "h long, rep long, n long, comp long, t long, list long, size long, needed long"), f"{scratch}/signed")
     held = signed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("h", "c")
     across = signed.join(stored(held, f"{scratch}/held").hint("merge"), "h")
     own = Window.partitionBy("rep", "list")
     ranked = across.select("*", F.row_number().over(own.orderBy("c", "h")).alias("k"), F.count(F.lit(1)).over(own).alias("m"))
-    prefix = stored(ranked.where(F.col("k") <= F.col("m") - F.greatest(F.col("needed"), F.lit(1)) + 1).select("h", "rep", "n", "comp", "t"), f"{scratch}/prefix")
-    side = lambda s: prefix.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "comp", "t")])
+    prefix = ranked.where(F.col("k") <= F.col("m") - F.greatest(F.col("needed"), F.lit(1)) + 1)
+    prefix = stored(prefix.select("h", "rep", "n", "comp", "t", (F.col("k") - 1 + F.col("size") - F.col("m")).alias("spoiled")), f"{scratch}/prefix")
+    side = lambda s: prefix.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "comp", "t", "spoiled")])
     o = _needed(F.col("n_x"), F.col("n_y"))
     fits = F.expr("rep_x < rep_y AND comp_x <> comp_y AND 5 * least(n_x, n_y) >= 4 * greatest(n_x, n_y)") & (F.least("t_x", "t_y") >= o)
+    fits = fits & (F.greatest("spoiled_x", "spoiled_y") <= F.col("t_x") + F.col("t_y") - 2 * o)
     x, y = side("x"), side("y").withColumnRenamed("h", "h_")
     return x.join(y, (F.col("h") == F.col("h_")) & fits).select(F.col("rep_x").alias("x"), F.col("rep_y").alias("y")).distinct()
 
