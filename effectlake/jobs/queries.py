@@ -191,6 +191,14 @@ def rdd_sharp(spark: SparkSession, sf: str) -> DataFrame:
     return D.sharp_rdd(S.line_items(spark, sf), "y", "x1", 25.0, 15.0, ["segment"])
 
 
+@query(f"""WITH r AS (SELECT segment, (x1 >= 25)::INT AS side, x1 - 25 AS r, y, t, 1 - abs(x1 - 25) / 15 AS k FROM {LINES} WHERE abs(x1 - 25) < 15),
+    s AS (SELECT segment, side, sum(k) AS s0, sum(k * r) AS s1, sum(k * r * r) AS s2, sum(k * y) AS y0, sum(k * r * y) AS y1, sum(k * t) AS d0, sum(k * r * t) AS d1, count(*) AS n FROM r GROUP BY 1, 2),
+    a AS (SELECT segment, side, (s2 * y0 - s1 * y1) / (s0 * s2 - s1 * s1) AS ay, (s2 * d0 - s1 * d1) / (s0 * s2 - s1 * s1) AS ad, n FROM s)
+    SELECT h.segment, (h.ay - l.ay) / (h.ad - l.ad) AS estimate, h.ad - l.ad AS first_stage, l.n AS n_left, h.n AS n_right FROM a h JOIN a l ON h.segment = l.segment AND h.side = 1 AND l.side = 0""", "segment n_left n_right", "estimate first_stage")
+def rdd_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
+    return D.fuzzy_rdd(S.line_items(spark, sf), "y", "t", "x1", 25.0, 15.0, ["segment"])
+
+
 @query("SELECT floor((o_totalprice - 200000) / 5000)::BIGINT AS bin, count(*) AS n FROM orders GROUP BY 1", "bin n")
 def density_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return D.histogram(S.orders(spark, sf), "y", 200_000.0, 5_000.0)

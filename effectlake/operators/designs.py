@@ -52,6 +52,17 @@ def sharp_rdd(df: DataFrame, y: str, x: str, cutoff: float, bandwidth: float, by
     return grouped(sums, by, (side(at, 1) - side(at, 0)).alias("estimate"), side(F.col("n"), 0).alias("n_left"), side(F.col("n"), 1).alias("n_right"))
 
 
+def fuzzy_rdd(df: DataFrame, y: str, d: str, x: str, cutoff: float, bandwidth: float, by: Sequence[str] = ()) -> DataFrame:
+    """K5: the jump of y over that of the treatment d; with a slope on each side that is the kernel-weighted instrumental estimate.
+
+    The estimate is null where the treatment doesn't jump."""
+    jumps = [sharp_rdd(df, c, x, cutoff, bandwidth, by).withColumnRenamed("estimate", f"jump_{k}") for k, c in (("y", y), ("d", d))]
+    first = jumps[1].select(*by, "jump_d")
+    both = jumps[0].join(first, list(by)) if by else jumps[0].crossJoin(F.broadcast(first))
+    ratio = F.when(F.abs("jump_d") > 1e-12, F.col("jump_y") / F.col("jump_d"))
+    return both.select(*by, ratio.alias("estimate"), F.col("jump_d").alias("first_stage"), "n_left", "n_right")
+
+
 def histogram(df: DataFrame, x: str, cutoff: float, width: float) -> DataFrame:
     """K6 and B1: counts by bin of ``width`` from the cutoff; the fits need nothing else."""
     return df.groupBy(F.floor((_d(x) - cutoff) / width).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

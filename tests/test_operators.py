@@ -61,6 +61,15 @@ def test_within_transform_equals_dummies(spark):
     assert math.isclose(got, np.linalg.lstsq(X, np.array([r[2] for r in rows]), rcond=None)[0][0], rel_tol=1e-9)
 
 
+def test_fuzzy_rdd_recovers_the_effect(spark):
+    rows = [(x / 10, int((x % 4 == 0) or x >= 0 and x % 2 == 0)) for x in range(-400, 400)]
+    df = spark.createDataFrame([(x, d, 1 + 0.5 * x + 3.0 * d) for x, d in rows], "x double, d int, y double")
+    r = designs.fuzzy_rdd(df, "y", "d", "x", 0.0, 20.0).first()
+    assert math.isclose(r.estimate, 3.0, rel_tol=1e-9) and 0.2 < r.first_stage < 0.3
+    none = designs.fuzzy_rdd(df.withColumn("d", F.lit(1)), "y", "d", "x", 0.0, 20.0).first()
+    assert none.estimate is None
+
+
 def test_lee_bounds_trim(spark):
     rows = [(1, 1, float(k)) for k in range(10)] + [(0, 1, float(k)) for k in range(5)] + [(0, 0, None)] * 5
     r = experiments.lee_bounds(spark.createDataFrame(rows, "t int, observed int, y double"), "y", "t", "observed").first()
