@@ -66,3 +66,24 @@ def two_sided(estimate: float, se: float, df: float | None = None) -> float:
         return float("nan")
     z = abs(estimate / se)
     return 2 * (1 - (t_cdf(z, df) if df else normal_cdf(z)))
+
+
+def chi2_tail(x: float, df: int) -> float:
+    """P(X > x): the ladder of two degrees at a time from df 1 or 2."""
+    if x <= 0:
+        return 1.0
+    tail, k = (math.erfc(math.sqrt(x / 2)), 1) if df % 2 else (math.exp(-x / 2), 2)
+    while k < df:
+        tail += math.exp(k / 2 * math.log(x / 2) - x / 2 - math.lgamma(k / 2 + 1))
+        k += 2
+    return min(tail, 1.0)
+
+
+def chi2_quantile(p: float, df: int) -> float:
+    low, high = 0.0, 10.0 + 10 * df
+    while chi2_tail(high, df) > 1 - p:
+        high *= 2
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi2_tail(mid, df) > 1 - p else (low, mid)
+    return (low + high) / 2

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..operators import designs as D
 from ..operators import experiments as E
+from ..operators import instruments as I
+from ..operators import propensity as O
 from ..operators import panels as P
 from ..sources import frames as S
 
@@ -265,3 +267,81 @@ def bootstrap_ate(spark: SparkSession, sf: str) -> DataFrame:
 def synthetic_control_path(spark: SparkSession, sf: str) -> DataFrame:
     panel = S.orders(spark, sf).groupBy("priority", "quarter").agg(F.avg("y").alias("y"))
     return D.synthetic_control(panel, "priority", "quarter", "y", "1-URGENT", 28)
+
+
+_IV = f"""(SELECT n, yy, dd, yd, (y1 * y1 * s22 - 2 * y1 * y2 * s12 + y2 * y2 * s11) / det AS qyy, (d1 * d1 * s22 - 2 * d1 * d2 * s12 + d2 * d2 * s11) / det AS qdd,
+    (y1 * d1 * s22 - (y1 * d2 + y2 * d1) * s12 + y2 * d2 * s11) / det AS qyd FROM (SELECT count(*) AS n, count(*) * var_pop(y) AS yy, count(*) * var_pop(d) AS dd, count(*) * covar_pop(y, d) AS yd, count(*) * covar_pop(y, t) AS y1,
+    count(*) * covar_pop(y, z) AS y2, count(*) * covar_pop(d, t) AS d1, count(*) * covar_pop(d, z) AS d2, count(*) * var_pop(t) AS s11, count(*) * var_pop(z) AS s22, count(*) * covar_pop(t, z) AS s12, s11 * s22 - s12 * s12 AS det FROM {LINES}))"""
+_KAPPA = f"""(SELECT *, (m - sqrt(m * m - 4 * g * (yy * dd - yd * yd))) / (2 * g) AS k FROM (SELECT *, (yy - qyy) * (dd - qdd) - (yd - qyd) ** 2 AS g, yy * (dd - qdd) + dd * (yy - qyy) - 2 * yd * (yd - qyd) AS m FROM {_IV}))"""
+
+
+def _k_class_sql(fuller: float) -> str:
+    return f"""SELECT b AS estimate, sqrt((yy - 2 * b * yd + b * b * dd) / (n - 2) / qdd) AS se, kf AS kappa, n FROM (SELECT *, k - {fuller} / (n - 3) AS kf, (yd - kf * (yd - qyd)) / (dd - kf * (dd - qdd)) AS b FROM {_KAPPA})"""
+
+
+@query(_k_class_sql(0.0), "n", "estimate se kappa")
+def iv_liml(spark: SparkSession, sf: str) -> DataFrame:
+    return I.k_class(S.line_items(spark, sf), "y", "d", ["t", "z"])
+
+
+@query(_k_class_sql(1.0), "n", "estimate se kappa")
+def iv_fuller(spark: SparkSession, sf: str) -> DataFrame:
+    return I.k_class(S.line_items(spark, sf), "y", "d", ["t", "z"], fuller=1.0)
+
+
+@query()
+def iv_gmm(spark: SparkSession, sf: str) -> DataFrame:
+    return I.gmm(S.line_items(spark, sf), "y", "d", ["t", "z"])
+
+
+@query(f"SELECT qdd / 2 / ((dd - qdd) / (n - 3)) AS f, 19.93::DOUBLE AS critical, CASE WHEN qdd / 2 / ((dd - qdd) / (n - 3)) > 19.93 THEN 'strong' WHEN qdd / 2 / ((dd - qdd) / (n - 3)) > 10 THEN 'weak' ELSE 'very_weak' END AS strength, 2::BIGINT AS n_instruments, n FROM {_IV}", "strength n_instruments n", "f critical")
+def iv_strength(spark: SparkSession, sf: str) -> DataFrame:
+    return I.instrument_strength(S.line_items(spark, sf), "d", ["t", "z"])
+
+
+@query(f"""SELECT qyy / 2 / s AS statistic, exp(-qyy / 4 / s) AS p_value, (qyd - sqrt(qyd * qyd - qdd * c)) / qdd AS lower, (qyd + sqrt(qyd * qyd - qdd * c)) / qdd AS upper, n
+    FROM (SELECT *, (yy - qyy) / (n - 3) AS s, qyy + 2 * ln(0.05) * 2 * s AS c FROM {_IV})""", "n", "statistic p_value lower upper")
+def iv_anderson_rubin(spark: SparkSession, sf: str) -> DataFrame:
+    return I.anderson_rubin(S.line_items(spark, sf), "y", "d", ["t", "z"])
+
+
+@query()
+def iv_control_function(spark: SparkSession, sf: str) -> DataFrame:
+    return I.control_function(S.line_items(spark, sf), "y", "d", ["t", "z"])
+
+
+def _flagged(spark: SparkSession, sf: str) -> DataFrame:
+    return S.line_items(spark, sf).withColumns({f: (F.col("stratum") == f).cast("int") for f in "AN"})
+
+
+_S = f"(SELECT *, avg(t) OVER (PARTITION BY stratum) AS p FROM {LINES})"
+
+
+@query(f"""WITH c AS (SELECT p, sum(t) AS a, sum(1 - t) AS b FROM {_S} GROUP BY 1), k AS (SELECT *, sum(b) OVER (ORDER BY p) - b AS under FROM c), m AS (SELECT avg(t) AS q, avg(CASE WHEN t = 1 THEN ln(p) ELSE ln(1 - p) END) AS ll, count(*) AS n FROM {_S})
+    SELECT any_value(n) AS n, 1 - any_value(ll / (q * ln(q) + (1 - q) * ln(1 - q))) AS pseudo_r2, sum(a * (under + b / 2)) / sum(a) / sum(b) AS auc FROM k, m""", "n", "pseudo_r2 auc")
+def propensity_logit(spark: SparkSession, sf: str) -> DataFrame:
+    # The digits that differ between rows of one stratum by rounding are cut, so that ties stay ties.
+    return O.propensity_fit(O.with_propensity(_flagged(spark, sf), "t", ["A", "N"]).withColumn("p", F.round("p", 12)), "t")
+
+
+@query(f"""WITH r AS (SELECT *, CASE WHEN t = 1 THEN 1 / p ELSE 1 / (1 - p) END AS w FROM {_S}), m AS (SELECT t, sum(w * y) / sum(w) AS m, sum(w) AS w, sum(w * w) AS ww FROM r GROUP BY 1),
+    v AS (SELECT r.t, sum(r.w * r.w * (y - m) ** 2) / any_value(m.w) ** 2 AS v, count(*) AS n FROM r JOIN m ON r.t = m.t GROUP BY 1)
+    SELECT max(m) FILTER (t = 1) - max(m) FILTER (t = 0) AS estimate, sqrt(sum(v)) AS se, max(w * w / ww) FILTER (t = 1) AS ess_treated, max(w * w / ww) FILTER (t = 0) AS ess_control, sum(n)::BIGINT AS n FROM m JOIN v USING (t)""", "n", "estimate se ess_treated ess_control")
+def ate_ipw_logit(spark: SparkSession, sf: str) -> DataFrame:
+    return O.ipw_observational(_flagged(spark, sf), "y", "t", ["A", "N"])
+
+
+@query(f"""WITH o AS (SELECT regr_slope(y, x1) FILTER (t = 1) AS b1, regr_intercept(y, x1) FILTER (t = 1) AS a1, regr_slope(y, x1) FILTER (t = 0) AS b0, regr_intercept(y, x1) FILTER (t = 0) AS a0 FROM {LINES}),
+    r AS (SELECT a1 + b1 * x1 AS mu1, a0 + b0 * x1 AS mu0, CASE WHEN t = 1 THEN 1 / p ELSE -1 / (1 - p) END AS h, y - CASE WHEN t = 1 THEN a1 + b1 * x1 ELSE a0 + b0 * x1 END AS r, p FROM {_S}, o),
+    e AS (SELECT sum(h * r) / sum(h * h) AS e FROM r), q AS (SELECT mu1 - mu0 + e * (1 / p + 1 / (1 - p)) AS g, h * (r - e * h) AS s, e FROM r, e), a AS (SELECT avg(g) AS estimate FROM q)
+    SELECT any_value(estimate) AS estimate, sqrt(avg((s + g - estimate) ** 2) / count(*)) AS se, any_value(e) AS epsilon, count(*) AS n FROM q, a""", "n", "estimate se epsilon")
+def ate_tmle(spark: SparkSession, sf: str) -> DataFrame:
+    rows = O.with_propensity(_flagged(spark, sf), "t", ["A", "N"])
+    return O.tmle(O.with_outcome_models(rows, "y", "t", ["x1"]), "y", "t")
+
+
+@query(f"""WITH r AS (SELECT b, y, row_number() OVER (PARTITION BY b ORDER BY md5('0:' || b || ':' || id)) AS k FROM {CUSTOMERS}, (SELECT unnest(range(1, 41)) AS b)), m AS (SELECT sum(t) AS n1, avg(y) FILTER (t = 1) - avg(y) FILTER (t = 0) AS estimate FROM {CUSTOMERS}),
+    g AS (SELECT b, avg(y) FILTER (k <= n1) - avg(y) FILTER (k > n1) AS g FROM r, m GROUP BY 1)
+    SELECT any_value(estimate) AS estimate, (count(*) FILTER (abs(g) >= abs(estimate) * (1 - 1e-9)) + 1) / (count(*) + 1) AS p_value, count(*) FILTER (abs(g) >= abs(estimate) * (1 - 1e-9)) AS n_extreme, count(*) AS replicates FROM g, m""", "n_extreme replicates", "estimate p_value")
+def permutation_ate(spark: SparkSession, sf: str) -> DataFrame:
+    return O.permutation_test(S.customers(spark, sf), "y", "t", "id", 40)
