@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..operators import designs as D
 from ..operators import experiments as E
 from ..operators import instruments as I
-from ..operators import propensity as O
+from ..operators import learners as L
 from ..operators import panels as P
+from ..operators import propensity as O
 from ..sources import frames as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -345,3 +346,55 @@ def ate_tmle(spark: SparkSession, sf: str) -> DataFrame:
     SELECT any_value(estimate) AS estimate, (count(*) FILTER (abs(g) >= abs(estimate) * (1 - 1e-9)) + 1) / (count(*) + 1) AS p_value, count(*) FILTER (abs(g) >= abs(estimate) * (1 - 1e-9)) AS n_extreme, count(*) AS replicates FROM g, m""", "n_extreme replicates", "estimate p_value")
 def permutation_ate(spark: SparkSession, sf: str) -> DataFrame:
     return O.permutation_test(S.customers(spark, sf), "y", "t", "id", 40)
+
+
+_SUMMARY = "avg(cate) AS estimate, stddev_samp(cate) AS spread, min(cate) AS least, max(cate) AS greatest, count(*) AS n"
+_ARMS = f"(SELECT regr_slope(y, x1) FILTER (t = 1) AS b1, regr_intercept(y, x1) FILTER (t = 1) AS a1, regr_slope(y, x1) FILTER (t = 0) AS b0, regr_intercept(y, x1) FILTER (t = 0) AS a0 FROM {LINES})"
+
+
+@query(f"SELECT segment, {_SUMMARY} FROM (SELECT segment, a1 - a0 + (b1 - b0) * x1 AS cate FROM {LINES}, {_ARMS}) GROUP BY 1", "segment n", "estimate spread least greatest")
+def cate_t_learner(spark: SparkSession, sf: str) -> DataFrame:
+    return L.effect_summary(L.t_learner(S.line_items(spark, sf), "y", "t", ["x1"]), ["segment"])
+
+
+@query(f"""WITH g AS (SELECT s.*, CASE WHEN t = 1 THEN y - a0 - b0 * x1 ELSE a1 + b1 * x1 - y END AS g FROM {_S} s, {_ARMS}), f AS (SELECT regr_slope(g, x1) FILTER (t = 1) AS b1, regr_intercept(g, x1) FILTER (t = 1) AS a1,
+    regr_slope(g, x1) FILTER (t = 0) AS b0, regr_intercept(g, x1) FILTER (t = 0) AS a0 FROM g) SELECT segment, {_SUMMARY} FROM (SELECT segment, p * (a0 + b0 * x1) + (1 - p) * (a1 + b1 * x1) AS cate FROM g, f) GROUP BY 1""", "segment n", "estimate spread least greatest")
+def cate_x_learner(spark: SparkSession, sf: str) -> DataFrame:
+    rows = O.with_propensity(_flagged(spark, sf), "t", ["A", "N"])
+    return L.effect_summary(L.x_learner(rows, "y", "t", ["x1"]), ["segment"])
+
+
+@query(f"""WITH m AS (SELECT regr_slope(y, x1) AS b, regr_intercept(y, x1) AS a FROM {LINES}), r AS (SELECT segment, x1, t - p AS u, y - a - b * x1 AS v FROM {_S}, m),
+    g AS (SELECT sum(u * u) AS s0, sum(u * u * x1) AS s1, sum(u * u * x1 * x1) AS s2, sum(u * v) AS c0, sum(u * v * x1) AS c1 FROM r), f AS (SELECT (s2 * c0 - s1 * c1) / (s0 * s2 - s1 * s1) AS a, (s0 * c1 - s1 * c0) / (s0 * s2 - s1 * s1) AS b FROM g)
+    SELECT segment, {_SUMMARY} FROM (SELECT segment, a + b * x1 AS cate FROM r, f) GROUP BY 1""", "segment n", "estimate spread least greatest")
+def cate_r_learner(spark: SparkSession, sf: str) -> DataFrame:
+    rows = O.with_propensity(_flagged(spark, sf), "t", ["A", "N"])
+    return L.effect_summary(L.r_learner(rows, "y", "t", ["x1"]), ["segment"])
+
+
+@query(f"""WITH q AS (SELECT quantile_cont(y, [0.25, 0.75, 0.1, 0.5, 0.9]) AS q, stddev_samp(y) AS sd, count(*) AS n FROM {LINES}), w AS (SELECT unnest([0.1, 0.5, 0.9]::DOUBLE[]) AS tau, unnest(q[3:5]) AS quantile, 1.06 * least(sd, (q[2] - q[1]) / 1.34) * n ** -0.2 AS h FROM q)
+    SELECT tau, quantile, 1e6 * avg(exp(-0.5 * pow((y - quantile) / h, 2))) / (any_value(h) * sqrt(2 * pi())) AS density_e6, (avg((y <= quantile)::INT) FILTER (t = 0) - avg((y <= quantile)::INT) FILTER (t = 1)) / (avg(exp(-0.5 * pow((y - quantile) / h, 2))) / (any_value(h) * sqrt(2 * pi()))) AS estimate
+    FROM {LINES}, w GROUP BY 1, 2""", "", "tau quantile density_e6 estimate")
+def quantile_effects_rif(spark: SparkSession, sf: str) -> DataFrame:
+    out = L.rif_effects(S.line_items(spark, sf), "y", "t", [0.1, 0.5, 0.9])
+    return out.select("tau", "quantile", (F.col("density") * 1e6).alias("density_e6"), "estimate")
+
+
+@query(f"""WITH o AS (SELECT * FROM {ORDERS} WHERE post = 0), a AS (SELECT t, regr_slope(y, quarter) AS b, regr_intercept(y, quarter) AS a, avg(quarter) AS m, regr_sxx(y, quarter) AS s FROM o GROUP BY 1),
+    c AS (SELECT unit, sum((y - a - b * quarter) * (quarter - m) / s) AS s FROM o JOIN a USING (t) GROUP BY 1)
+    SELECT (SELECT sum(CASE WHEN t = 1 THEN b ELSE -b END) FROM a) AS estimate, sqrt(sum(s * s) * count(*) / (count(*) - 1) * (n - 1) / (n - 4)) AS se, n, count(*) AS n_clusters FROM c, (SELECT count(*) AS n FROM o) GROUP BY n""", "n n_clusters", "estimate se")
+def did_parallel_trends(spark: SparkSession, sf: str) -> DataFrame:
+    return P.parallel_trends(S.orders(spark, sf).where("post = 0"), "y", "t", "quarter", "unit").drop("p_value")
+
+
+@query(f"SELECT unit, count(*) AS n, stddev_pop(y) AS y_spread FROM {ORDERS} GROUP BY 1", "unit n", "y_spread")
+def panel_unit_means(spark: SparkSession, sf: str) -> DataFrame:
+    rows = P.unit_means(S.orders(spark, sf), ["y"], "unit")
+    return rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg((F.col("y") - F.col("y_bar")) ** 2)).alias("y_spread"))
+
+
+@query(f"""WITH c AS (SELECT y AS s, min(id) AS c FROM {CUSTOMERS} WHERE t = 0 GROUP BY 1), m AS (SELECT a.id, a.nation, c.c, abs(a.y - c.s) AS distance, c.s FROM {CUSTOMERS} a JOIN c ON abs(a.y - c.s) <= 5 WHERE a.t = 1 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY distance, c.s, c.c) = 1)
+    SELECT avg(m.nation - b.nation) AS estimate, sqrt(var_samp(m.nation - b.nation) / count(*)) AS se, count(*) AS n_matched FROM m JOIN {CUSTOMERS} b ON m.c = b.id""", "n_matched", "estimate se")
+def match_effect(spark: SparkSession, sf: str) -> DataFrame:
+    rows = S.customers(spark, sf)
+    return D.matched_effect(rows, D.nearest_match(rows, "id", "t", "y", 5.0), "id", "nation")

@@ -103,6 +103,14 @@ def nearest_match(df: DataFrame, key: str, t: str, score: str, caliper: float) -
     return found.select(F.col("id").alias("treated_id"), best["c"].alias("control_id"), F.abs(F.col("s") - best["s"]).alias("distance")).where(F.col("distance") <= caliper)
 
 
+def matched_effect(df: DataFrame, pairs: DataFrame, key: str, y: str) -> DataFrame:
+    """Effect on the matched treated, each less the mean of its matches, with the variance of the differences.  pairs: treated_id, control_id."""
+    treated = df.select(F.col(key).alias("treated_id"), _d(y).alias("a"))
+    control = df.select(F.col(key).alias("control_id"), _d(y).alias("b"))
+    own = pairs.join(control, "control_id").groupBy("treated_id").agg(F.avg("b").alias("b")).join(treated, "treated_id").select((F.col("a") - F.col("b")).alias("g"))
+    return own.agg(F.avg("g").alias("estimate"), F.sqrt(F.var_samp("g") / F.count("g")).alias("se"), F.count("g").alias("n_matched"))
+
+
 def double_ml(df: DataFrame, y: str, t: str, xs: Sequence[str], key: str, folds: int = 5) -> DataFrame:
     """Cross-fitted partialling out with linear learners.
 

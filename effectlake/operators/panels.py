@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import two_sided
 from .moments import grouped, ols
 
 
@@ -52,6 +53,21 @@ def twfe(df: DataFrame, y: str, d: str, unit: str, time: str) -> DataFrame:
     return w.agg((F.sum(F.col("y_w") * F.col("d_w")) / F.sum(F.col("d_w") ** 2)).alias("estimate"), F.count(F.lit(1)).alias("n"))
 
 
+def parallel_trends(df: DataFrame, y: str, t: str, time: str, unit: str) -> DataFrame:
+    """Difference in slope between the arms over the rows of ``df``, the periods before treatment: estimate, se (clustered by unit), p_value (t of clusters less one), n, n_clusters."""
+    d = [F.col(c).cast("double") for c in (y, t, time)]
+    fit = ols(df, d[0], [d[1], d[2], d[1] * d[2]], cluster=unit)
+    g = df.select(unit).distinct().count()
+    b, se = float(fit["beta"][3]), float(fit["se"][3])
+    return df.sparkSession.createDataFrame([(b, se, two_sided(b, se, g - 1), fit["n"], g)], "estimate double, se double, p_value double, n long, n_clusters long")
+
+
+def unit_means(df: DataFrame, columns: Sequence[str], unit: str) -> DataFrame:
+    """Df and, per column, its unit's mean as <column>_bar; by partial sums and a join, as a unit may hold any share of the rows."""
+    means = df.groupBy(F.col(unit).alias("unit_")).agg(*[F.avg(c).alias(f"{c}_bar") for c in columns])
+    return df.join(means, F.col(unit).eqNullSafe(F.col("unit_")), "left").drop("unit_")
+
+
 def group_time_effects(df: DataFrame, y: str, unit: str, time: str, first: str) -> DataFrame:
     """ATT(g, t) for t >= g: the change since period g - 1 of cohort g less that of units not treated by t.
 
