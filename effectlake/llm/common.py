@@ -41,5 +41,21 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, with as many underscores before them as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
+def columns(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,11 +1,15 @@
 """Benchmark decontamination with a broadcast set of n-grams.
 
-The benchmark's word windows become a table of distinct n-grams.  Its size is
-measured; up to ``max_bytes`` it is broadcast as a hash set, beyond that the same
-join runs as a shuffle.  Documents are exploded into their own windows, and
-the hashes of the windows meet the set first.  The few documents with a hit are
-verified: their windows meet the n-grams themselves, word by word.  Only hits are
-grouped, so a row per document and a row per hit window are all that is shuffled.
+The benchmark's word windows become a table of distinct n-grams.  A document's
+words are cut into blocks that lie side by side: a window of k words, wherever it
+starts, holds a whole block of (k + 1) // 2 words.  So each text is cut into words
+once, one hash per block meets the set of the hashes of all such runs of words in
+the n-grams, and a document without a known block is clean.  The few others are
+verified: their windows meet the n-grams themselves, word by word.
+
+The set's size is measured; up to ``max_bytes`` it is broadcast, beyond that the same
+join runs as a shuffle.  Texts are never shuffled, unless more documents are to be
+dropped than may be broadcast.
 """
 
 from __future__ import annotations
@@ -13,15 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored, work_dir
+from .common import ascii_lower, columns, fresh, stored, work_dir
 
 #: Words of the lower-cased text: digits, a-z and all beyond ASCII.
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PIECES = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A benchmark with more bytes of n-grams than this isn't broadcast.
 MAX_BYTES = 64 << 20
-#: More suspected documents than this aren't broadcast.
-BROADCAST_IDS = 4_000_000
+#: More documents than this aren't broadcast; each is 16 bytes.
+BROADCAST_IDS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -54,71 +58,78 @@ def _covered(hits: Column) -> Column:
 
 
 def _copy_key() -> Column:
-    return F.md5(F.coalesce(F.col("text"), F.lit("\x00")).cast("binary"))
+    """Tells apart rows of one doc_id with different texts."""
+    return F.xxhash64("text")
 
 
-def _hashes(ws: Column, k: int) -> Column:
-    """A hash for each window of k words."""
-    return F.transform(F.sequence(F.lit(1), F.size(ws) - (k - 1)), lambda i: F.xxhash64(F.slice(ws, i, k)))
+def _blocks(ws: Column, b: int, step: int) -> Column:
+    """A hash for the run of b words at each ``step``-th place."""
+    last = F.size(ws) - b
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(1), last + 1, F.lit(step)), lambda i: F.xxhash64(F.lit(b), F.slice(ws, i, b)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _suspects(own: DataFrame, grams: DataFrame, lengths: list[int], broadcast: bool) -> DataFrame | None:
-    """id_, key_ of documents with a window whose hash is in the set: 8 bytes a window pass through the join, not its words."""
-    found = None
-    keys = grams.select("k", F.xxhash64(F.split("gram", " ")).alias("h")).distinct()
-    for k in lengths:
-        hashed = own.where(F.size("ws") >= k).select("doc_id", "copy_key", F.explode(_hashes(F.col("ws"), k)).alias("h"))
-        known = keys.where(F.col("k") == k).select("h")
-        hit = hashed.join(F.broadcast(known) if broadcast else known, "h", "left_semi").select(F.col("doc_id").alias("id_"), F.col("copy_key").alias("key_"))
-        found = hit if found is None else found.unionByName(hit)
-    return found if found is None else stored(found.distinct(), f"{work_dir(own.sparkSession)}/suspects")
+def _suspects(docs: DataFrame, grams: DataFrame, sizes: list[int], scratch: str, broadcast: bool) -> tuple[DataFrame, DataFrame]:
+    """All rows of docs as doc_id, copy_key, n_words, and id_, key_ of those with a block that is known."""
+    ws = F.col("ws")
+    blocks = F.concat(*[_blocks(ws, b, b) for b in sizes])
+    cut = docs.select("doc_id", _copy_key().alias("copy_key"), words(F.col("text")).alias("ws"))
+    cut = stored(cut.select("doc_id", "copy_key", F.size("ws").cast("long").alias("n_words"), blocks.alias("blocks")), f"{scratch}/blocks")
+    gram = grams.select("k", F.split("gram", " ").alias("ws"))
+    known = F.concat(*[F.when(F.floor((F.col("k") + 1) / 2) == b, _blocks(ws, b, 1)).otherwise(F.array().cast("array<bigint>")) for b in sizes])
+    known = gram.select(F.explode(known).alias("h")).distinct()
+    found = cut.select(F.col("doc_id").alias("id_"), F.col("copy_key").alias("key_"), F.explode("blocks").alias("h"))
+    found = found.join(F.broadcast(known) if broadcast else known, "h", "left_semi").select("id_", "key_").distinct()
+    return cut.drop("blocks"), stored(found, f"{scratch}/suspects")
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_bytes: int = MAX_BYTES) -> DataFrame:
+def _windows(ws: Column, k: int) -> Column:
+    """(at, k, gram) for each window of k words; none in a shorter text."""
+    named = F.transform(_grams(ws, k, F.size(ws)), lambda w: F.struct(w["at"].alias("at"), F.lit(k).alias("k"), w["gram"].alias("gram")))
+    return F.when(F.size(ws) >= k, named).otherwise(F.array().cast("array<struct<at:int,k:int,gram:string>>"))
+
+
+def _same_row(id_: str = "id_", key: str = "key_") -> Column:
+    return F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col("copy_key") == F.col(key))
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_bytes: int = MAX_BYTES, scratch: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, copy_key, n_words, hits (array of at, k), n_hit, items.
 
     copy_key identifies the text, so that rows that repeat a doc_id with another
-    text are told apart; rows that repeat both are scanned once and get the same
-    result.  A null or wordless text has no words and no hits."""
-    grams = benchmark_grams(benchmark, n).persist()
-    try:
-        lengths = sorted(r[0] for r in grams.select("k").distinct().collect())  # at most n numbers
-        size = grams.agg(F.sum(F.octet_length("gram") + 32)).first()[0] or 0
-    finally:
-        grams.unpersist()
-    own = docs.select(F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit("\x00")).cast("binary")).alias("copy_key"), words(F.col("text")).alias("ws"))
-    base = docs.select(
-        F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit("\x00")).cast("binary")).alias("copy_key"),
-        F.size(words(F.col("text"))).cast("long").alias("n_words"),
-    )
-    keyed = grams.select("gram", "k", "items")
-    keyed = F.broadcast(keyed) if size <= max_bytes else keyed
-    found = None
-    suspects = _suspects(own, grams, lengths, size <= max_bytes)
-    if suspects is not None:
-        few = suspects.count() <= BROADCAST_IDS
-        same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("copy_key") == F.col("key_"))
-        own = docs.select("doc_id", _copy_key().alias("copy_key"), "text").join(F.broadcast(suspects) if few else suspects, same, "left_semi")
-        own = own.select("doc_id", "copy_key", words(F.col("text")).alias("ws"))
-    for k in lengths:
-        windows = own.where(F.size("ws") >= k).select("doc_id", "copy_key", F.explode(_grams(F.col("ws"), k, F.size("ws"))).alias("w"))
-        windows = windows.select("doc_id", "copy_key", F.col("w.at").alias("at"), F.col("w.gram").alias("gram"))
-        hit = windows.join(keyed.where(F.col("k") == k), "gram").select("doc_id", "copy_key", "at", "k", "items")
-        found = hit if found is None else found.unionByName(hit)
-    if found is None:
-        none = F.array().cast("array<struct<at:int,k:int>>")
-        return base.select("*", none.alias("hits"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+    text are told apart; rows that repeat both get the same result.  A null or
+    wordless text has no words and no hits.  A benchmark without words hits nothing."""
+    scratch = scratch or work_dir(docs.sparkSession)
+    grams = stored(benchmark_grams(benchmark, n), f"{scratch}/grams")
+    lengths = sorted(r[0] for r in grams.select("k").distinct().collect())  # at most n numbers
+    size = grams.agg(F.sum(F.octet_length("gram") + 32)).first()[0] or 0
+    none = F.array().cast("array<struct<at:int,k:int>>")
+    if not lengths:
+        n_words = F.coalesce(F.regexp_count(ascii_lower(F.col("text")), F.lit(WORDS)), F.lit(0)).cast("long")
+        return docs.select("doc_id", _copy_key().alias("copy_key"), n_words.alias("n_words"), none.alias("hits"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+    base, suspects = _suspects(docs, grams, sorted({(k + 1) // 2 for k in lengths}), scratch, size <= max_bytes)
+    few = suspects.count() <= BROADCAST_IDS
+    own = docs.select("doc_id", _copy_key().alias("copy_key"), "text").join(F.broadcast(suspects) if few else suspects, _same_row(), "left_semi").dropDuplicates(["doc_id", "copy_key"])
+    own = own.select("doc_id", "copy_key", words(F.col("text")).alias("ws"))
+    each = F.flatten(F.array(*[_windows(F.col("ws"), k) for k in lengths]))
+    windows = own.select("doc_id", "copy_key", F.explode(each).alias("w")).select("doc_id", "copy_key", F.col("w.at").alias("at"), F.col("w.k").alias("k"), F.col("w.gram").alias("gram"))
+    found = windows.join(F.broadcast(grams) if size <= max_bytes else grams, ["gram", "k"])
     per_doc = found.groupBy("doc_id", "copy_key").agg(
         F.collect_set(F.struct("at", "k")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
     )
-    per_doc = per_doc.select(F.col("doc_id").alias("id_"), F.col("copy_key").alias("key_"), "hits", _covered(F.col("hits")).cast("long").alias("n_hit"), "items")
-    both = base.join(per_doc, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("copy_key") == F.col("key_")), "left")
+    per_doc = stored(
+        per_doc.select(F.col("doc_id").alias("id_"), F.col("copy_key").alias("key_"), "hits", _covered(F.col("hits")).cast("long").alias("n_hit"), "items"), f"{scratch}/hits"
+    )
+    both = base.join(F.broadcast(per_doc) if few and _bytes_of(per_doc) <= max_bytes else per_doc, _same_row(), "left")
     return both.select(
-        "doc_id", "copy_key", "n_words", "hits", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        "doc_id", "copy_key", "n_words", F.coalesce("hits", none).alias("hits"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
 
 
+def _bytes_of(per_doc: DataFrame) -> int:
+    return per_doc.agg(F.sum(F.lit(64) + 8 * F.size("hits") + F.aggregate("items", F.lit(0), lambda a, i: a + F.octet_length(i) + 16))).first()[0] or 0
+
+
 def report(scanned: DataFrame) -> DataFrame:
     return scanned.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -126,18 +137,27 @@ def report(scanned: DataFrame) -> DataFrame:
     )
 
 
+def _hit_rows(docs: DataFrame, benchmark: DataFrame, n: int, *more: str) -> tuple[DataFrame, DataFrame, Column]:
+    """docs with a hidden key, the hit ones by id and key (broadcast where they are few), and when the two match."""
+    key, id_, key_ = fresh(docs, "key", "id_", "key_")
+    hits = scan(docs, benchmark, n).where(F.col("n_hit") > 0).select(F.col("doc_id").alias(id_), F.col("copy_key").alias(key_), *more).dropDuplicates([id_, key_])
+    hits = stored(hits, f"{work_dir(docs.sparkSession)}/hit")
+    small = hits.count() <= BROADCAST_IDS and (not more or _bytes_of(hits.withColumn("items", F.array().cast("array<string>"))) <= MAX_BYTES)
+    own = docs.withColumn(key, _copy_key())
+    return own, F.broadcast(hits) if small else hits, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(key_))
+
+
 def drop_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """Rows of ``docs`` without any hit."""
-    bad = scan(docs, benchmark, n).where(F.col("n_hit") > 0).select(F.col("doc_id").alias("id_"), F.col("copy_key").alias("key_")).distinct()
-    key = F.md5(F.coalesce(docs["text"], F.lit("\x00")).cast("binary"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("id_")) & (key == F.col("key_")), "left_anti")
+    own, bad, same = _hit_rows(docs, benchmark, n)
+    return own.join(bad, same, "left_anti").select(*columns(docs))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """``docs`` with the words that are hit cut out of the text; all else, separators included, stays."""
-    hits = scan(docs, benchmark, n).where(F.col("n_hit") > 0).select(F.col("doc_id").alias("id_"), F.col("copy_key").alias("key_"), "hits").dropDuplicates(["id_", "key_"])
-    key = F.md5(F.coalesce(docs["text"], F.lit("\x00")).cast("binary"))
-    both = docs.join(hits, docs["doc_id"].eqNullSafe(F.col("id_")) & (key == F.col("key_")), "left")
+    (found,) = fresh(docs, "hits")
+    own, hits, same = _hit_rows(docs, benchmark, n, "hits")
+    both = own.join(hits.withColumnRenamed("hits", found) if found != "hits" else hits, same, "left")
     # Case matters not for where words lie: lower-casing A-Z changes no length.
     pieces = F.regexp_extract_all(F.col("text"), F.lit(PIECES.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")), F.lit(0))
     first_is_word = F.col("text").rlike("^" + WORDS.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60"))
@@ -145,7 +165,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFram
     kept = F.filter(
         pieces,
         lambda _, i: ((i + turn) % 2 == 1)
-        | ~F.exists(F.col("hits"), lambda h: (h["at"] <= F.floor((i - turn + 1) / 2)) & (F.floor((i - turn + 1) / 2) < h["at"] + h["k"])),
+        | ~F.exists(F.col(found), lambda h: (h["at"] <= F.floor((i - turn + 1) / 2)) & (F.floor((i - turn + 1) / 2) < h["at"] + h["k"])),
     )
-    text = F.when(F.col("hits").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
-    return both.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])
+    text = F.when(F.col(found).isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
+    return both.select(*[text.alias(c) if c == "text" else own for c, own in zip(docs.columns, columns(docs), strict=True)])
