@@ -93,6 +93,6 @@ ORACLE_SQL: dict[str, str] = {
     "op9_warc": f"""
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
         f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
-        SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN page_id <> first THEN first END AS refers_to FROM f""",
+        SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f""",
 }

@@ -4,9 +4,12 @@ Writing.  A page becomes an HTTP response whose body is sent in chunks.  A block
 longer than ``segment`` bytes is cut: the first record has segment number 1 and
 each ``continuation`` record names it in WARC-Segment-Origin-ID; the last one
 states WARC-Segment-Total-Length.  Of pages with the same payload the one with
-the smallest id is a response and the others are revisits of it.  Records are
-rows of binary, and Spark's text writer, with the blank lines that end a WARC
-record as line separator, commits them as .warc files to any store it reaches.
+the smallest id is a response and the others are revisits of it.  Only ids and
+digests are shuffled to find that out.  Records are rows of binary, and Spark's
+text writer, with the blank lines that end a WARC record as line separator,
+commits them as gzip files to any store it reaches (it names them .txt.gz).  A
+file holds at most ``FILE_RECORDS`` records of at most ``SEGMENT`` bytes each and
+their headers, so a reader's task is bounded whatever the pages.
 
 Reading.  Each file is parsed record by record by Content-Length.  Segments are
 grouped by the id of their first record, a row each, ordered by segment number,
@@ -17,6 +20,7 @@ group of an origin is one page, so it is as large as one page can be.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -36,6 +40,12 @@ HOT_GROUPS = 4096
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
+#: Fixed value: how a gzip file starts.
+GZIP = b"\x1f\x8b"
+#: Records of a file at most.
+FILE_RECORDS = 8_192
+#: More bytes of notes on revisits than this aren't broadcast; a note is 24 bytes.
+BROADCAST_BYTES = 32 << 20
 
 
 def base32_of_hex(hex40: Column) -> Column:
@@ -47,23 +57,27 @@ def base32_of_hex(hex40: Column) -> Column:
     return F.concat(*out)
 
 
-def with_originals(pages: DataFrame, scratch: str, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload_digest, payload_bytes, refers_to: the smallest page_id of the same payload for all but that page itself."""
-    body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+def revisits(pages: DataFrame, scratch: str, least_bytes: int = 0) -> DataFrame:
+    """page_id, html_key (a hash), first: pages with the payload of another page, and that page, the one of the smallest id.
+
+    A null id comes after all others; pages of null ids alone are no revisits.  A
+    payload of over 1/HOT_GROUPS of all pages meets its pages by broadcast: there are
+    no more than HOT_GROUPS of those."""
+    html = F.coalesce(F.col("html"), F.lit(""))
     keys = stored(
-        pages.select(F.col("page_id").cast("long").alias("page_id"), base32_of_hex(F.sha1(body)).alias("payload_digest"), F.octet_length(body).cast("long").alias("payload_bytes")),
+        pages.select(F.col("page_id").cast("long").alias("page_id"), F.xxhash64(html).alias("html_key"), F.unhex(F.sha1(html.cast("binary"))).alias("sha1"), F.octet_length(html).alias("n_bytes")),
         f"{scratch}/payloads",
     )
     groups = stored(
-        keys.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"),
+        keys.where(F.col("n_bytes") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL"),
         f"{scratch}/groups",
     )
     limit = keys.count() // HOT_GROUPS + 1
     hot, cold = F.broadcast(groups.where(F.col("n") > limit)), groups.where(F.col("n") <= limit)
-    few = keys.join(hot, "payload_digest")
-    rest = keys.join(hot.select("payload_digest"), "payload_digest", "left_anti").join(cold.hint("merge"), "payload_digest", "left")
-    refers = F.when(F.col("page_id") != F.col("first"), F.col("first"))
-    return few.unionByName(rest).select("page_id", "payload_digest", "payload_bytes", refers.alias("refers_to"))
+    few = keys.join(hot, "sha1")
+    rest = keys.join(hot.select("sha1"), "sha1", "left_anti").join(cold.hint("merge"), "sha1")
+    again = few.unionByName(rest).where(~F.col("page_id").eqNullSafe(F.col("first")))
+    return stored(again.select("page_id", "html_key", "first").distinct(), f"{scratch}/revisits")
 
 
 def record_id(page_id: int | None, digest: str) -> str:
@@ -92,11 +106,12 @@ def dechunk(framed: bytes) -> bytes:
 def records_of(page: dict, segment: int = SEGMENT, chunk: int = HTTP_CHUNK) -> Iterator[bytes]:
     """The WARC records of a page, without the two line ends that close each."""
     payload = (page["html"] or "").encode()
-    me, revisit = record_id(page["page_id"], page["payload_digest"]), page["refers_to"] is not None
-    common = [f"WARC-Date: {DATE}", f"WARC-Target-URI: {re.sub(r'[\r\n]+', ' ', page['url'] or '')}", f"WARC-Payload-Digest: sha1:{page['payload_digest']}"]
+    digest, revisit = digest_of(payload), page["refers_to"] is not None
+    me = record_id(page["page_id"], digest)
+    common = [f"WARC-Date: {DATE}", f"WARC-Target-URI: {re.sub(r'[\r\n]+', ' ', page['url'] or '')}", f"WARC-Payload-Digest: sha1:{digest}"]
     own = [] if page["page_id"] is None else [f"X-Page-ID: {page['page_id']}"]
     if revisit:
-        kind = ["WARC-Type: revisit", f"WARC-Refers-To: <{record_id(page['refers_to'], page['payload_digest'])}>", f"X-Refers-To-Page: {page['refers_to']}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        kind = ["WARC-Type: revisit", f"WARC-Refers-To: <{record_id(page['refers_to'], digest)}>", f"X-Refers-To-Page: {page['refers_to']}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
         block = HTTP_HEAD
     else:
         kind, block = ["WARC-Type: response"], HTTP_HEAD + chunked(payload, chunk)
@@ -115,20 +130,23 @@ def records_of(page: dict, segment: int = SEGMENT, chunk: int = HTTP_CHUNK) -> I
 
 
 def write(pages: DataFrame, path: str, scratch: str, least_bytes: int = 0) -> None:
-    """pages: page_id, url, html.  A null html is an empty payload; rows that repeat an id and its html are one page."""
-    body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", base32_of_hex(F.sha1(body)).alias("payload_digest"))
-    notes = with_originals(pages, scratch, least_bytes).distinct().select(F.col("page_id").alias("id_"), F.col("payload_digest").alias("digest_"), "refers_to")
-    own = own.dropDuplicates(["page_id", "payload_digest"])
-    both = own.join(notes.hint("merge"), F.col("page_id").eqNullSafe(F.col("id_")) & (F.col("payload_digest") == F.col("digest_"))).drop("id_", "digest_")
+    """A record for each row of pages (page_id, url, html), in segments if it is long.
+
+    A null html is an empty payload, a null url an empty one.  Rows that repeat an
+    id and its html are written each, under one record id."""
+    again = revisits(pages, scratch, least_bytes).withColumnsRenamed({"page_id": "id_", "html_key": "key_", "first": "refers_to"})
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.xxhash64(F.coalesce("html", F.lit(""))).alias("key"))
+    few = again.count() * 24 <= BROADCAST_BYTES
+    both = own.join(F.broadcast(again) if few else again, F.col("page_id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                rows = [r for page in batch.slice(lo, 512).to_pylist() for r in records_of(page)]
+            for lo in range(0, batch.num_rows, 256):
+                rows = [r for page in batch.slice(lo, 256).to_pylist() for r in records_of(page)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["value"])
 
-    both.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", END).text(path)
+    records = both.select("page_id", "url", "html", "refers_to").mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 RECORD = "origin string, segment int, total long, kind string, page_id long, refers_to long, digest string, block binary"
@@ -168,7 +186,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 held: list[dict] = []
-                for r in parse(batch.column("content")[k].as_py()):
+                data = batch.column("content")[k].as_py()
+                for r in parse(gzip.decompress(data) if data[:2] == GZIP else data):
                     held.append(r)
                     if len(held) == 500:
                         yield pa.RecordBatch.from_pylist(held, schema=_SCHEMA)
@@ -183,16 +202,21 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def reassemble(records: DataFrame) -> DataFrame:
     """page_id, record_type, refers_to, stated_digest, payload (null for a revisit): segments joined, lengths verified, framing decoded.
 
-    A record whose segments are missing or don't add up is an error, never a row."""
-    heads = F.max_by(F.struct("kind", "page_id", "refers_to", "digest"), -F.col("segment"))
+    A record whose segments are missing or don't add up is an error, never a row.
+    A record that is there several times, each segment as often, is as many rows;
+    its copies are counted before they are shuffled."""
     whole = records.where(F.col("total").isNotNull() & (F.col("segment") == 1)).select("page_id", "kind", "refers_to", "digest", "block")
     cut = records.where(F.col("total").isNull() | (F.col("segment") > 1))
-    parts = cut.groupBy("origin").agg(heads.alias("h"), F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"))
-    joined = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["block"]))
-    parts = parts.select("h.*", joined.alias("block"), "total", F.size("parts").alias("n"), F.element_at("parts", -1)["segment"].alias("last"))
-    parts = parts.withColumn(
-        "block", F.when((F.octet_length("block") == F.col("total")) & (F.col("n") == F.col("last")), F.col("block")).otherwise(F.raise_error(F.lit("segments are missing or don't add up")))
-    ).select("page_id", "kind", "refers_to", "digest", "block")
+    once = cut.groupBy("origin", "segment").agg(*[F.first(c).alias(c) for c in ("kind", "page_id", "refers_to", "digest", "block", "total")], F.count(F.lit(1)).alias("times"))
+    heads = F.min_by(F.struct("kind", "page_id", "refers_to", "digest"), "segment")
+    parts = once.groupBy("origin").agg(
+        heads.alias("h"), F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"), F.min("times").alias("times"), F.max("times").alias("most")
+    )
+    joined = F.array_join(F.transform("parts", lambda p: F.hex(p["block"])), "")
+    parts = parts.select("h.*", F.unhex(joined).alias("block"), "total", "times", "most", F.size("parts").alias("n"), F.element_at("parts", -1)["segment"].alias("last"))
+    sound = (F.octet_length("block") == F.col("total")) & (F.col("n") == F.col("last")) & (F.col("times") == F.col("most"))
+    parts = parts.withColumn("block", F.when(sound, F.col("block")).otherwise(F.raise_error(F.lit("segments are missing or don't add up"))))
+    parts = parts.select("page_id", "kind", "refers_to", "digest", "block", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("col")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,19 +238,18 @@ def digest_of(payload: bytes) -> str:
 
 
 def archive_and_read(pages: DataFrame, least_bytes: int = 0, scratch: str | None = None) -> DataFrame:
-    """Writes the archives, reads them back, and returns page_id, payload_bytes, payload_digest, record_type, refers_to.
+    """Writes the archives, reads them back, and returns page_id, payload_bytes, payload_digest, record_type, refers_to: a row for each row of ``pages``.
 
     The length and digest of a revisit are those of the response that it names,
     as read back; that response is found by a join whose other side has one row
-    per group of equal payloads."""
+    per group of equal payloads.  A page of null id is a revisit where another
+    page of the same payload has an id, else a response."""
     spark = pages.sparkSession
     scratch = scratch or work_dir(spark)
     write(pages, f"{scratch}/warc", scratch, least_bytes)
     found = reassemble(read_records(spark, f"{scratch}/warc"))
-    short = stored(
-        found.select("page_id", "record_type", "refers_to", "stated_digest", F.octet_length("payload").cast("long").alias("n"), F.when(F.col("payload").isNotNull(), base32_of_hex(F.sha1("payload"))).alias("d")),
-        f"{scratch}/read",
-    )
+    hexed = found.select("page_id", "record_type", "refers_to", "stated_digest", F.octet_length("payload").cast("long").alias("n"), F.sha1("payload").alias("h"))
+    short = stored(hexed, f"{scratch}/read").select("page_id", "record_type", "refers_to", "stated_digest", "n", F.when(F.col("h").isNotNull(), base32_of_hex(F.col("h"))).alias("d"))
     own = short.where("record_type = 'response'").select(
         "page_id", F.col("n").alias("payload_bytes"),
         F.when(F.col("d") == F.col("stated_digest"), F.col("d")).otherwise(F.raise_error(F.lit("the payload differs from its digest"))).alias("payload_digest"),
@@ -234,12 +257,11 @@ def archive_and_read(pages: DataFrame, least_bytes: int = 0, scratch: str | None
     )
     again = short.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "stated_digest")
     named = again.groupBy("refers_to", "stated_digest").agg(F.count(F.lit(1)).alias("times"))
-    lengths = stored(
-        named.join(own.select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest"), "refers_to"), f"{scratch}/named"
-    ).where(F.col("payload_digest") == F.col("stated_digest")).drop("stated_digest")
+    responses = own.select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").distinct()
+    lengths = stored(named.join(responses, "refers_to").where("payload_digest = stated_digest").drop("payload_digest"), f"{scratch}/named")
     limit = short.count() // HOT_GROUPS + 1
     hot, cold = F.broadcast(lengths.where(F.col("times") > limit)), lengths.where(F.col("times") <= limit)
-    few = again.join(hot, "refers_to")
-    rest = again.join(hot.select("refers_to"), "refers_to", "left_anti").join(cold.hint("merge"), "refers_to")
-    revisits = few.unionByName(rest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    return own.unionByName(revisits)
+    on = ["refers_to", "stated_digest"]
+    rest = again.join(hot.select(*on), on, "left_anti").join(cold.hint("merge"), on)
+    both = again.join(hot, on).unionByName(rest).select("page_id", "payload_bytes", F.col("stated_digest").alias("payload_digest"), "record_type", "refers_to")
+    return own.unionByName(both)
