@@ -1,7 +1,9 @@
-"""Heterogeneous effects by linear learners, and effects on unconditional quantiles.
+"""Heterogeneous effects by linear learners, double machine learning, and effects on unconditional quantiles.
 
 Models are fitted from cross-products and applied as column expressions, so that
-each learner is a few aggregates and its effects a column of the input."""
+each learner is a few aggregates and its effects a column of the input.  Cross-
+fitting needs one pass for all folds: a fold's training sums are the total less
+its own."""
 
 from __future__ import annotations
 
@@ -11,16 +13,20 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .moments import cross_products, grouped, ols, solve, square
-from .propensity import with_outcome_models
+from .moments import LeastSquares, centred, cross_products, frame, grouped, inferred, join_by, number, solve, square
+from .panels import unit_means
+from .propensity import BinaryModel, with_outcome_models
+from .ranks import quantiles
 
 
-def _d(c: str) -> Column:
-    return F.col(c).cast("double")
+def _line(beta: Sequence[float], xs: Sequence[str | Column]) -> Column:
+    return sum((float(b) * number(x) for b, x in zip(beta[1:], xs, strict=True) if np.isfinite(b)), F.lit(float(beta[0])))
 
 
-def _line(beta: Sequence[float], xs: Sequence[str]) -> Column:
-    return sum((float(b) * _d(x) for b, x in zip(beta[1:], xs, strict=True)), F.lit(float(beta[0])))
+def s_learner(df: DataFrame, y: str, t: str, xs: Sequence[str]) -> DataFrame:
+    """Df and cate: least squares of y on t, xs and their products; the effect is t's part of it."""
+    beta = LeastSquares(df, y, [t, *xs, *[number(t) * number(x) for x in xs]]).first()["beta"]
+    return df.withColumn("cate", _line([beta[1], *beta[2 + len(xs) :]], xs))
 
 
 def t_learner(df: DataFrame, y: str, t: str, xs: Sequence[str]) -> DataFrame:
@@ -28,46 +34,189 @@ def t_learner(df: DataFrame, y: str, t: str, xs: Sequence[str]) -> DataFrame:
     return with_outcome_models(df, y, t, xs).withColumn("cate", F.col("mu1") - F.col("mu0")).drop("mu0", "mu1")
 
 
+def t_learner_ate(df: DataFrame, y: str, t: str, xs: Sequence[str], alpha: float = 0.05) -> DataFrame:
+    """The mean of the T-learner's effects, with the error from the arms' residual variances, s1^2 / n1 + s0^2 / n0."""
+    own = with_outcome_models(df, y, t, xs)
+    rows = frame(own, {"y": y, "t": t, "mu0": "mu0", "mu1": "mu1"})
+    e = F.col("y") - F.when(F.col("t") == 1, F.col("mu1")).otherwise(F.col("mu0"))
+    arm = lambda f, a: f(F.when(F.col("t") == a, e))
+    var = arm(F.var_samp, 1) / arm(F.count, 1) + arm(F.var_samp, 0) / arm(F.count, 0)
+    return inferred(rows.agg(F.avg(F.col("mu1") - F.col("mu0")).alias("estimate"), F.sqrt(var).alias("se"), F.count(F.lit(1)).alias("n")), alpha)
+
+
 def x_learner(df: DataFrame, y: str, t: str, xs: Sequence[str], p: str = "p") -> DataFrame:
     """Df and cate: imputed effects of either arm, each fitted on xs, weighted by the propensity p (clipped to 0.01-0.99)."""
-    imputed = with_outcome_models(df, y, t, xs).withColumn("gap_", F.when(F.col(t) == 1, _d(y) - F.col("mu0")).otherwise(F.col("mu1") - _d(y)))
-    cols = [F.lit(1.0), *map(_d, xs), F.col("gap_")]
-    fits = {r[t]: solve(r["xx"], len(cols))[0] for r in cross_products(imputed, cols, [t]).collect()}  # one row per arm
+    imputed = with_outcome_models(df, y, t, xs).withColumn("gap_", F.when(F.col(t) == 1, number(y) - F.col("mu0")).otherwise(F.col("mu1") - number(y)))
+    fits = {r[t]: r["beta"] for r in LeastSquares(imputed, "gap_", xs, [t]).table.where(F.col(t).isin(0, 1)).collect()}  # one row per arm
     e = F.least(F.greatest(F.col(p), F.lit(0.01)), F.lit(0.99))
     return df.withColumn("cate", e * _line(fits[0], xs) + (1 - e) * _line(fits[1], xs))
 
 
 def r_learner(df: DataFrame, y: str, t: str, xs: Sequence[str], p: str = "p", ridge: float = 0.0) -> DataFrame:
     """Df and cate: linear in xs, fitted to the outcome's residual on the treatment's residual times (1, xs)."""
-    mu = ols(df, _d(y), [_d(x) for x in xs])["beta"]
-    rt, ry = _d(t) - F.col(p), _d(y) - _line(mu, xs)
-    cols = [rt, *[rt * _d(x) for x in xs], ry]
-    m = square(cross_products(df, cols).first()["xx"], len(cols))
+    mu = LeastSquares(df, y, xs).first()["beta"]
+    rows, means = centred(frame(df, {"y": y, "t": t, "p": p, **{f"x{i}": x for i, x in enumerate(xs)}}), [f"x{i}" for i in range(len(xs))])
+    rt = F.col("t") - F.col("p")
+    ry = F.col("y") - F.lit(float(mu[0] + sum(b * m for b, m in zip(mu[1:], means.values(), strict=True)))) - sum((float(b) * F.col(f"x{i}") for i, b in enumerate(mu[1:])), F.lit(0.0))
+    cols = [rt, *[rt * F.col(f"x{i}") for i in range(len(xs))], ry]
+    m = square(cross_products(rows, cols).first()["xx"], len(cols))
     beta = np.linalg.solve(m[:-1, :-1] + ridge * np.eye(len(cols) - 1), m[:-1, -1])
+    beta[0] -= sum(b * c for b, c in zip(beta[1:], means.values(), strict=True))
     return df.withColumn("cate", _line(beta, xs))
 
 
-def effect_summary(effects: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Mean, spread and range of the column cate, and its number of rows."""
-    return grouped(effects, by, F.avg("cate").alias("estimate"), F.stddev_samp("cate").alias("spread"), F.min("cate").alias("least"), F.max("cate").alias("greatest"), F.count("cate").alias("n"))
-
-
-def rif_effects(df: DataFrame, y: str, t: str, taus: Sequence[float], xs: Sequence[str] = ()) -> DataFrame:
-    """Q2: effects on unconditional quantiles: least squares of the recentred influence function on t and xs.
+def effect_summary(effects: DataFrame, by: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
+    """Mean, spread and range of the column cate, its number of rows, and the error of the mean as if effects were known."""
+    out = grouped(effects, by, F.avg("cate").alias("estimate"), (F.stddev_samp("cate") / F.sqrt(F.count("cate"))).alias("se"), F.stddev_samp("cate").alias("spread"), F.min("cate").alias("least"), F.max("cate").alias("greatest"), F.count("cate").alias("n"))
+    return inferred(out, alpha)
+
+
+class Folds:
+    """Rows with their fold, and linear fits of several targets on xs, each fold's from all other rows: predictions as columns through a small table of coefficients."""
+
+    def __init__(self, df: DataFrame, columns: dict[str, str | Column], xs: Sequence[str | Column], key: str | Column, folds: int, keep: Sequence[str] = ()):
+        """key: a column whose hash deals rows into folds, or an expression that names the fold, from 0 on."""
+        self.names, self.folds = [f"x{i}" for i in range(len(xs))], folds
+        fold = (F.pmod(F.xxhash64(F.col(key)), F.lit(folds)) if isinstance(key, str) else key).cast("int")
+        own = frame(df.withColumn("fold__", fold), {**dict(zip(self.names, xs, strict=True)), **columns}, ["fold__"], keep)
+        self.rows, self.means = centred(own, self.names)
+
+    def fitted(self, targets: Sequence[str], where: Column | None = None, ridge: float = 0.0) -> list[Column]:
+        """A prediction of each target, from the rows ``where`` of the other folds."""
+        rows = self.rows if where is None else self.rows.where(where)
+        x, k = [F.lit(1.0), *map(F.col, self.names)], len(self.names) + 1
+        sums = {r["fold__"]: square(r["xx"], k + len(targets)) for r in cross_products(rows, [*x, *map(F.col, targets)], ["fold__"]).collect()}  # a row per fold
+        total, betas = sum(sums.values()), np.zeros((self.folds, len(targets), k))
+        for f in range(self.folds):
+            m = total - sums.get(f, 0.0) + np.diag([0.0, *[ridge] * (k - 1), *[0.0] * len(targets)])
+            for j in range(len(targets)):
+                keep = [*range(k), k + j]
+                betas[f, j] = np.nan_to_num(solve(m[np.ix_(keep, keep)])[0])
+        return [sum((F.get(F.lit(betas[:, j, i].tolist()), F.col("fold__")) * c for i, c in enumerate(x)), F.lit(0.0)) for j in range(len(targets))]
+
+
+def _clip(p: Column, edge: float) -> Column:
+    return F.least(F.greatest(p, F.lit(edge)), F.lit(1 - edge))
+
+
+def double_ml(df: DataFrame, y: str, t: str, xs: Sequence[str], key: str | Column, folds: int = 5, binary: bool = True, ridge: float = 0.0, alpha: float = 0.05) -> DataFrame:
+    """C4: cross-fitted partialling out: theta is the slope of the outcome's residual on the treatment's, with the influence function's error.
+
+    Folds come from a hash of the key.  Models are linear; a binary treatment's
+    predictions are clipped to 0.01-0.99."""
+    own = Folds(df, {"y": y, "t": t}, xs, key, folds)
+    e, m = own.fitted(["t", "y"], ridge=ridge)
+    r = own.rows.select("fold__", (F.col("t") - (_clip(e, 0.01) if binary else e)).alias("rt"), (F.col("y") - m).alias("ry"))
+    return inferred(_partialled(r), alpha)
+
+
+def _partialled(r: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    theta = grouped(r, by, (F.sum(F.col("rt") * F.col("ry")) / F.sum(F.col("rt") ** 2)).alias("estimate"), F.avg(F.col("rt") ** 2).alias("j_"))
+    both = join_by(r, theta, by)
+    psi = F.col("rt") * (F.col("ry") - F.col("estimate") * F.col("rt")) / F.col("j_")
+    return grouped(both, by, F.max("estimate").alias("estimate"), F.sqrt(F.var_samp(psi) / F.count(F.lit(1))).alias("se"), F.count(F.lit(1)).alias("n"))
+
+
+def double_ml_continuous(df: DataFrame, y: str, d: str, xs: Sequence[str], key: str | Column, folds: int = 5, ridge: float = 0.0, alpha: float = 0.05) -> DataFrame:
+    """The same for a continuous treatment: a row for all (fold null) and one per fold, with the models' out-of-fold R2."""
+    own = Folds(df, {"y": y, "t": d}, xs, key, folds)
+    e, m = own.fitted(["t", "y"], ridge=ridge)
+    r = own.rows.select("fold__", "t", "y", (F.col("t") - e).alias("rt"), (F.col("y") - m).alias("ry"))
+    fit = lambda a, b: 1 - F.sum(F.col(a) ** 2) / (F.var_pop(b) * F.count(F.lit(1)))
+    every = join_by(_partialled(r), r.agg(fit("rt", "t").alias("r2_treatment"), fit("ry", "y").alias("r2_outcome")), ()).withColumn("fold", F.lit(None).cast("long"))
+    each = join_by(_partialled(r, ["fold__"]), r.groupBy("fold__").agg(fit("rt", "t").alias("r2_treatment"), fit("ry", "y").alias("r2_outcome")), ["fold__"])
+    each = each.withColumn("fold", F.col("fold__").cast("long")).drop("fold__")
+    return inferred(every.unionByName(each), alpha)
+
+
+def interactive_dml(df: DataFrame, y: str, t: str, xs: Sequence[str], key: str | Column, folds: int = 5, target: str = "ate", edge: float = 0.025, alpha: float = 0.05) -> DataFrame:
+    """Cross-fitted outcome models per arm and propensity, clipped to 0.025-0.975; the mean of the doubly robust score over all rows ("ate") or over the treated ("atte")."""
+    own = Folds(df, {"y": y, "t": t}, xs, key, folds)
+    (g0,), (g1,), (e,) = own.fitted(["y"], F.col("t") == 0), own.fitted(["y"], F.col("t") == 1), own.fitted(["t"])
+    r = own.rows.select("y", "t", g0.alias("g0"), g1.alias("g1"), _clip(e, edge).alias("p"))
+    t_, y_ = F.col("t"), F.col("y")
+    n = F.count(F.lit(1))
+    if target == "ate":
+        psi = F.col("g1") - F.col("g0") + t_ * (y_ - F.col("g1")) / F.col("p") - (1 - t_) * (y_ - F.col("g0")) / (1 - F.col("p"))
+        return inferred(r.agg(F.avg(psi).alias("estimate"), F.sqrt(F.var_samp(psi) / n).alias("se"), n.alias("n")), alpha)
+    a = t_ * (y_ - F.col("g0")) - (1 - t_) * F.col("p") / (1 - F.col("p")) * (y_ - F.col("g0"))
+    mean = r.agg((F.avg(a) / F.avg(t_)).alias("estimate"), F.avg(t_).alias("share"))
+    psi = (a - t_ * F.col("estimate")) / F.col("share")
+    return inferred(join_by(r, mean, ()).agg(F.max("estimate").alias("estimate"), F.sqrt(F.var_samp(psi) / n).alias("se"), n.alias("n")), alpha)
+
+
+def panel_double_ml(df: DataFrame, y: str, d: str, xs: Sequence[str], unit: str, folds: int = 5, binary: bool = False, ridge: float = 0.0, alpha: float = 0.05, key: Column | None = None) -> DataFrame:
+    """Double machine learning with unit means of the covariates beside them, folds by unit, and errors clustered by unit."""
+    own = unit_means(df, xs, unit)
+    f = Folds(own, {"y": y, "t": d}, [*xs, *[f"{x}_bar" for x in xs]], unit if key is None else key, folds, keep=[unit])
+    e, m = f.fitted(["t", "y"], ridge=ridge)
+    r = f.rows.select(F.col(unit).alias("u"), (F.col("t") - (_clip(e, 0.01) if binary else e)).alias("rt"), (F.col("y") - m).alias("ry"))
+    theta = r.agg((F.sum(F.col("rt") * F.col("ry")) / F.sum(F.col("rt") ** 2)).alias("estimate"), F.sum(F.col("rt") ** 2).alias("j_"), F.count(F.lit(1)).alias("n"))
+    per = join_by(r, theta, ()).groupBy("u").agg(F.sum(F.col("rt") * (F.col("ry") - F.col("estimate") * F.col("rt")) / F.col("j_")).alias("s"), F.max("estimate").alias("estimate"), F.max("n").alias("n"))
+    out = per.agg(F.max("estimate").alias("estimate"), F.sqrt(F.sum(F.col("s") ** 2)).alias("se"), F.max("n").alias("n"), F.count(F.lit(1)).alias("n_units"))
+    return inferred(out, alpha)
+
+
+def rif_effects(df: DataFrame, y: str, t: str, taus: Sequence[float], xs: Sequence[str] = (), unit: str | None = None, alpha: float = 0.05) -> DataFrame:
+    """Q2, and D11 with ``unit``: effects on unconditional quantiles: least squares of the recentred influence function on t and xs (and their unit means).
 
     The density at a quantile is a Gaussian kernel's, of Silverman's bandwidth
-    1.06 min(sd, IQR / 1.34) n^-0.2: one aggregate for all taus."""
-    v = _d(y)
-    first = df.agg(F.percentile(v, F.array(*[F.lit(q) for q in [0.25, 0.75, *taus]])).alias("q"), F.stddev_samp(v).alias("sd"), F.count(v).alias("n")).first()
-    low, high, *at = first["q"]
+    1.06 min(sd, IQR / 1.34) n^-0.2.  Errors are HC0, or clustered by unit."""
+    rows = df.where(number(y).isNotNull() & ~F.isnan(number(y)))
+    if unit:
+        rows, xs = unit_means(rows, xs, unit), [*xs, *[f"{x}_bar" for x in xs]]
+    v = number(y)
+    low, high, *at = quantiles(rows, y, [0.25, 0.75, *taus]).first()["q"]
+    first = rows.agg(F.stddev_samp(v).alias("sd"), F.count(v).alias("n")).first()
     width = 1.06 * min(first["sd"], (high - low) / 1.34) * first["n"] ** -0.2
+    if not width > 0:
+        raise ValueError(f"{y} has no spread")
     kernel = [F.avg(F.exp(-(((v - q) / width) ** 2) / 2)) / (width * float(np.sqrt(2 * np.pi))) for q in at]
-    density = df.agg(*[k.alias(f"f{i}") for i, k in enumerate(kernel)]).first()
-    # The coefficients on (1, t, xs) of all taus share one Gram matrix.
-    below = [F.when(v <= q, 1.0).otherwise(0.0) for q in at]
-    cols = [F.lit(1.0), _d(t), *map(_d, xs)]
-    k = len(cols)
-    m = square(cross_products(df.where(v.isNotNull()), [*cols, *below]).first()["xx"], k + len(at))
-    coefficients = np.linalg.pinv(m[:k, :k]) @ m[:k, k:]
-    rows = [(float(tau), float(q), float(f), float(-coefficients[1, i] / f)) for i, (tau, q, f) in enumerate(zip(taus, at, density, strict=True))]
-    return df.sparkSession.createDataFrame(rows, "tau double, quantile double, density double, estimate double")
+    density = rows.agg(*[k.alias(f"f{i}") for i, k in enumerate(kernel)]).first()
+    each = F.explode(F.array(*[F.struct(F.lit(float(tau)).alias("tau"), F.lit(float(q)).alias("q"), F.lit(float(f)).alias("f")) for tau, q, f in zip(taus, at, density, strict=True)])).alias("z__")
+    wide = rows.select("*", each).select("*", F.col("z__.tau").alias("tau__"), (F.col("z__.q") + (F.col("z__.tau") - F.when(v <= F.col("z__.q"), 1.0).otherwise(0.0)) / F.col("z__.f")).alias("rif__"))
+    fit = LeastSquares(wide, "rif__", [t, *xs], ["tau__"], robust=None if unit else "HC0", cluster=unit)
+    out = fit.coefficient(1, alpha, "clusters").drop("r2", "df")
+    known = df.sparkSession.createDataFrame([(float(tau), float(q), float(f)) for tau, q, f in zip(taus, at, density, strict=True)], "tau double, quantile double, density double")
+    return known.join(out.withColumnRenamed("tau__", "tau"), "tau")
+
+
+def q_learning(df: DataFrame, stages: Sequence[tuple[str, Sequence[str]]], y: str, alpha: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """Backward induction over stages (treatment, history) with linear models of the outcome on history, treatment and their products.
+
+    Returns a row per stage and blip coefficient with HC0 errors, and the value of
+    treating wherever the blip is above 0: the mean of the first stage's best outcome
+    with its error."""
+    own, table = df.withColumn("future__", number(y)), None
+    names = lambda h: ["treatment", *[f"treatment*{x}" for x in h]]
+    for k in range(len(stages) - 1, -1, -1):
+        t, h = stages[k]
+        fit = LeastSquares(own, "future__", [*h, t, *[number(t) * number(x) for x in h]], robust="HC0")
+        for i, term in enumerate(names(h)):
+            one = fit.coefficient(1 + len(h) + i, alpha).drop("r2", "df").withColumns({"stage": F.lit(k + 1).cast("long"), "term": F.lit(term)})
+            table = one if table is None else table.unionByName(one)
+        beta = fit.first()["beta"]
+        blip, base = _line(beta[1 + len(h) :], h), _line(beta[: 1 + len(h)], h)
+        own = own.withColumn("future__", base + F.greatest(blip, F.lit(0.0)))
+    value = own.agg(F.avg("future__").alias("estimate"), (F.stddev_pop("future__") / F.sqrt(F.count("future__"))).alias("se"), F.count("future__").alias("n"))
+    return table, inferred(value, alpha)
+
+
+def a_learning(df: DataFrame, y: str, t: str, xs: Sequence[str], alpha: float = 0.05) -> DataFrame:
+    """One stage by advantage learning: the outcome less the control arm's prediction, regressed on (t - e)(1, xs), e the logistic propensity: a row per blip coefficient with HC0 errors."""
+    model = BinaryModel(df, t, xs)
+    base = LeastSquares(df.where(F.col(t) == 0), y, xs).first()["beta"]
+    own = df.withColumns({"gap__": number(y) - _line(base, xs), "e__": model.probability()})
+    d = number(t) - F.col("e__")
+    # Moments (t - e)(1, xs)(gap - t (1, xs) psi) = 0: an instrumental regression of the gap on t(1, xs) by (t - e)(1, xs).
+    rows = frame(own, {"g": "gap__", "d": d, "t": t, **{f"x{i}": x for i, x in enumerate(xs)}})
+    q = [F.lit(1.0), *[F.col(f"x{i}") for i in range(len(xs))]]
+    k = len(q)
+    sums = rows.agg(*[F.sum(F.col("d") * F.col("t") * a * b).alias(f"a{i}_{j}") for i, a in enumerate(q) for j, b in enumerate(q)], *[F.sum(F.col("d") * F.col("g") * a).alias(f"b{i}") for i, a in enumerate(q)], F.count(F.lit(1)).alias("n")).first()
+    bread = np.linalg.pinv(np.array(list(sums[: k * k])).reshape(k, k))
+    psi = bread @ np.array(list(sums[k * k : k * k + k]))
+    e = F.col("d") * (F.col("g") - F.col("t") * sum((float(b) * c for b, c in zip(psi, q, strict=True)), F.lit(0.0)))
+    meat = square(cross_products(rows, [e * c for c in q]).first()["xx"], k)
+    se = np.sqrt(np.maximum(np.diag(bread @ meat @ bread.T), 0))
+    out = [(c, float(b), float(s), sums["n"]) for c, b, s in zip(["treatment", *[f"treatment*{x}" for x in xs]], psi, se, strict=True)]
+    return inferred(df.sparkSession.createDataFrame(out, "term string, estimate double, se double, n long"), alpha)

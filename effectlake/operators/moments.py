@@ -1,23 +1,96 @@
-"""Grouped moments and cross-products: the two aggregates that most estimators reduce their rows to.
+"""Grouped moments, cross-products and least squares: what most estimators reduce their rows to.
 
 ``by`` names the columns of the segments; every estimator returns a row per
 segment, or one row where ``by`` is empty.  All sums are partial before they are
 shuffled, so a segment that holds a third of all rows costs one row per task.
+
+Rows where a column in use is null or not finite are left out and counted.
+Columns are centred on their means over all rows before products are summed, so
+that a large offset costs no digits; intercepts are put back afterwards.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..functions import stats
+
+#: Up to so many segments are solved on the driver and broadcast to their rows; more are solved in tasks and joined by a shuffle.
+LIMIT = 10_000
+
+
+def number(c: str | Column) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("double")
 
 
 def grouped(df: DataFrame, by: Sequence[str], *aggregates: Column) -> DataFrame:
     return df.groupBy(*by).agg(*aggregates) if by else df.agg(*aggregates)
 
 
+def join_by(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """left and the columns of right, null keys being equal; without keys right is one row."""
+    if not by:
+        return left.crossJoin(F.broadcast(right))
+    named = right.withColumnsRenamed({c: f"{c}__" for c in by})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}__")) for c in by])
+    return left.join(named, same).drop(*[f"{c}__" for c in by])
+
+
+def each_row(table: DataFrame, f: Callable[[dict], dict | None], schema: str) -> DataFrame:
+    """f of each row of a table that has a row per segment: on the driver for few, in tasks for many.  None leaves the row out."""
+    found = table.take(LIMIT + 1)
+    names = StructType.fromDDL(schema).names
+    if len(found) <= LIMIT:
+        made = [x for x in (f(r.asDict()) for r in found) if x is not None]
+        return F.broadcast(table.sparkSession.createDataFrame([tuple(x[n] for n in names) for x in made], schema))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [x for x in (f(r) for r in batch.to_dict("records")) if x is not None]
+            yield pd.DataFrame([[x[n] for n in names] for x in made], columns=names)
+
+    return table.mapInPandas(run, schema)
+
+
+def types(df: DataFrame, names: Sequence[str]) -> list[str]:
+    kinds = dict(df.dtypes)
+    return [f"`{c}` {kinds[c]}" for c in names]
+
+
+def inferred(table: DataFrame, alpha: float = 0.05, df: str | None = None, estimate: str = "estimate", se: str = "se") -> DataFrame:
+    """table and p_value, ci_lower, ci_upper: two-sided, by Student's t where ``df`` names its degrees of freedom and they aren't null, else by the normal.  Null where there is no error."""
+
+    def add(r: dict) -> dict:
+        b, s, k = r[estimate], r[se], r[df] if df else None
+        if b is None or s is None or not s > 0 or not np.isfinite(s) or (k is not None and not k > 0):
+            return {**r, "p_value": None, "ci_lower": None, "ci_upper": None}
+        q = stats.t_quantile(1 - alpha / 2, k) if k is not None else stats.normal_quantile(1 - alpha / 2)
+        return {**r, "p_value": stats.two_sided(b, s, k), "ci_lower": b - q * s, "ci_upper": b + q * s}
+
+    return each_row(table, add, ", ".join([*types(table, table.columns), "p_value double", "ci_lower double", "ci_upper double"]))
+
+
+def frame(df: DataFrame, columns: dict[str, str | Column], by: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """by, keep and the named columns as doubles, without the rows where one of these is null or not finite."""
+    rows = df.select(*by, *[c for c in keep if c not in by], *[number(c).alias(name) for name, c in columns.items()])
+    ok = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in columns]
+    return rows.where(reduce(lambda a, b: a & b, ok))
+
+
+def centred(rows: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict[str, float]]:
+    """The rows with ``columns`` less their means, and the means."""
+    row = rows.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    means = {c: float(row[c]) if row[c] is not None else 0.0 for c in columns}
+    return rows.withColumns({c: F.col(c) - means[c] for c in columns}), means
+
+
 def cross_products(df: DataFrame, columns: Sequence[Column], by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
     """by..., n, and xx: the upper triangle, by rows, of the (weighted) sums of products of ``columns``."""
     w = F.lit(1.0) if weight is None else weight
@@ -33,43 +106,124 @@ def square(triangle: Sequence[float], k: int) -> np.ndarray:
     return out + np.triu(out, 1).T
 
 
-def solve(triangle: Sequence[float], k: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Least squares of the last of k columns on the others: coefficients, inverse of X'X, residual sum of squares."""
-    m = square(triangle, k)
-    inverse = np.linalg.pinv(m[:-1, :-1])
+def solve(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Least squares of the last column of a square of cross-products on the others: coefficients, inverse of X'X, residual sum of squares.
+
+    Columns are scaled to length 1 for it.  One that the others make up has no
+    coefficient of its own (NaN), as has one without any variation."""
+    scale = np.sqrt(np.maximum(np.diag(m)[:-1], 0))
+    scale[scale == 0] = np.inf
+    unit = m[:-1, :-1] / np.outer(scale, scale)
+    inverse = np.linalg.pinv(unit, rcond=1e-12, hermitian=True)
+    known = np.diag(unit @ inverse) > 1 - 1e-6
+    inverse = inverse / np.outer(scale, scale)
     beta = inverse @ m[:-1, -1]
-    return beta, inverse, float(m[-1, -1] - beta @ m[:-1, -1])
-
-
-def ols(df: DataFrame, y: Column, xs: Sequence[Column], robust: str | None = None, cluster: str | None = None) -> dict:
-    """Least squares of y on an intercept and xs: beta, se, cov, n, r2.
-
-    One pass gives the cross-products; a second, for robust variances, the sum of
-    squared scores ("HC0", "HC1", "HC3") or of squared sums per cluster."""
-    cols = [F.lit(1.0), *xs, y]
-    k = len(cols) - 1
-    row = cross_products(df, cols).first()
-    n = row["n"]
-    beta, inverse, rss = solve(row["xx"], k + 1)
-    total = square(row["xx"], k + 1)
-    tss = total[-1, -1] - total[0, -1] ** 2 / n
-    if robust is None and cluster is None:
-        cov = inverse * rss / max(n - k, 1)
-    else:
-        e = y - sum((float(b) * c for b, c in zip(beta[1:], cols[1:-1], strict=True)), F.lit(float(beta[0])))
-        scores = [e * c for c in cols[:-1]]
+    rss = max(float(m[-1, -1] - beta @ m[:-1, -1]), 0.0)
+    return np.where(known, beta, np.nan), inverse, rss
+
+
+class LeastSquares:
+    """Least squares of y on an intercept and xs, per segment.
+
+    One pass gives the means, one the cross-products, and a third the sum of squared
+    scores for robust variances ("HC0", "HC1", "HC3") or of squared sums of scores
+    per cluster.  ``table`` has by..., n, k, beta (the intercept first), cov (k x k by
+    rows), rss, tss and n_clusters; ``extra`` is
+    the number of further coefficients that small-sample factors are to count.  ``rows``
+    are those in use, centred (x0_, x1_, ..., y_), and ``small`` their solution.  With
+    ``weight`` scores are weighted too.  Segments without rows give n 0 and nulls."""
+
+    def __init__(
+        self, df: DataFrame, y: str | Column, xs: Sequence[str | Column], by: Sequence[str] = (), robust: str | None = None, cluster: str | None = None,
+        weight: str | Column | None = None, extra: int = 0, intercept: bool = True, keep: Sequence[str] = (),
+    ):
+        self.by, k0 = list(by), len(xs)
+        names = [f"x{i}_" for i in range(k0)]
+        columns = {**dict(zip(names, xs, strict=True)), "y_": y, **({"w_": weight} if weight is not None else {})}
+        own = frame(df, columns, by, [*([cluster] if cluster else []), *keep])
+        self.rows, means = centred(own, [*names, "y_"]) if intercept else (own, dict.fromkeys([*names, "y_"], 0.0))
+        cols = [*([F.lit(1.0)] if intercept else []), *map(F.col, names), F.col("y_")]
+        k = len(cols) - 1
+        at, kinds = np.array([means[c] for c in names]), types(df, by)
+        grams = cross_products(self.rows, cols, by, F.col("w_") if weight is not None else None)
+        back = np.eye(k)  # from the solution in centred columns to that in the columns as they are
+        if intercept:
+            back[0, 1:] = -at
+
+        def fit(r: dict) -> dict:
+            base = {**{c: r[c] for c in by}, "n": r["n"], "k": k, "n_clusters": None}
+            if not r["n"]:
+                return {**base, "beta": None, "inverse": None, "cov": None, "rss": None, "tss": None, "slope": None}
+            m = square(r["xx"], k + 1)
+            beta, inverse, rss = solve(m)
+            tss = float(m[-1, -1] - m[0, -1] ** 2 / m[0, 0]) if intercept else float(m[-1, -1])
+            out = beta.copy()
+            if intercept:
+                out[0] += means["y_"] - np.nansum(beta[1:] * at)
+            spare = r["n"] - k
+            cov = back @ inverse @ back.T * rss / spare if spare > 0 else np.full_like(inverse, np.nan)
+            return {**base, "beta": out.tolist(), "slope": np.nan_to_num(beta).tolist(), "inverse": inverse.ravel().tolist(), "cov": cov.ravel().tolist(), "rss": rss, "tss": tss}
+
+        shape = ["n long", "k int", "beta array<double>", "cov array<double>", "rss double", "tss double", "n_clusters long"]
+        first = each_row(grams, fit, ", ".join([*kinds, *shape, "slope array<double>", "inverse array<double>"]))
+        self.table, self.small = first.drop("slope", "inverse"), first.select(*by, "n", "slope", "inverse")
+        if robust is None and cluster is None:
+            return
+        joined = join_by(self.rows, first.select(*by, "slope", "inverse"), by)
+        e = F.col("y_") - sum((F.col("slope")[i] * c for i, c in enumerate(cols[:-1])), F.lit(0.0))
+        if weight is not None:
+            e = e * F.col("w_")
         if robust == "HC3":
-            h = sum(float(inverse[i, j]) * cols[i] * cols[j] for i in range(k) for j in range(k))
-            scores = [s / (1 - h) for s in scores]
-        named = df.select(*[s.alias(f"s{i}") for i, s in enumerate(scores)], *([cluster] if cluster else []))
-        factor = 1.0
+            e = e / (1 - sum((F.col("inverse")[i * k + j] * cols[i] * cols[j] for i in range(k) for j in range(k)), F.lit(0.0)))
+        scores = joined.select(*by, *([F.col(cluster).alias("cluster_")] if cluster else []), *[(e * c).alias(f"s{i}") for i, c in enumerate(cols[:-1])])
         if cluster:
-            named = named.groupBy(cluster).agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)])
-        meat_row = cross_products(named, [F.col(f"s{i}") for i in range(k)]).first()
-        if cluster:
-            g = meat_row["n"]
-            factor = g / (g - 1) * (n - 1) / (n - k)
-        elif robust == "HC1":
-            factor = n / (n - k)
-        cov = factor * inverse @ square(meat_row["xx"], k) @ inverse
-    return {"beta": beta, "se": np.sqrt(np.maximum(np.diag(cov), 0)), "cov": cov, "n": n, "k": k, "r2": 1 - rss / tss if tss > 0 else float("nan"), "rss": rss}
+            scores = scores.groupBy(*by, "cluster_").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)])
+        meats = cross_products(scores, [F.col(f"s{i}") for i in range(k)], by).withColumnsRenamed({"n": "g_", "xx": "meat"})
+
+        def sandwich(r: dict) -> dict:
+            cov, n = None, r["n"]
+            if n and r["meat"] is not None and n > k:
+                inverse = np.array(r["inverse"]).reshape(k, k)
+                factor = n / (n - k) if robust == "HC1" else 1.0
+                if cluster:
+                    g, spare = r["g_"], n - k - extra
+                    factor = g / (g - 1) * (n - 1) / spare if g > 1 and spare > 0 else float("nan")
+                cov = (factor * back @ inverse @ square(r["meat"], k) @ inverse @ back.T).ravel().tolist()
+            return {**r, "cov": cov, "n_clusters": r["g_"] if cluster else None}
+
+        self.table = each_row(join_by(first, meats, by), sandwich, ", ".join([*kinds, *shape]))
+
+    def coefficient(self, i: int, alpha: float = 0.05, degrees: str = "rows") -> DataFrame:
+        """by..., estimate, se, n, df, r2, p_value, ci_lower, ci_upper of coefficient i; df is n - k, or the clusters less one."""
+
+        by = self.by
+
+        def pick(r: dict) -> dict:
+            beta, cov, k = r["beta"], r["cov"], r["k"]
+            known = beta is not None and beta[i] is not None and np.isfinite(beta[i])
+            var = cov[i * k + i] if known and cov is not None else None
+            return {
+                **{c: r[c] for c in by}, "estimate": float(beta[i]) if known else None, "se": float(np.sqrt(max(var, 0))) if var is not None and np.isfinite(var) else None, "n": r["n"],
+                "df": int(r["n_clusters"] - 1 if degrees == "clusters" and r["n_clusters"] is not None else r["n"] - k), "r2": 1 - r["rss"] / r["tss"] if r["tss"] else None,
+            }
+
+        table = each_row(self.table, pick, ", ".join([*types(self.table, self.by), "estimate double", "se double", "n long", "df long", "r2 double"]))
+        return inferred(table, alpha, "df")
+
+    def first(self) -> dict:
+        """beta, cov (a matrix), se, n, k, rss and tss where there are no segments."""
+        r = self.table.first().asDict()
+        if r["beta"] is None:
+            raise ValueError("no rows to fit")
+        cov = np.array(r["cov"], float).reshape(r["k"], r["k"])
+        return {**r, "beta": np.array(r["beta"], float), "cov": cov, "se": np.sqrt(np.maximum(np.diag(cov), 0))}
+
+
+def ols(df: DataFrame, y: str | Column, xs: Sequence[str | Column], robust: str | None = None, cluster: str | None = None) -> dict:
+    return LeastSquares(df, y, xs, (), robust, cluster).first()
+
+
+def gram_rows(df: DataFrame, columns: dict[str, str | Column], by: Sequence[str] = ()) -> DataFrame:
+    """by..., n, xx for an intercept and the columns, centred on their means: slopes are the same, products lose no digits."""
+    rows, _ = centred(frame(df, columns, by), list(columns))
+    return cross_products(rows, [F.lit(1.0), *map(F.col, columns)], by)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from effectlake.operators import designs, learners, panels, propensity
+from effectlake.operators import learners, matching, panels, propensity
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +16,7 @@ def data(spark):
     return propensity.with_propensity(spark.createDataFrame(rows, "id long, y double, t int, x double, unit int, time int"), "t", ["x"]).cache(), y, t, x
 
 
-@pytest.mark.parametrize("learner", [learners.t_learner, learners.x_learner, learners.r_learner])
+@pytest.mark.parametrize("learner", [learners.s_learner, learners.t_learner, learners.x_learner, learners.r_learner])
 def test_learners_find_the_effect(data, learner):
     got = {r.id: r.cate for r in learner(data[0], "y", "t", ["x"]).select("id", "cate").collect()}
     assert np.abs(np.array([got[i] for i in range(2000)]) - (2 + 0.5 * data[3])).mean() < 0.15
@@ -61,7 +61,7 @@ def test_unit_means_keep_rows_without_a_unit(spark):
 def test_matched_effect(spark):
     df = spark.createDataFrame([(1, 5.0), (2, 7.0), (3, 1.0), (4, 3.0)], "id long, y double")
     pairs = spark.createDataFrame([(1, 3), (1, 4), (2, 4)], "treated_id long, control_id long")
-    r = designs.matched_effect(df, pairs, "id", "y").first()
+    r = matching.matched_effect(df, pairs, "id", "y").first()
     assert (r.estimate, r.n_matched) == (3.5, 2) and np.isclose(r.se, np.sqrt(0.5 / 2))
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from effectlake.functions import stats
-from effectlake.operators import designs, experiments, moments, panels
+from effectlake.operators import discontinuity, experiments, learners, matching, moments, panels
 
 
 @pytest.fixture(scope="module")
@@ -37,14 +37,14 @@ def test_regression_against_numpy(trial):
 
 
 def test_double_ml_recovers_the_effect(trial):
-    r = designs.double_ml(trial[0], "y", "t", ["x"], "id").first()
+    r = learners.double_ml(trial[0], "y", "t", ["x"], "id").first()
     assert abs(r.estimate - 2) < 4 * r.se
 
 
 def test_nearest_match_against_brute_force(spark):
     rng = np.random.default_rng(5)
     rows = [(i, int(rng.integers(0, 2)), float(np.round(rng.uniform(0, 20), 1))) for i in range(300)]
-    got = {r.treated_id: (r.control_id, round(r.distance, 9)) for r in designs.nearest_match(spark.createDataFrame(rows, "id long, t int, s double"), "id", "t", "s", 0.35).collect()}
+    got = {r.treated_id: (r.control_id, round(r.distance, 9)) for r in matching.nearest_match(spark.createDataFrame(rows, "id long, t int, s double"), "id", "t", "s", 0.35).collect()}
     want = {}
     for i, t, s in rows:
         near = sorted((round(abs(s - b), 9), b, j) for j, u, b in rows if u == 0 and abs(s - b) <= 0.35)
@@ -64,9 +64,9 @@ def test_within_transform_equals_dummies(spark):
 def test_fuzzy_rdd_recovers_the_effect(spark):
     rows = [(x / 10, int((x % 4 == 0) or x >= 0 and x % 2 == 0)) for x in range(-400, 400)]
     df = spark.createDataFrame([(x, d, 1 + 0.5 * x + 3.0 * d) for x, d in rows], "x double, d int, y double")
-    r = designs.fuzzy_rdd(df, "y", "d", "x", 0.0, 20.0).first()
+    r = discontinuity.fuzzy_rdd(df, "y", "d", "x", 0.0, 20.0).first()
     assert math.isclose(r.estimate, 3.0, rel_tol=1e-9) and 0.2 < r.first_stage < 0.3
-    none = designs.fuzzy_rdd(df.withColumn("d", F.lit(1)), "y", "d", "x", 0.0, 20.0).first()
+    none = discontinuity.fuzzy_rdd(df.withColumn("d", F.lit(1)), "y", "d", "x", 0.0, 20.0).first()
     assert none.estimate is None
 
 

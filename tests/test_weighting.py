@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from effectlake.functions import stats
-from effectlake.operators import designs, instruments, propensity
+from effectlake.operators import instruments, propensity
 
 
 @pytest.fixture(scope="module")
@@ -52,7 +52,7 @@ def test_k_class_against_numpy(data):
 
 def test_control_function_is_two_stage_and_set_holds_the_effect(data):
     df = data[0]
-    two = designs.tsls(df, "y", "d", ["z1", "z2"], ["x"]).first()
+    two = instruments.tsls(df, "y", "d", ["z1", "z2"], ["x"]).first()
     assert np.isclose(instruments.control_function(df, "y", "d", ["z1", "z2"], ["x"]).first().estimate, two.estimate)
     r = instruments.anderson_rubin(df, "y", "d", ["z1", "z2"], ["x"]).first()
     assert r.lower < 2 < r.upper and r.p_value < 0.01
