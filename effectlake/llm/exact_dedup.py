@@ -1,7 +1,8 @@
 """Exact deduplication against a persistent digest index.
 
 The index is a table bucketed and sorted by the SHA-256 of the normalised text.
-A new batch is reduced to one row per digest, anti-joined with the index by
+It lives in files under its path, with the number of buckets beside them, so any
+later session opens it again by that path.  A new batch is reduced to one row per digest, anti-joined with the index by
 sort-merge (the index side is read bucket by bucket and never shuffled) and the
 digests that were not there are appended.  Only digests and ids move, texts
 never do.
@@ -9,8 +10,9 @@ never do.
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,10 +37,25 @@ class DigestIndex:
     * An empty batch appends nothing.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, name: str | None = None):
-        self.spark, self.path = spark, path
-        self.buckets = buckets or max(8, shuffle_parts(spark))
-        self.name = name or f"digest_index_{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        """Opens the index under ``path``, or makes a new one of ``buckets`` buckets there."""
+        self.spark, self.path = spark, path.rstrip("/")
+        self.name = f"digest_index_{hashlib.sha256(self.path.encode()).hexdigest()[:32]}"
+        stated = self._stated_buckets()
+        self.buckets = stated or buckets or max(8, shuffle_parts(spark))
+        if not stated:
+            spark.createDataFrame([(self.buckets,)], "buckets int").coalesce(1).write.json(f"{self.path}/about")
+        if not spark.catalog.tableExists(self.name):
+            spark.sql(
+                f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}/rows'"
+            )
+        spark.catalog.refreshTable(self.name)
+
+    def _stated_buckets(self) -> int | None:
+        try:
+            return self.spark.read.schema("buckets int").json(f"{self.path}/about").first()[0]
+        except AnalysisException:
+            return None
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -46,12 +63,12 @@ class DigestIndex:
     def ingest(self, batch: DataFrame) -> None:
         """batch: doc_id and digest.  Appends the digests that are new."""
         found = batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
-        if self.spark.catalog.tableExists(self.name):
-            found = found.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
-        (
-            found.repartition(self.buckets, "digest").write.mode("append").option("path", self.path)
-            .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
-        )
+        found = found.join(self.rows().hint("merge").select("digest"), "digest", "left_anti")
+        found.repartition(self.buckets, "digest").write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+
+    def close(self) -> None:
+        """Takes the table out of the session's catalog; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
 def assign(rows: DataFrame, index: DataFrame, scratch: str) -> DataFrame:
