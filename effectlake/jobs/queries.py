@@ -870,3 +870,46 @@ def policy_a_learning(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def quantile_effects_panel(spark: SparkSession, sf: str) -> DataFrame:
     return L.rif_effects(S.line_items(spark, sf), "y", "t", [0.25, 0.5, 0.75], ["x1"], unit="cluster")
+
+
+@query()
+def series_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    return T.vector_forecast(S.daily_events(spark, sf), "series", "day", ["v", "n"], 1, 3)
+
+
+@query()
+def series_responses(spark: SparkSession, sf: str) -> DataFrame:
+    return T.impulse_responses(S.daily_events(spark, sf), "series", "day", ["v", "n"], 1, 3)
+
+
+@query(f"""WITH g AS (SELECT series, day, v - avg(v) OVER w - regr_slope(v, n) OVER w * (n - avg(n) OVER w) AS e FROM {_DAYS} WINDOW w AS (PARTITION BY series)), l AS (SELECT series, e, lag(e) OVER (PARTITION BY series ORDER BY day) AS e1 FROM g),
+    s AS (SELECT series, count(*) AS n, sum((e - e1) * e1) / sum(e1 * e1) AS b, sum((e - e1) ** 2) AS dd, sum((e - e1) * e1) AS de, sum(e1 * e1) AS ee FROM l WHERE e1 IS NOT NULL GROUP BY 1)
+    SELECT series, b / sqrt((dd - de * de / ee) / (n - 1) / ee) AS statistic, b / sqrt((dd - de * de / ee) / (n - 1) / ee) < -3.34 AS cointegrated, n FROM s""", "series cointegrated n", "statistic")
+def series_cointegration(spark: SparkSession, sf: str) -> DataFrame:
+    return T.cointegration_test(S.daily_events(spark, sf), "series", "day", "v", ["n"], 0)
+
+
+@query(f"SELECT 'z' AS instrument, CASE WHEN abs(corr(z, x1)) >= abs(corr(z, x2)) THEN 'x1' ELSE 'x2' END AS covariate, greatest(abs(corr(z, x1)), abs(corr(z, x2))) AS correlation, greatest(abs(corr(z, x1)), abs(corr(z, x2))) > 0.99 AS collinear, count(*) AS n FROM {LINES}", "instrument covariate collinear n", "correlation")
+def instrument_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    return A.instrument_overlap(S.line_items(spark, sf), ["z"], ["x1", "x2"])
+
+
+@query()
+def bayes_logistic(spark: SparkSession, sf: str) -> DataFrame:
+    return A.logistic_posterior(S.line_items(spark, sf), "t", ["x1", "x2"])
+
+
+@query()
+def mte_polynomial(spark: SparkSession, sf: str) -> DataFrame:
+    return A.polynomial_mte(S.line_items(spark, sf), "y", "t", ["x1", "x2"])
+
+
+@query()
+def mte_effects(spark: SparkSession, sf: str) -> DataFrame:
+    rows = O.with_propensity(S.line_items(spark, sf), "t", ["x1", "x2"])
+    return A.effects_from_mte(A.polynomial_mte(S.line_items(spark, sf), "y", "t", ["x1", "x2"]), rows, "t", "p")
+
+
+@query()
+def cace_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return A.complier_mixture(S.line_items(spark, sf), "y", "t", "z", rounds=20)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -206,3 +207,90 @@ def stratified_propensity(df: DataFrame, t: str, strata: Sequence[str], prior: t
     m = df.where(F.col(t).isNotNull()).groupBy(*strata).agg(F.sum(number(t)).alias("treated"), F.count(F.lit(1)).alias("n"))
     a, b = F.col("treated") + prior[0], F.col("n") - F.col("treated") + prior[1]
     return m.select(*strata, (a / (a + b)).alias("mean"), F.sqrt(a * b / ((a + b) ** 2 * (a + b + 1))).alias("sd"), F.col("treated").cast("long").alias("treated"), "n")
+
+
+def instrument_overlap(df: DataFrame, zs: Sequence[str], xs: Sequence[str], limit: float = 0.99) -> DataFrame:
+    """Per instrument the greatest size of its correlation with a covariate, that covariate, and whether it passes the limit; all from one Gram matrix."""
+    row = gram_rows(df, {f"c{i}": c for i, c in enumerate([*zs, *xs])}).first()
+    k = len(zs) + len(xs)
+    m = square(row["xx"], k + 1)
+    cov = m[1:, 1:] - np.outer(m[0, 1:], m[0, 1:]) / max(row["n"], 1)
+    sd = np.sqrt(np.maximum(np.diag(cov), 0))
+    out = []
+    for i, z in enumerate(zs):
+        r = [abs(cov[i, len(zs) + j] / (sd[i] * sd[len(zs) + j])) if sd[i] * sd[len(zs) + j] > 0 else 0.0 for j in range(len(xs))]
+        best = int(np.argmax(r)) if r else 0
+        out.append((z, xs[best] if r else None, float(r[best]) if r else None, bool(r and r[best] > limit), row["n"]))
+    return df.sparkSession.createDataFrame(out, "instrument string, covariate string, correlation double, collinear boolean, n long")
+
+
+def logistic_posterior(df: DataFrame, t: str, xs: Sequence[str], prior_sd: float = 10.0, alpha: float = 0.05) -> DataFrame:
+    """A row per coefficient of a logistic model with normal priors of mean 0 on all but the intercept: the posterior's mode, and its error by the curvature there."""
+    model = BinaryModel(df, t, xs, ridge=1 / prior_sd**2)
+    rows = [(c, float(b), float(np.sqrt(max(v, 0))), model.n, model.converged) for c, b, v in zip(["intercept", *xs], model.beta, np.diag(model.cov), strict=True)]
+    return inferred(df.sparkSession.createDataFrame(rows, "term string, estimate double, se double, n long, converged boolean"), alpha)
+
+
+def polynomial_mte(df: DataFrame, y: str, d: str, zs: Sequence[str], degree: int = 2, trim: float = 0.01, grid: int = 50) -> DataFrame:
+    """U, mte, se: the derivative in the propensity of a polynomial of y on it, at ``grid`` points of the support that both arms reach within their ``trim`` quantiles; HC0 errors."""
+    scored = df.withColumn("p__", BinaryModel(df, d, zs).probability())
+    ends = {r["t"]: r["q"] for r in quantiles(scored.withColumn("t", F.col(d).cast("int")).where("t IN (0, 1)"), "p__", [trim, 1 - trim], ["t"]).collect()}  # a row per arm
+    if set(ends) != {0, 1}:
+        raise ValueError("both arms need rows")
+    low, high = max(ends[0][0], ends[1][0]), min(ends[0][1], ends[1][1])
+    if not low < high:
+        raise ValueError("the arms' propensities do not overlap")
+    fit = LeastSquares(scored.where(F.col("p__").between(low, high)), y, [F.col("p__") ** j for j in range(1, degree + 1)], robust="HC0").first()
+    us = np.linspace(low, high, grid)
+    slope = np.array([[0.0, *[j * u ** (j - 1) for j in range(1, degree + 1)]] for u in us])
+    mte, var = slope @ np.nan_to_num(fit["beta"]), np.einsum("ij,jk,ik->i", slope, fit["cov"], slope)
+    return df.sparkSession.createDataFrame([(float(u), float(m), float(np.sqrt(max(v, 0)))) for u, m, v in zip(us, mte, var, strict=True)], "u double, mte double, se double")
+
+
+def effects_from_mte(curve: DataFrame, scored: DataFrame, d: str, p: str) -> DataFrame:
+    """The mean of the curve (ate), its mean by the share of treated with a propensity above each point (att), and by that of untreated with one below (atu)."""
+    points = curve.orderBy("u").collect()  # the grid
+    us, mte = np.array([r["u"] for r in points]), np.array([r["mte"] for r in points])
+    v, t = number(p), number(d)
+    counts = scored.agg(*[F.sum(F.when((t == 1) & (v > float(u)), 1).otherwise(0)).alias(f"a{i}") for i, u in enumerate(us)], *[F.sum(F.when((t == 0) & (v <= float(u)), 1).otherwise(0)).alias(f"b{i}") for i, u in enumerate(us)]).first()
+    a, b = np.array(counts[: len(us)], float), np.array(counts[len(us) :], float)
+    mean = lambda w: float((w * mte).sum() / w.sum()) if w.sum() > 0 else None
+    return curve.sparkSession.createDataFrame([(float(mte.mean()), mean(a), mean(b))], "ate double, att double, atu double")
+
+
+def complier_mixture(df: DataFrame, y: str, d: str, z: str, rounds: int = 100, tolerance: float = 1e-8) -> DataFrame:
+    """Compliers, always- and never-takers as a normal mixture of one variance, by expectation-maximisation: cace, share of each, the four means, sd, rounds, converged, n.
+
+    (z, d) cells of takers of one kind are known; in the other two a row is a complier
+    with the odds of its densities.  Each round is one aggregate."""
+    rows = frame(df, {"y": y, "d": d, "z": z}).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        c = F.col
+        cell = lambda f, a, b: f(F.when((c("z") == a) & (c("d") == b), c("y")))
+        first = rows.agg(*[cell(F.avg, a, b).alias(f"m{a}{b}") for a in (0, 1) for b in (0, 1)], F.avg(F.when(c("z") == 1, c("d"))).alias("d1"), F.avg(F.when(c("z") == 0, c("d"))).alias("d0"), F.stddev_pop("y").alias("sd"), F.count(F.lit(1)).alias("n")).first()
+        if not first["n"] or None in (first["m11"], first["m00"], first["d1"], first["d0"]):
+            raise ValueError("both assignments need rows of their own treatment")
+        pa, pn = min(max(first["d0"], 1e-3), 0.998), min(max(1 - first["d1"], 1e-3), 0.998)
+        pc = max(1 - pa - pn, 1e-3)
+        ma, mn = first["m01"] if first["m01"] is not None else first["m11"], first["m10"] if first["m10"] is not None else first["m00"]
+        m1, m0, sd, done, k = first["m11"], first["m00"], max(first["sd"], 1e-9), False, 0
+        while k < rounds and not done:
+            like = lambda m: F.exp(-(((c("y") - float(m)) / float(sd)) ** 2) / 2)  # noqa: E731, B023
+            odds = lambda m, other, p, q: F.when(float(p) * like(m) + float(q) * like(other) > 0, float(p) * like(m) / (float(p) * like(m) + float(q) * like(other))).otherwise(p / (p + q))
+            w1, w0 = odds(m1, ma, pc, pa), odds(m0, mn, pc, pn)  # of being a complier in (1, 1) and in (0, 0)
+            one, none = (c("z") == 1) & (c("d") == 1), (c("z") == 0) & (c("d") == 0)
+            always = F.when(one, 1 - w1).when((c("z") == 0) & (c("d") == 1), 1.0).otherwise(0.0)
+            never = F.when(none, 1 - w0).when((c("z") == 1) & (c("d") == 0), 1.0).otherwise(0.0)
+            kinds = {"1": F.when(one, w1).otherwise(0.0), "0": F.when(none, w0).otherwise(0.0), "a": always, "n": never}
+            centre = {"1": m1, "0": m0, "a": ma, "n": mn}
+            s = rows.agg(*[x for g, w in kinds.items() for x in (F.sum(w).alias(f"w{g}"), F.sum(w * (c("y") - float(centre[g]))).alias(f"y{g}"), F.sum(w * (c("y") - float(centre[g])) ** 2).alias(f"v{g}"))]).first()
+            step = {g: s[f"y{g}"] / s[f"w{g}"] if s[f"w{g}"] > 1e-9 else 0.0 for g in kinds}
+            n = first["n"]
+            sd = max(float(np.sqrt(sum(s[f"v{g}"] - s[f"w{g}"] * step[g] ** 2 for g in kinds) / n)), 1e-9)
+            m1, m0, ma, mn = m1 + step["1"], m0 + step["0"], ma + step["a"], mn + step["n"]
+            pc, pa, pn = (s["w1"] + s["w0"]) / n, s["wa"] / n, s["wn"] / n
+            k, done = k + 1, max(abs(x) for x in step.values()) < tolerance * max(sd, 1.0)
+        out = (m1 - m0, pc, pa, pn, m1, m0, ma, mn, sd, k, bool(done), first["n"])
+        return df.sparkSession.createDataFrame([out], "cace double, compliers double, always double, never double, mean_1 double, mean_0 double, mean_always double, mean_never double, sd double, rounds long, converged boolean, n long")
+    finally:
+        rows.unpersist()

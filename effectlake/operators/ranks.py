@@ -16,6 +16,8 @@ from .moments import grouped, join_by, number
 
 #: Ranges that the values of a segment are cut into.
 RANGES = 4096
+#: Parts that the sketch of a distribution tells apart.
+ACCURACY = 10_000
 
 
 def _ranged(values: DataFrame, v: str, by: Sequence[str]) -> DataFrame:
@@ -40,13 +42,26 @@ def running(values: DataFrame, v: str, k: str, by: Sequence[str] = ()) -> DataFr
 
 
 def quantiles(df: DataFrame, x: str | Column, taus: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """by..., q: the exact quantiles of x with linear interpolation, an array in order of ``taus``; nulls are left out."""
+    """by..., q: the exact quantiles of x with linear interpolation, an array in order of ``taus``; nulls are left out.
+
+    A sketch brackets each quantile: two parts in ACCURACY on either side, where its
+    own error is one.  The next pass counts what lies below each bracket and takes
+    the values in it, which alone are ranked.  Segments of few rows are one bracket."""
+    k, slack = len(taus), 2 / ACCURACY
     rows = df.select(*by, number(x).alias("v")).where("v IS NOT NULL")
-    values = rows.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("k"))
-    ranked = running(values, "v", "k", by)
-    total = grouped(rows, by, F.count(F.lit(1)).alias("total_"))
-    each = join_by(ranked, total, by)
+    ends = [*[max(t - slack, 0.0) for t in taus], *[min(t + slack, 1.0) for t in taus]]
+    first = grouped(rows, by, F.percentile_approx("v", ends, ACCURACY).alias("e"), F.count(F.lit(1)).alias("total_"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    few = F.col("total_") <= 10 * ACCURACY
+    low = [F.when(few | F.lit(t <= slack), F.col("lo")).otherwise(F.col("e")[i]) for i, t in enumerate(taus)]
+    high = [F.when(few | F.lit(t >= 1 - slack), F.col("hi")).otherwise(F.col("e")[k + i]) for i, t in enumerate(taus)]
+    brackets = F.array(*[F.struct(F.lit(i).alias("i"), a.alias("lo"), b.alias("hi")) for i, (a, b) in enumerate(zip(low, high, strict=True))])
+    both = join_by(rows, first.select(*by, brackets.alias("bs")), by)
+    below = grouped(both, by, F.array(*[F.count_if(F.col("v") < F.col("bs")[i]["lo"]) for i in range(k)]).alias("below_"))
+    inside = both.select(*by, "v", F.explode(F.filter("bs", lambda b: F.col("v").between(b["lo"], b["hi"]))).alias("b"))
+    values = inside.groupBy(*by, F.col("b.i").alias("i"), "v").agg(F.count(F.lit(1)).alias("k"))
+    each = join_by(running(values, "v", "k", [*by, "i"]), join_by(first.select(*by, "total_"), below, by), by)
+    each = each.withColumn("before", F.col("before") + F.col("below_")[F.col("i")])
     place = [F.lit(float(t)) * (F.col("total_") - 1) for t in taus]
-    holds = lambda at: F.max(F.when((F.col("before") <= at) & (at < F.col("before") + F.col("k")), F.col("v")))
-    ends = grouped(each, by, *[a.alias(f"{n}{i}") for i, p in enumerate(place) for n, a in (("a", holds(F.floor(p))), ("b", holds(F.ceil(p))))], F.max("total_").alias("total_"))
-    return ends.select(*by, F.array(*[F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (p - F.floor(p)) for i, p in enumerate(place)]).alias("q"))
+    holds = lambda i, at: F.max(F.when((F.col("i") == i) & (F.col("before") <= at) & (at < F.col("before") + F.col("k")), F.col("v")))
+    found = grouped(each, by, *[a.alias(f"{n}{i}") for i, p in enumerate(place) for n, a in (("a", holds(i, F.floor(p))), ("b", holds(i, F.ceil(p))))], F.max("total_").alias("total_"))
+    return found.select(*by, F.array(*[F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (p - F.floor(p)) for i, p in enumerate(place)]).alias("q"))

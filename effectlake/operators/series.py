@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from .moments import cross_products, each_row, frame, number, square, types
+from .moments import LeastSquares, cross_products, each_row, frame, join_by, number, square, types
 
 #: Critical values of the unit-root test at 1, 5 and 10 %, with a constant, with a trend, with neither.
 UNIT_ROOT = {"c": (-3.430, -2.862, -2.567), "ct": (-3.960, -3.410, -3.127), "n": (-2.576, -1.941, -1.616)}
+#: Critical values of the two-step cointegration test at 1, 5 and 10 %.
+COINTEGRATION = (-3.90, -3.34, -3.04)
 #: Critical values of the stationarity test at 10, 5, 2.5 and 1 %, around a level and around a trend.
 STATIONARITY = {"c": (0.347, 0.463, 0.574, 0.739), "ct": (0.119, 0.146, 0.176, 0.216)}
 
@@ -211,3 +213,62 @@ def difference(df: DataFrame, series: str, time: str, x: str, order: int = 1) ->
     for _ in range(order):
         out = out.withColumn(f"{x}_diff", F.col(f"{x}_diff") - F.lag(f"{x}_diff").over(w))
     return out.where(F.col(f"{x}_diff").isNotNull())
+
+
+def vector_forecast(df: DataFrame, series: str, time: str, columns: Sequence[str], lags: int, steps: int) -> DataFrame:
+    """Per series, step and column the forecast of its vector autoregression, from the last ``lags`` rows on."""
+    k = len(columns)
+    fits = vector_autoregression(df, series, time, columns, lags).select(series, "coef")
+    rows = frame(df, {f"c{i}": c for i, c in enumerate(columns)}, [series], [time])
+    last = rows.withColumn("r__", F.row_number().over(Window.partitionBy(series).orderBy(F.col(time).desc()))).where(F.col("r__") <= lags)
+    means = rows.groupBy(series).agg(F.array(*[F.avg(f"c{i}") for i in range(k)]).alias("m"), F.count(F.lit(1)).alias("t"))
+    packed = last.groupBy(series).agg(F.array_sort(F.collect_list(F.struct("r__", *[f"c{i}" for i in range(k)]))).alias("past"))  # ``lags`` rows
+
+    def run(r: dict) -> dict:
+        out = []
+        if r["coef"] is not None and len(r["past"]) == lags:
+            b, m = np.array(r["coef"]).reshape(k, 1 + k * lags), np.array(r["m"])
+            past = [np.array([x[f"c{i}"] for i in range(k)]) - m for x in r["past"]]  # the latest first
+            for step in range(1, steps + 1):
+                now = b @ np.concatenate([[1.0], *past])
+                past = [now, *past[:-1]]
+                out += [(step, c, float(v)) for c, v in zip(columns, now + m, strict=True)]
+        return {series: r[series], "xs": out}
+
+    table = each_row(join_by(join_by(packed, means, [series]), fits, [series]), run, ", ".join([*types(df, [series]), "xs array<struct<step:long,variable:string,forecast:double>>"]))
+    return table.select(series, F.explode("xs").alias("x")).select(series, "x.*")
+
+
+def impulse_responses(df: DataFrame, series: str, time: str, columns: Sequence[str], lags: int, horizons: int, structural: bool = True) -> DataFrame:
+    """Per series, horizon, response and shock the response of the vector autoregression to a shock of one standard deviation, shocks being orthogonal in order of ``columns`` (the Cholesky factor of the residuals' covariance), and its share of the response's forecast-error variance; with structural=False to a unit residual, without shares."""
+    k = len(columns)
+
+    def run(r: dict) -> dict:
+        out = []
+        if r["coef"] is not None:
+            b = np.array(r["coef"]).reshape(k, 1 + k * lags)[:, 1:].reshape(k, lags, k)
+            psi = [np.eye(k)]
+            for h in range(1, horizons + 1):
+                psi.append(sum((b[:, j - 1, :] @ psi[h - j] for j in range(1, min(h, lags) + 1)), np.zeros((k, k))))
+            sigma = np.array(r["sigma"]).reshape(k, k)
+            impact = np.linalg.cholesky(sigma) if structural else np.eye(k)
+            seen = np.zeros((k, k))
+            for h, p in enumerate(psi):
+                response = p @ impact
+                seen += response**2
+                share = seen / seen.sum(1, keepdims=True) if structural else np.full((k, k), np.nan)
+                out += [(h, columns[i], columns[j], float(response[i, j]), float(share[i, j]) if structural else None) for i in range(k) for j in range(k)]
+        return {series: r[series], "xs": out}
+
+    table = each_row(vector_autoregression(df, series, time, columns, lags), run, ", ".join([*types(df, [series]), "xs array<struct<h:long,response:string,shock:string,value:double,share:double>>"]))
+    return table.select(series, F.explode("xs").alias("x")).select(series, "x.*")
+
+
+def cointegration_test(df: DataFrame, series: str, time: str, y: str, xs: Sequence[str], lags: int) -> DataFrame:
+    """Per series the two-step test: y on xs by least squares, and the unit-root statistic (without a constant) of what is left, against the critical values of two variables: statistic, cointegrated (at 5 %), n."""
+    fit = LeastSquares(df, y, xs, [series], keep=[time])
+    cols = [F.lit(1.0), *[F.col(f"x{j}_") for j in range(len(xs))]]
+    both = join_by(fit.rows, fit.small.select(series, "slope"), [series])
+    left = both.select(series, time, (F.col("y_") - sum((F.col("slope")[j] * c for j, c in enumerate(cols)), F.lit(0.0))).alias("left__"))
+    out = unit_root_test(left, series, time, "left__", lags, "n")
+    return out.select(series, "statistic", (F.col("statistic") < COINTEGRATION[1]).alias("cointegrated"), "n")

@@ -362,3 +362,52 @@ def test_synthetic_controls(spark):
     effects = synthetic.synthetic_effects(synthetic.synthetic_paths(df, weights, "u", "p", "y", "first"))
     r = synthetic.placebo_p_values(effects).first()
     assert abs(r.effect - 4) < 0.02 and np.isclose(r.p_value, 1 / 6)
+
+
+def test_forecasts_responses_and_cointegration(spark):
+    rng = np.random.default_rng(15)
+    v = np.zeros((200, 2))
+    for k in range(1, 200):
+        v[k] = [0.5 * v[k - 1, 0] + 0.3 * v[k - 1, 1], 0.4 * v[k - 1, 1]] + rng.normal(size=2)
+    v += 10
+    df = spark.createDataFrame([("s", k, float(a), float(b)) for k, (a, b) in enumerate(v)], "s string, k int, a double, b double")
+    X = np.column_stack([np.ones(199), v[:-1]])
+    b = np.linalg.lstsq(X, v[1:], rcond=None)[0].T
+    one = b @ [1, *v[-1]]
+    got = {(r.step, r.variable): r.forecast for r in series.vector_forecast(df, "s", "k", ["a", "b"], 1, 2).collect()}
+    assert np.allclose([got[1, "a"], got[1, "b"]], one) and np.allclose([got[2, "a"], got[2, "b"]], b @ [1, *one])
+    e = v[1:] - X @ b.T
+    p = np.linalg.cholesky(e.T @ e / 196)
+    rows = {(r.h, r.response, r.shock): r for r in series.impulse_responses(df, "s", "k", ["a", "b"], 1, 2).collect()}
+    want = b[:, 1:] @ b[:, 1:] @ p
+    assert np.allclose([[rows[2, i, j].value for j in "ab"] for i in "ab"], want)
+    total = sum((np.linalg.matrix_power(b[:, 1:], h) @ p) ** 2 for h in range(3))
+    assert np.allclose([[rows[2, i, j].share for j in "ab"] for i in "ab"], total / total.sum(1, keepdims=True))
+    walk = rng.normal(size=300).cumsum()
+    pair = spark.createDataFrame([(s, k, float(2 * walk[k] + (rng.normal() if s == "tied" else 0.0)), float(walk[k] if s == "tied" else rng.normal() + k % 7)) for s in ("tied", "free") for k in range(300)], "s string, k int, y double, x double")
+    assert {r.s: r.cointegrated for r in series.cointegration_test(pair, "s", "k", "y", ["x"], 1).collect()} == {"tied": True, "free": False}
+
+
+def test_complier_mixture_and_marginal_effects(spark):
+    rng = np.random.default_rng(21)
+    n = 4000
+    kind, z = rng.choice(3, n, p=[0.5, 0.2, 0.3]), rng.integers(0, 2, n)  # compliers, always, never
+    d = np.where(kind == 1, 1, np.where(kind == 2, 0, z))
+    y = np.choose(kind, [2.0 * d, 6.0 + 0 * d, -4.0 + 0 * d]) + rng.normal(size=n)
+    df = spark.createDataFrame([(float(a), int(b), int(c)) for a, b, c in zip(y, d, z, strict=True)], "y double, d int, z int")
+    r = associations.complier_mixture(df, "y", "d", "z").first()
+    assert abs(r.cace - 2) < 0.15 and np.allclose([r.compliers, r.always, r.never], [0.5, 0.2, 0.3], atol=0.03) and r.converged
+    x, u = rng.normal(size=n), rng.random(n)
+    p = 1 / (1 + np.exp(-x))
+    t = (u < p).astype(int)
+    out = 1 + t * (3 - 2 * u) + rng.normal(size=n) * 0.1
+    df = spark.createDataFrame([(float(a), int(b), float(c), float(q)) for a, b, c, q in zip(out, t, x, p, strict=True)], "y double, t int, x double, p double")
+    curve = associations.polynomial_mte(df, "y", "t", ["x"])
+    rows = curve.collect()
+    assert max(abs(r.mte - (3 - 2 * r.u)) for r in rows if 0.2 < r.u < 0.8) < 0.4
+    e = associations.effects_from_mte(curve, df, "t", "p").first()
+    assert e.att > e.ate > e.atu
+    over = associations.instrument_overlap(df.withColumn("w", F.col("x") * 2), ["x"], ["y", "w"]).first()
+    assert over.covariate == "w" and over.collinear
+    post = {r.term: r for r in associations.logistic_posterior(df, "t", ["x"], prior_sd=0.01).collect()}
+    assert abs(post["x"].estimate) < 0.1 < 0.5

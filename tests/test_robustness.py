@@ -96,3 +96,13 @@ def test_running_counts_and_quantiles(spark):
     for r in ranks.quantiles(df, "v", taus, ["g"]).collect():
         assert np.allclose(r.q, np.quantile(v["ab".index(r.g) :: 2], taus), rtol=1e-9)
     assert ranks.quantiles(df, "v", [0.3]).first().q == [pytest.approx(np.quantile(v, 0.3))]
+
+
+def test_quantiles_by_brackets(spark, monkeypatch):
+    """Segments of many rows, where only values within a sketch's brackets are ranked."""
+    monkeypatch.setattr(ranks, "ACCURACY", 100)
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=6000), 2)
+    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    taus = [0.0, 0.01, 0.3, 0.5, 0.995, 1.0]
+    assert np.allclose(ranks.quantiles(df, "v", taus).first().q, np.quantile(v, taus))
