@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of an Arrow batch between the JVM and a Python worker; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
 #: A word of the word-based contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,12 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches hold BATCH_BYTES where the session asks for more: a Python worker and its JVM side hold a few batches each, of whatever rows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def work_dir(spark: SparkSession) -> str:
     """A new folder name in the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Where the setting is absent (tests), a temporary folder becomes the checkpoint folder."""
+    Where the setting is absent, a temporary folder becomes the checkpoint folder if
+    all runs on this machine (tests); a cluster needs the setting."""
+    bounded_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     if not spark.sparkContext.getCheckpointDir():

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, shuffle_parts, stored, work_dir
+from .common import WORD, columns, fresh, shuffle_parts, stored, work_dir
 
 #: Documents that share a block of the tree, on average.
 BLOCK = 64
@@ -168,15 +168,10 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = 0, scratc
 
 def mix_documents(docs: DataFrame, weights: DataFrame | None = None, seed: int = 0) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
+    id_, source_, size_, nth_, size, nth, copies, copy = fresh(docs, "id_", "source_", "size_", "nth_", "size__", "nth__", "copies", "copy__")
     plan = mix(docs, weights, seed).where(F.col("copies") > 0).select(
-        F.col("doc_id").alias("id_"), F.col("source").alias("source_"), F.col("size").alias("size_"), F.col("nth").alias("nth_"), "copies"
+        F.col("doc_id").alias(id_), F.col("source").alias(source_), F.col("size").alias(size_), F.col("nth").alias(nth_), F.col("copies").alias(copies)
     )
-    key = [F.col("doc_id").cast("long"), F.col("source"), n_words(F.col("text"))]
-    own = docs.select("*", key[2].alias("size__")).withColumn(
-        "nth__", F.row_number().over(Window.partitionBy("doc_id", "source", "size__").orderBy(F.xxhash64("text")))
-    )
-    both = own.join(
-        plan,
-        key[0].eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("source_")) & (F.col("size__") == F.col("size_")) & (F.col("nth__") == F.col("nth_")),
-    )
-    return both.withColumn("copy__", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[docs[c] for c in docs.columns])
+    own = docs.withColumn(size, n_words(F.col("text"))).withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", "source", size).orderBy(F.xxhash64("text"))))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source_)) & (F.col(size) == F.col(size_)) & (F.col(nth) == F.col(nth_))
+    return own.join(plan, same).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*columns(docs))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, work_dir
+from .common import fresh, stored, work_dir
 from .components import components
 from .textbytes import mix, slices, words
 
@@ -43,7 +43,7 @@ SHINGLE = 5
 #: A token in more documents than this is frequent.
 RARE = 24
 #: More ids than this aren't broadcast: the same join then runs as a shuffle.
-BROADCAST_IDS = 4_000_000
+BROADCAST_IDS = 1_000_000
 HOT_GROUPS = 4096
 _TURN = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _SHORT = np.array([0, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85, 0x5851F42D4C957F2D, 0x14057B7EF767814F], np.uint64)
@@ -65,7 +65,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
             out.append(t[np.concatenate(([True], t[1:] != t[:-1]))])
         elif b > a:
             k = b - a
-            out.append(mix(np.array([(h[a:b] * _TURN[:k]).sum(dtype=np.uint64) + _SHORT[k]], np.uint64)) & _LOW48)
+            out.append(mix((h[a:b] * _TURN[:k]).sum(dtype=np.uint64, keepdims=True) + _SHORT[k : k + 1]) & _LOW48)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -95,8 +95,9 @@ def _needed(a: Column, b: Column) -> Column:
 
 def _ids_only(rows: DataFrame, key: str, ids: DataFrame, how: str) -> DataFrame:
     """rows semi- or anti-joined with ids (one column, id_); broadcast only where the ids are few enough."""
-    few = ids.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, F.col(key) == F.col("id_"), how)
+    few, (id_,) = ids.count() <= BROADCAST_IDS, fresh(rows, "id_")
+    ids = ids.select(F.col("id_").alias(id_))
+    return rows.join(F.broadcast(ids) if few else ids, F.col(key) == F.col(id_), how)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -316,7 +317,8 @@ def similarity_join(docs: DataFrame, scratch: str | None = None) -> DataFrame:
 
     Texts without words have n_shingles 0 and link with nothing; rows with a null
     id have a component only through their set's class.  Rows that repeat an id
-    and a text get a row each."""
+    and a text get a row each; rows that repeat an id with other texts are one
+    document when it comes to links: what one links with, all do."""
     scratch = scratch or work_dir(docs.sparkSession)
     sets = stored(_sets(docs), f"{scratch}/sets")
     classes = stored(sets.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("times")), f"{scratch}/classes")
@@ -336,7 +338,9 @@ def similarity_join(docs: DataFrame, scratch: str | None = None) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each group of linked documents, the row of the smallest id; documents that link with nothing stay."""
+    """Of each group of linked documents, the row of the smallest id; documents that link with nothing stay.
+
+    Rows of one id stay or go together, as do those without an id, which stay."""
     found = similarity_join(docs)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("id_")).distinct()
     return _ids_only(docs, "doc_id", gone, "left_anti")

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import re
 
 import numpy as np
@@ -20,7 +21,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 from .textbytes import hash_between, mix, prefix_hash
 
 #: Bytes of the table of pieces that a worker process keeps.
-TABLE_BYTES = 48 << 20
+TABLE_BYTES = 16 << 20
 #: Longer pieces are encoded each time: hashes of long strings are weaker, and long strings seldom recur.
 LONGEST = 64
 #: A byte-level tokenizer's sign for each byte; bytes without a sign of their own take those from U+0100 on.
@@ -107,6 +108,8 @@ class Encoder:
     """Whole texts, as UTF-8 bytes, to ids.  A tokenizer of another kind than byte-level BPE encodes each text whole."""
 
     def __init__(self, path: str, most_bytes: int = TABLE_BYTES):
+        # Spark's tasks are the threads; those of the tokenizer would each keep memory of their own.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.own = Tokenizer.from_file(path)
         self.pieces = Pieces(most_bytes)
         with open(path, encoding="utf-8") as f:

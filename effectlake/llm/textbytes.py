@@ -21,7 +21,7 @@ _POWERS: dict[int, np.ndarray] = {}
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     if base not in _POWERS or len(_POWERS[base]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         p = np.full(size, base, np.uint64)
         p[0] = 1
         _POWERS[base] = np.multiply.accumulate(p)
@@ -35,7 +35,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(texts: pa.Array, most_bytes: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slices(texts: pa.Array, most_bytes: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows of about ``most_bytes``; a longer text is a run of its own.  Null texts are empty."""
     texts = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts
     if texts.null_count:
