@@ -19,17 +19,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .textbytes import TO_LOWER, mix, slices, sums
 
 #: Labelled documents that training takes, about.
 SAMPLE = 20_000
 GRAMS = 3_000
 SLOTS, HASHES = 1 << 16, 3
-#: More languages than this are refused.
+#: So many languages are learned at most, those with the most text; a column of labels with more values than that is a dirty one.
 MAX_LANGUAGES = 1_024
+#: Parts that a language's n-grams are ranked in.
+SALTS = 64
 UNDETERMINED = "und"
 HELD_OUT = 5
 #: A-Z as a-z, letters beyond ASCII as they are, all else a space.
@@ -86,11 +90,11 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(fold, F.lit(0)) != 0))
     share = min(1.0, sample / max(1, rows.count()))
-    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("text", F.col("lang").cast("string").alias("lang"))
+    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 40)) < int(share * (1 << 40))).select("text", F.col("lang").cast("string").alias("lang"))
 
 
 def train(rows: DataFrame, top: int = GRAMS) -> Model | None:
-    """rows: text, lang.  None where there is nothing to learn from."""
+    """rows: text, lang.  None where there is nothing to learn from.  At most ``MAX_LANGUAGES`` times ``top`` n-grams come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,16 +109,16 @@ def train(rows: DataFrame, top: int = GRAMS) -> Model | None:
                 values, times = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values)), pa.array(values.astype(np.int64)), pa.array(times.astype(np.int64))], ["lang", "gram", "n"])
 
-    counted = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
-    counted = counted.select("*", F.row_number().over(order).alias("k"), F.sum("n").over(Window.partitionBy("lang")).alias("all"))
-    rows_ = counted.where(F.col("k") <= top).collect()
-    sizes: dict[str, int] = {r["lang"]: r["all"] for r in rows_}
-    languages = sorted(sizes, key=lambda x: (-sizes[x], x))
+    counted = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    largest = counted.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.col("all").desc(), "lang").limit(MAX_LANGUAGES).collect()
+    languages = [r["lang"] for r in largest]
+    # The commonest of a language are among the commonest of each of its SALTS parts, so no task ranks a whole language.
+    best = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("n").desc(), "gram"))
+    parts = counted.withColumn("part", F.pmod("gram", F.lit(SALTS))).withColumn("k", best("lang", "part")).where(F.col("k") <= top).drop("k", "part")
+    rows_ = parts.withColumn("k", best("lang")).where((F.col("k") <= top) & F.col("lang").isin(languages)).select("lang", "gram").collect() if languages else []
+    counted.unpersist()
     if not languages:
         return None
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     table = np.zeros((-(-len(languages) // 64), SLOTS), np.uint64)
     rate = np.zeros(len(languages))
     for k, lang in enumerate(languages):
@@ -160,4 +164,5 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def identify(docs: DataFrame) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     return predict(docs, train(training_rows(docs)))

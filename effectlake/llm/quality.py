@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .textbytes import SPACE, slices, sums, words
 
 #: Documents that the scorer learns from, about.
@@ -138,49 +139,64 @@ def features(data: np.ndarray, offsets: np.ndarray, stats: np.ndarray) -> tuple[
     return at, bins
 
 
-def fit(rows: list[tuple[bytes, float]], rounds: int = 150) -> np.ndarray:
-    """Weights of the logistic scorer: trigram buckets, bins of statistics, and the constant."""
-    x = np.zeros((len(rows), N_FEATURES + 1), np.float32)
-    y = np.array([p for _, p in rows], np.float32)
+def vectors(data: np.ndarray, offsets: np.ndarray, stats: np.ndarray) -> np.ndarray:
+    """Documents x N_FEATURES + 1: shares of trigram buckets, bins of statistics, and the constant."""
+    at, bins = features(data, offsets, stats)
+    x = np.zeros((len(offsets) - 1, N_FEATURES + 1), np.float32)
+    for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        x[k, :BUCKETS] = np.bincount(at[a:b], minlength=BUCKETS + 1)[:BUCKETS] / max(1, b - a) * TRIGRAM_SCALE
+        x[k, BUCKETS + bins[:, k]] = 1
     x[:, -1] = 1
-    for k, (text, _) in enumerate(rows):
-        data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
-        at, bins = features(data, offsets, statistics(data, offsets)[0])
-        x[k, :BUCKETS] = np.bincount(at, minlength=BUCKETS + 1)[:BUCKETS] / max(1, len(data)) * TRIGRAM_SCALE
-        x[k, BUCKETS + bins[:, 0]] = 1
-    w, step = np.zeros(N_FEATURES + 1, np.float32), np.zeros(N_FEATURES + 1, np.float32)
+    return x
+
+
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 150) -> np.ndarray:
+    """Weights of the logistic scorer, by gradient steps with momentum."""
+    w, step = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = 0.9 * step + (p - y) @ x / max(1, len(rows)) + 1e-5 * w
+        step = 0.9 * step + (p - y) @ x / max(1, len(x)) + 1e-5 * w
         w = w - 0.5 * step
     return w
 
 
+def linear_scores(data: np.ndarray, offsets: np.ndarray, stats: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The scorer's value for each document, from 0 to 1."""
+    at, bins = features(data, offsets, stats)
+    grams = sums(np.append(w[:BUCKETS], 0.0)[at], offsets, np.float64) / np.maximum(np.diff(offsets), 1)
+    return 1 / (1 + np.exp(-np.clip(grams * TRIGRAM_SCALE + w[BUCKETS:-1][bins].sum(0) + w[-1], -500, 500)))
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict[int, float], np.ndarray]:
     """The posterior of each pattern that occurs, and the scorer's weights.
 
-    The scorer is fitted in one task, on a sample bounded by ``sample`` documents
-    that a hash of id and text picks; all else covers every document."""
+    The scorer is fitted in one task, on about ``sample`` documents that a hash of id
+    and text picks, whatever the number of documents; of each a vector of
+    N_FEATURES numbers comes there, not its text.  All else covers every document."""
+    bounded_batches(docs.sparkSession)
     rows = pattern_counts(docs).collect()
     patterns, counts = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
     good = expectation_maximisation(patterns, counts)[0] if len(rows) else np.zeros(0)
     posterior = dict(zip(patterns.tolist(), good.tolist(), strict=True))
-    share = int(min(1.0, sample / max(1.0, counts.sum())) * 1_000_000) + 1
+    share = int(min(1.0, sample / max(1.0, counts.sum())) * (1 << 40))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes, float]] = []
+    def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("key").to_pylist()
             for row, data, offsets in slices(batch.column("text")):
                 stats, n = statistics(data, offsets)
-                for k, p in enumerate(_patterns(votes(stats, n)).tolist()):
-                    if n[k]:
-                        held.append((keys[row + k], data[offsets[k] : offsets[k + 1]].tobytes(), posterior[p]))
-        yield pa.RecordBatch.from_arrays([pa.array([fit([(t, p) for _, t, p in sorted(held)]).astype(float).tolist()], pa.list_(pa.float64()))], ["w"])
+                x, p = vectors(data, offsets, stats), _patterns(votes(stats, n)).tolist()
+                kept = np.flatnonzero(n > 0).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([keys[row + k] for k in kept], pa.int64()), pa.array([posterior[p[k]] for k in kept], pa.float64()), pa.array([x[k].tobytes() for k in kept], pa.binary())], ["key", "p", "x"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted((k, p, x) for batch in batches for k, p, x in zip(*[batch.column(c).to_pylist() for c in ("key", "p", "x")], strict=True))
+        w = fit(np.frombuffer(b"".join(x for _, _, x in held), np.float32).reshape(-1, N_FEATURES + 1), np.array([p for _, p, _ in held], np.float32))
+        yield pa.RecordBatch.from_arrays([pa.array([w.astype(float).tolist()], pa.list_(pa.float64()))], ["w"])
 
     key = F.xxhash64("text", "doc_id")
-    picked = docs.where(F.col("text").isNotNull()).select(key.alias("key"), "text").where(F.pmod("key", F.lit(1_000_000)) < share)
-    found = picked.repartition(1).mapInArrow(run, "w array<double>").collect()
+    picked = docs.where(F.col("text").isNotNull()).select(key.alias("key"), "text").where(F.pmod("key", F.lit(1 << 40)) < share)
+    found = picked.mapInArrow(vectorise, "key long, p double, x binary").repartition(1).mapInArrow(learn, "w array<double>").collect()
     return posterior, np.array(found[0][0]) if found else np.zeros(N_FEATURES + 1)
 
 
@@ -192,19 +208,15 @@ def score(docs: DataFrame, model: tuple[dict[int, float], np.ndarray], threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         posterior, w = shared.value
-        grams, binned = np.append(w[:BUCKETS], 0.0), w[BUCKETS:-1]
         for batch in batches:
             cols: list[list] = [[], [], [], []]
             for _, data, offsets in slices(batch.column("text")):
                 stats, n = statistics(data, offsets)
                 v = votes(stats, n)
-                at, bins = features(data, offsets, stats)
-                size = np.maximum(np.diff(offsets), 1)
-                z = sums(grams[at], offsets, np.float64) / size * TRIGRAM_SCALE + binned[bins].sum(0) + w[-1]
                 cols[0] += n.tolist()
                 cols[1] += ["".join(map(str, x)) for x in v.T.tolist()]
                 cols[2] += [posterior.get(p, 0.5) for p in _patterns(v).tolist()]
-                cols[3] += np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -500, 500))), 0.0).tolist()
+                cols[3] += np.where(n > 0, linear_scores(data, offsets, stats, w), 0.0).tolist()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_key"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())],
                 ["doc_id", "text_key", "n_words", "votes", "weak_label", "score"],
@@ -221,18 +233,17 @@ def classify(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, in one pass over them: no row is shuffled."""
+    text = docs.columns.index("text")
     model = docs.sparkSession.sparkContext.broadcast(train(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, w = model.value
-        grams, binned = np.append(w[:BUCKETS], 0.0), w[BUCKETS:-1]
         for batch in batches:
             kept: list[np.ndarray] = []
-            for _, data, offsets in slices(batch.column("text")):
+            for _, data, offsets in slices(batch.column(text)):
                 stats, n = statistics(data, offsets)
-                at, bins = features(data, offsets, stats)
-                z = sums(grams[at], offsets, np.float64) / np.maximum(np.diff(offsets), 1) * TRIGRAM_SCALE + binned[bins].sum(0) + w[-1]
-                kept.append((n > 0) & (1 / (1 + np.exp(-np.clip(z, -500, 500))) >= threshold))
+                kept.append((n > 0) & (linear_scores(data, offsets, stats, w) >= threshold))
             yield batch.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names may hold dots
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
