@@ -6,26 +6,33 @@ anchor.  Equal windows have equal anchors at equal places, so a suffix array of
 the anchors alone, one byte position in about 85, finds every long match.  A
 window belongs to one anchor, and an anchor's windows are neighbours.
 
-Family.  The suffix array of a batch has one row per string that starts an
-anchor's suffix, sorted by its hash: how often it occurs, and whether all its
-occurrences have the same context, that is the same bytes over all windows of
-the anchor.  Arrays are tables bucketed and sorted by the hash.  A new batch's
-array is merge-scanned against the levels; two levels of one size become one of
-the next, so a row is rewritten a logarithmic number of times.
-
-Matches.  Where a string's occurrences all have one context, every window of
-theirs is repeated.  Elsewhere one copy of each context is compared window by
-window.  What repeated windows cover is removed.
+Family.  The suffix array of a batch holds the suffixes that start at its anchors,
+in order of their first 32 bytes: the place of the first, how many begin alike,
+and whether all of those have the same context, that is the same bytes over all
+windows of the anchor.  Suffixes that begin alike are one entry; so a string in a
+third of all documents is one row.  Arrays are tables bucketed and sorted by those
+bytes.  A new batch's array is merge-scanned against every level, which gives the
+long matches of the batch, and only then becomes a level itself; levels of about
+one size are merged into one, so an entry is rewritten a logarithmic number of
+times.  The levels are listed in a manifest beside them, and any session opens the
+family again by its path.
+
+Matches.  Where all contexts of a string agree (by a 64-bit BLAKE2 digest), every
+window of theirs is repeated.  Elsewhere one copy of each context is compared window
+by window: candidates by hash, and then the bytes themselves.  What repeated windows
+cover is removed.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,12 +41,18 @@ from .textbytes import _BASE, _VALUE, hash_between, mix, powers, slices
 
 LENGTH, GRAM = 200, 32
 #: Batches that a set of documents is taken in.
-BATCHES = 4
+BATCHES = 3
+#: Levels are merged when the older has fewer entries than this many times the newer.
+RATIO = 1.5
 #: Strings with more contexts than this are compared by a shuffle of window hashes, not in one task.
 CONTEXTS = 20_000
-BROADCAST_IDS = 4_000_000
-_C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
-ANCHOR = "doc_id long, tk int, at int, lo int, hi int, g long, ctx long"
+#: More documents than this aren't broadcast; each is 12 bytes.
+BROADCAST_IDS = 1_000_000
+#: Strings with over this part of all anchors meet their rows by broadcast: there are no more than that many of them.
+HOT_STRINGS = 4096
+_OTHER_BASE = 0xD6E8FEB86659FD93
+ANCHOR = "doc_id long, tk int, at int, lo int, hi int, gram binary, ctx long"
+ENTRY = "gram binary, n long, ctx long, doc_id long, at int"
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
@@ -58,7 +71,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Document number, place in it, first and last window, hash of the string and of the context, for each anchor."""
+    """Document number, place in it, first and last window, the string and a digest of the context, for each anchor."""
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
         return (none,) * 6
@@ -73,10 +86,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     at = (least[p] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     lo, hi, at = p[first], p[np.append(first[1:], len(p)) - 1], at[first]
-    ctx = mix(hash_between(h, lo, hi + LENGTH) + (at - lo).astype(np.uint64) * _C[0] + (hi - lo).astype(np.uint64) * _C[1])
+    raw = data.tobytes()
+    ctx = [
+        hashlib.blake2b(raw[a : b + LENGTH], digest_size=8, salt=struct.pack("<II", c - a, b - a)).digest() for a, b, c in zip(lo.tolist(), hi.tolist(), at.tolist(), strict=True)
+    ]
     doc = np.searchsorted(offsets, at, "right") - 1
     base = offsets[doc]
-    return doc, at - base, lo - base, hi - base, gram[at].view(np.int64), ctx.view(np.int64)
+    return doc, at - base, lo - base, hi - base, data[at[:, None] + np.arange(GRAM)], np.frombuffer(b"".join(ctx), np.int64)
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
@@ -86,50 +102,80 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids, keys = batch.column("doc_id"), batch.column("tk")
             for row, data, offsets in slices(batch.column("text")):
-                doc, *rest = anchors(data, offsets)
+                doc, *places, strings, ctx = anchors(data, offsets)
                 if len(doc):
                     take = pa.array(doc + row)
-                    yield pa.RecordBatch.from_arrays([ids.take(take), keys.take(take), *[pa.array(x.astype(np.int32)) for x in rest[:3]], *[pa.array(x) for x in rest[3:]]], ["doc_id", "tk", "at", "lo", "hi", "g", "ctx"])
+                    bounds = pa.py_buffer(np.arange(0, GRAM * len(doc) + 1, GRAM, dtype=np.int32))
+                    gram = pa.BinaryArray.from_buffers(pa.binary(), len(doc), [None, bounds, pa.py_buffer(np.ascontiguousarray(strings))])
+                    yield pa.RecordBatch.from_arrays([ids.take(take), keys.take(take), *[pa.array(x.astype(np.int32)) for x in places], gram, pa.array(ctx)], ["doc_id", "tk", "at", "lo", "hi", "gram", "ctx"])
 
     return docs.mapInArrow(run, ANCHOR)
 
 
 class IndexFamily:
-    """Sparse suffix arrays of geometrically growing sizes: g, n (occurrences), ctx (their one context) or null."""
+    """Sparse suffix arrays of geometrically growing sizes, in files under ``path``.
+
+    An entry: gram (the suffix's first 32 bytes, by which arrays are sorted), n (how
+    many suffixes begin so), ctx (their one context, or null), and the place of the
+    first: doc_id, at.  A level that was merged into another is emptied."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
-        self.spark, self.path = spark, path
+        """Opens the family under ``path``, or begins one of ``buckets`` buckets there."""
+        self.spark, self.path = spark, path.rstrip("/")
         self.buckets = buckets or max(8, shuffle_parts(spark))
-        self.levels: list[tuple[int, str]] = []  # (size class, table), the largest first
-
-    def _save(self, rows: DataFrame) -> str:
+        self.turn, self.levels = 0, []  # (entries, table), the largest first
+        try:
+            last = spark.read.schema("turn long, buckets int, levels array<struct<rows:long,name:string>>").json(f"{self.path}/manifest/*").orderBy(F.col("turn").desc()).first()
+        except AnalysisException:
+            last = None
+        if last is not None:
+            self.turn, self.buckets, self.levels = last["turn"], last["buckets"], [(x["rows"], x["name"]) for x in last["levels"]]
+            for _, name in self.levels:
+                if not spark.catalog.tableExists(name):
+                    spark.sql(f"CREATE TABLE {name} ({ENTRY}) USING parquet CLUSTERED BY (gram) SORTED BY (gram) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+
+    def _save(self, rows: DataFrame) -> tuple[int, str]:
         name = f"suffixes_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "g").write.option("path", f"{self.path}/{name}").bucketBy(self.buckets, "g").sortBy("g").saveAsTable(name)
-        return name
+        # Dealt by gram already, by an aggregate or a merge: where tasks and buckets are as many, a task holds whole buckets.
+        rows = rows if self.buckets == shuffle_parts(self.spark) else rows.repartition(self.buckets, "gram")
+        rows.select("gram", "n", "ctx", "doc_id", "at").write.option("path", f"{self.path}/{name}").option("compression", "zstd").bucketBy(self.buckets, "gram").sortBy("gram").saveAsTable(name)
+        return self.spark.table(name).count(), name
 
     @staticmethod
-    def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
-        """Merge-scan of two arrays by their order: strings of either, and for those of both whether the contexts agree."""
-        b = b.select("g", F.col("n").alias("n_"), F.col("ctx").alias("ctx_"))
+    def _merged(a: DataFrame, b: DataFrame, how: str = "full") -> DataFrame:
+        """Merge-scan of two arrays by their order: entries of either (or of b, how="right"), and for those of both whether the contexts agree."""
+        b = b.withColumnsRenamed({c: f"{c}_" for c in ("n", "ctx", "doc_id", "at")})
         both = F.col("n").isNotNull() & F.col("n_").isNotNull()
         ctx = F.when(~both, F.coalesce("ctx", "ctx_")).when(F.col("ctx") == F.col("ctx_"), F.col("ctx"))
-        return a.hint("merge").join(b.hint("merge"), "g", "full").select("g", (F.coalesce("n", F.lit(0)) + F.coalesce("n_", F.lit(0))).alias("n"), ctx.alias("ctx"))
-
-    def add(self, batch: DataFrame) -> None:
-        """batch: anchor rows."""
-        one = batch.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("a"), F.max("ctx").alias("b"))
-        level = (0, self._save(one.select("g", "n", F.when(F.col("a") == F.col("b"), F.col("a")).alias("ctx"))))
-        while self.levels and self.levels[-1][0] == level[0]:
-            size, name = self.levels.pop()
-            level = (size + 1, self._save(self._merged(self.spark.table(name), self.spark.table(level[1]))))
+        joined = a.hint("merge").join(b.hint("merge"), "gram", how)
+        place = [F.when(F.col("n").isNotNull(), F.col(c)).otherwise(F.col(f"{c}_")).alias(c) for c in ("doc_id", "at")]
+        return joined.select("gram", (F.coalesce("n", F.lit(0)) + F.coalesce("n_", F.lit(0))).alias("n"), ctx.alias("ctx"), *place)
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """batch: anchor rows.  The entries of the batch's array that occur more than once, in it or in the levels before it, with the counts and contexts of both; then the array joins the family."""
+        one = batch.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("a"), F.max("ctx").alias("b"), F.min(F.struct("doc_id", "at")).alias("first"))
+        level = self._save(one.select("gram", "n", F.when(F.col("a") == F.col("b"), F.col("a")).alias("ctx"), "first.*"))
+        found = self.spark.table(level[1])
+        for _, name in self.levels:
+            found = self._merged(self.spark.table(name), found, "right")
+        found = stored(found.where("n > 1"), f"{self.path}/matches_{self.turn}")
+        gone = []
+        while self.levels and self.levels[-1][0] < RATIO * level[0]:
+            gone += [self.levels.pop()[1], level[1]]
+            level = self._save(self._merged(self.spark.table(gone[-2]), self.spark.table(gone[-1])))
         self.levels.append(level)
-
-    def array(self) -> DataFrame:
-        """All levels in one scan."""
-        out = None
+        self.turn += 1
+        rows = [(self.turn, self.buckets, self.levels)]
+        self.spark.createDataFrame(rows, "turn long, buckets int, levels array<struct<rows:long,name:string>>").coalesce(1).write.json(f"{self.path}/manifest/{self.turn:08d}")
+        for name in gone:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self.spark.createDataFrame([], ENTRY).write.mode("overwrite").parquet(f"{self.path}/{name}")
+        return found
+
+    def close(self) -> None:
+        """Takes the tables out of the session's catalog; their files stay."""
         for _, name in self.levels:
-            out = self.spark.table(name) if out is None else self._merged(out, self.spark.table(name))
-        return out
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def _runs(found: np.ndarray) -> tuple[list[int], list[int]]:
@@ -138,8 +184,8 @@ def _runs(found: np.ndarray) -> tuple[list[int], list[int]]:
     return found[np.append(0, cut + 1)].tolist(), (found[np.append(cut, len(found) - 1)] + LENGTH).tolist()
 
 
-_RANGES = pa.schema([("g", pa.int64()), ("ctx", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
-RANGES = "g long, ctx long, starts array<int>, ends array<int>"
+_RANGES = pa.schema([("g", pa.binary()), ("ctx", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("n", pa.int64())])
+RANGES = "g binary, ctx long, starts array<int>, ends array<int>, n long"
 
 
 def window_hashes(context: bytes) -> np.ndarray:
@@ -148,19 +194,47 @@ def window_hashes(context: bytes) -> np.ndarray:
     return hash_between(h, start, start + LENGTH)
 
 
+def _second_hashes(context: bytes) -> np.ndarray:
+    """Hashes of the windows by another base."""
+    p = powers(_OTHER_BASE, len(context) + 1)
+    h = np.zeros(len(context) + 1, np.uint64)
+    np.cumsum(_VALUE[255 - np.frombuffer(context, np.uint8)] * p[:-1], out=h[1:])
+    start = np.arange(len(context) - LENGTH + 1)
+    return mix((h[start + LENGTH] - h[start]) * powers(pow(_OTHER_BASE, -1, 2**64), len(context) + 1)[start])
+
+
+def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the windows at a are those at b.  Where both go on by one from the pair before, only their last bytes are new."""
+    on = np.zeros(len(a), bool)
+    on[1:] = (np.diff(a) == 1) & (np.diff(b) == 1)
+    if (data[a[on] + LENGTH - 1] != data[b[on] + LENGTH - 1]).any():
+        return False
+    first = np.flatnonzero(~on)
+    return all(
+        bool((data[a[part][:, None] + np.arange(LENGTH)] == data[b[part][:, None] + np.arange(LENGTH)]).all()) for part in (first[k : k + 5_000] for k in range(0, len(first), 5_000))
+    )
+
+
 def _compare(rows: list[dict]) -> list[dict]:
     """Contexts of one string; for each the ranges, from the anchor, of windows that occur twice."""
     hashes = [window_hashes(r["context"]) for r in rows]
-    sizes = [len(x) for x in hashes]
-    _, which = np.unique(np.concatenate(hashes), return_inverse=True)
+    sizes = np.array([len(x) for x in hashes])
+    _, where, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    # The place of each window in all contexts one after the other, and of the first with its hash.
+    data = np.frombuffer(b"".join(r["context"] for r in rows), np.uint8)
+    ends = np.cumsum([len(r["context"]) for r in rows])
+    place = np.concatenate([np.arange(n) + e - len(r["context"]) for r, n, e in zip(rows, sizes, ends, strict=True)])
+    if not _same_bytes(data, place, place[where][which]):  # two windows share a hash only: go by the bytes alone
+        raw = data.tobytes()
+        _, which = np.unique([raw[p : p + LENGTH] for p in place.tolist()], return_inverse=True)
     times = np.bincount(which, weights=np.repeat([r["n"] for r in rows], sizes))[which]
     out, at = [], 0
-    for r, n in zip(rows, sizes, strict=True):
+    for r, n in zip(rows, sizes.tolist(), strict=True):
         found = np.flatnonzero(times[at : at + n] > 1) - r["left"]
         at += n
         if len(found):
-            starts, ends = _runs(found)
-            out.append({"g": r["g"], "ctx": r["ctx"], "starts": starts, "ends": ends})
+            starts, ends_ = _runs(found)
+            out.append({"g": r["g"], "ctx": r["ctx"], "starts": starts, "ends": ends_, "n": r["n"]})
     return out
 
 
@@ -185,9 +259,9 @@ def _by_string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
-            f = window_hashes(r["context"]).view(np.int64)
+            f, f2 = window_hashes(r["context"]).view(np.int64), _second_hashes(r["context"]).view(np.int64)
             k = len(f)
-            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array([r["g"]] * k, pa.int64()), pa.array([r["ctx"]] * k, pa.int64()), pa.array(np.arange(k, dtype=np.int32) - r["left"]), pa.array([r["n"]] * k, pa.int64())], ["f", "g", "ctx", "r", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(f2), pa.array([r["g"]] * k, pa.binary()), pa.array([r["ctx"]] * k, pa.int64()), pa.array(np.arange(k, dtype=np.int32) - r["left"]), pa.array([r["n"]] * k, pa.int64())], ["f", "f2", "g", "ctx", "r", "n"])
 
 
 def _to_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +269,7 @@ def _to_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for r in batch.to_pylist():
             starts, ends = _runs(np.sort(np.array(r["r"])))
-            out.append({"g": r["g"], "ctx": r["ctx"], "starts": starts, "ends": ends})
+            out.append({"g": r["g"], "ctx": r["ctx"], "starts": starts, "ends": ends, "n": r["n"]})
         yield pa.RecordBatch.from_pylist(out, schema=_RANGES)
 
 
@@ -212,7 +286,7 @@ def _texts_of(docs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("g", pa.int64()), ("ctx", pa.int64()), ("left", pa.int32()), ("n", pa.int64()), ("context", pa.binary())])
+    schema = pa.schema([("g", pa.binary()), ("ctx", pa.int64()), ("left", pa.int32()), ("n", pa.int64()), ("context", pa.binary())])
     for batch in batches:
         for lo in range(0, batch.num_rows, 100):
             out = []
@@ -222,17 +296,28 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
 
+def _split(rows: DataFrame, table: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """rows joined with table (keys, n and more): its rows of n over ``limit`` by broadcast, since there are few of them, the others by a merge."""
+    hot, cold = F.broadcast(table.where(F.col("n") > limit)), table.where(F.col("n") <= limit)
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(cold.hint("merge"), keys)
+    return rows.join(hot, keys).unionByName(rest).drop("n")
+
+
 def repeated_ranges(docs: DataFrame, scratch: str, batches: int = BATCHES) -> DataFrame:
     """id_, tk_ and ranges (array of start, end; may overlap) of each document that holds a repeated string."""
     spark = docs.sparkSession
     batch = F.pmod(F.xxhash64("doc_id", "tk"), F.lit(batches)).cast("int").alias("batch")
-    anchor_rows(docs).select("*", batch).write.partitionBy("batch").parquet(f"{scratch}/anchors")
+    anchor_rows(docs).select("*", batch).write.partitionBy("batch").option("compression", "zstd").parquet(f"{scratch}/anchors")
     rows = spark.read.schema(ANCHOR + ", batch int").parquet(f"{scratch}/anchors")
-    family = IndexFamily(spark, f"{scratch}/family")
+    family, found = IndexFamily(spark, f"{scratch}/family"), None
     for k in range(batches):
-        family.add(rows.where(F.col("batch") == k).drop("batch"))
-    again = family.array().where("n > 1").select("g", F.col("ctx").isNull().alias("mixed"))
-    met = stored(rows.drop("batch").join(again.hint("merge"), "g"), f"{scratch}/met")
+        matches = family.add(rows.where(F.col("batch") == k).drop("batch"))
+        found = matches if found is None else found.unionByName(matches)
+    family.close()
+    # A string met in several batches is known best from the last, which has seen most of it.
+    again = found.groupBy("gram").agg(F.max(F.struct("n", F.col("ctx").isNull().alias("mixed"))).alias("x")).select("gram", "x.n", "x.mixed")
+    limit = rows.count() // HOT_STRINGS + 1
+    met = stored(_split(rows.drop("batch"), stored(again, f"{scratch}/again"), ["gram"], limit).withColumnRenamed("gram", "g"), f"{scratch}/met")
     whole = met.where(~F.col("mixed")).select(F.col("doc_id").alias("id_"), F.col("tk").alias("tk_"), F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("end"))
     mixed = met.where("mixed")
     one = F.min(F.struct("doc_id", "tk", "at", "lo", "hi")).alias("one")
@@ -242,19 +327,19 @@ def repeated_ranges(docs: DataFrame, scratch: str, batches: int = BATCHES) -> Da
         F.collect_list(F.struct("g", "ctx", F.col("one.at").alias("at"), F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"), "n")).alias("xs")
     )
     per_doc = stored(per_doc, f"{scratch}/per_doc")
-    contexts = stored(_texts_of(docs, per_doc, "xs").mapInArrow(_contexts, "g long, ctx long, left int, n long, context binary"), f"{scratch}/contexts")
+    contexts = stored(_texts_of(docs, per_doc, "xs").mapInArrow(_contexts, "g binary, ctx long, left int, n long, context binary"), f"{scratch}/contexts")
     # ``many`` has a row for each string with over CONTEXTS contexts: no more than one anchor in CONTEXTS.
     few = many.count() <= BROADCAST_IDS
     hot = F.broadcast(many) if few else many
     ranges = contexts.join(hot, F.col("g") == F.col("g_"), "left_anti").repartition("g").sortWithinPartitions("g").mapInArrow(_by_string, RANGES)
     if not many.isEmpty():
-        windows = contexts.join(hot, F.col("g") == F.col("g_"), "left_semi").mapInArrow(_windows, "f long, g long, ctx long, r int, n long")
+        windows = contexts.join(hot, F.col("g") == F.col("g_"), "left_semi").mapInArrow(_windows, "f long, f2 long, g binary, ctx long, r int, n long")
         windows = stored(windows, f"{scratch}/windows")
-        twice = stored(windows.groupBy("f").agg(F.sum("n").alias("times")).where("times > 1").select("f"), f"{scratch}/twice")
-        seen = windows.join(twice.hint("merge"), "f").groupBy("g", "ctx").agg(F.collect_set("r").alias("r"))
+        twice = stored(windows.groupBy("f", "f2").agg(F.sum("n").alias("times")).where("times > 1").select("f", "f2"), f"{scratch}/twice")
+        seen = windows.join(twice.hint("merge"), ["f", "f2"]).groupBy("g", "ctx").agg(F.collect_set("r").alias("r"), F.max("n").alias("n"))
         ranges = ranges.unionByName(seen.mapInArrow(_to_ranges, RANGES))
-    ranges = stored(ranges, f"{scratch}/ranges").withColumnsRenamed({"g": "g_", "ctx": "ctx_"})
-    parts = mixed.join(ranges.hint("merge"), (F.col("g") == F.col("g_")) & (F.col("ctx") == F.col("ctx_")))
+    ranges = stored(ranges, f"{scratch}/ranges")
+    parts = _split(mixed, ranges, ["g", "ctx"], limit)
     parts = parts.select(F.col("doc_id").alias("id_"), F.col("tk").alias("tk_"), "at", F.explode(F.arrays_zip("starts", "ends")).alias("x"))
     parts = parts.select("id_", "tk_", (F.col("at") + F.col("x.starts")).alias("start"), (F.col("at") + F.col("x.ends")).alias("end"))
     return whole.unionByName(parts).groupBy("id_", "tk_").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
@@ -287,8 +372,7 @@ def remove_repeats(docs: DataFrame, scratch: str | None = None, batches: int = B
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
 
     A null text is empty.  All occurrences of a repeated string go, the first
-    included.  Rows that repeat an id and a text are occurrences like any other.
-    Strings are compared by 64-bit hashes of their 200 bytes."""
+    included.  Rows that repeat an id and a text are occurrences like any other."""
     scratch = scratch or work_dir(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("tk"), F.coalesce("text", F.lit("")).alias("text"))
     found = stored(repeated_ranges(own, scratch, batches), f"{scratch}/found")
