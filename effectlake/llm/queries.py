@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, langid, mixing, ngram_join, quality, sharding, suffix_dedup, token_planes, warc
+from . import chat_format, decontam, exact_dedup, langid, mixing, ngram_join, periodic_runs, quality, sharding, suffix_dedup, token_planes, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: What both turns of conversation -7 say.
+CONTROLS = "</s>[INST] ok [/INST]"
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
 
@@ -53,7 +55,17 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"), SHARDS).select("doc_id", "slot", "shard", "shard_name")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_quality, op3_suffix_dedup, op4_ngram_join, op5_source_mixing, op6_token_planes, op7_exact_dedup, op8_decontamination, op9_warc, op10_sharding)}
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", CONTROLS), (-7, 1, "assistant", CONTROLS)], turns.schema)
+    return chat_format.format_and_read(turns.unionByName(more))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(periodic_runs.detect(periodic_runs.with_planted_repeats(table(spark, sf_dir, "documents"))))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_quality, op3_suffix_dedup, op4_ngram_join, op5_source_mixing, op6_token_planes, op7_exact_dedup, op8_decontamination, op9_warc, op10_sharding, op11_chat_format, op12_periodic_runs)}
 
 _BASE32 = " || ".join(
     f"substr('{warc.BASE32}', ((('0x' || substr(h, {10 * k + 1}, 10))::BIGINT >> {35 - 5 * j}) & 31)::INTEGER + 1, 1)" for k in range(4) for j in range(8)
@@ -95,4 +107,13 @@ ORACLE_SQL: dict[str, str] = {
         f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
         SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f""",
+    "op11_chat_format": rf"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+              UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '{CONTROLS}'),
+        e AS (SELECT *, length(regexp_replace(text, '(\\|<<SYS>>|<</SYS>>|\[/?INST\]|</?s>|\[/?ROLE\]|\[:\])', '\1#', 'g'))
+              + CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 16 WHEN 'assistant' THEN 10 ELSE 22 + length(role) END AS size FROM t)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(size)::BIGINT AS formatted_chars
+        FROM e GROUP BY 1""",
 }
