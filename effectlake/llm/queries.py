@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_format, decontam, exact_dedup, langid, mixing, ngram_join, periodic_runs, quality, sharding, suffix_dedup, token_planes, warc
+from . import chat_format, decontam, exact_dedup, hard_negatives, langid, mixing, ngram_join, periodic_runs, quality, sharding, suffix_dedup, token_planes, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,7 +66,14 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.report(periodic_runs.detect(periodic_runs.with_planted_repeats(table(spark, sf_dir, "documents"))))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_quality, op3_suffix_dedup, op4_ngram_join, op5_source_mixing, op6_token_planes, op7_exact_dedup, op8_decontamination, op9_warc, op10_sharding, op11_chat_format, op12_periodic_runs)}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "embeddings").where("label IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf'))")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = own.select("vec_id", label.alias("label"), F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("vector"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_quality, op3_suffix_dedup, op4_ngram_join, op5_source_mixing, op6_token_planes, op7_exact_dedup, op8_decontamination, op9_warc, op10_sharding, op11_chat_format, op12_periodic_runs, op13_hard_negatives)}
 
 _BASE32 = " || ".join(
     f"substr('{warc.BASE32}', ((('0x' || substr(h, {10 * k + 1}, 10))::BIGINT >> {35 - 5 * j}) & 31)::INTEGER + 1, 1)" for k in range(4) for j in range(8)
@@ -116,4 +124,13 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(size)::BIGINT AS formatted_chars
         FROM e GROUP BY 1""",
+    "op13_hard_negatives": """
+        WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+              WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND NOT list_contains([x IS NULL OR NOT isfinite(x) FOR x IN embedding], true)),
+        s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+              FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT anchor_id, positive_id, row_number() OVER w AS rank, id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY rank <= 10""",
 }

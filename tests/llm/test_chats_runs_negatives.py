@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from effectlake.llm import chat_format, periodic_runs
+from effectlake.llm import chat_format, hard_negatives, periodic_runs
 from effectlake.llm.queries import CONTROLS
 
 SF = "/root/testdata/sf0.001"
@@ -161,3 +161,68 @@ def test_periodic_runs_of_odd_texts(spark):
     assert periodic_runs.detect(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         periodic_runs.detect(docs, least_exponent=3)
+
+
+def brute_negatives(rows):
+    """rows: vec_id -> (label, vector), complete ones only."""
+    score = lambda a, b: min(max(sum(x * y for x, y in zip(a, b, strict=False)), -(2**63)), 2**63 - 1)
+    out = []
+    for a in (i for i in rows if i % 100 == 0):
+        all_ = sorted((-score(rows[a][1], v), i, label) for i, (label, v) in rows.items() if i != a)
+        for p, i, _ in [x for x in all_ if x[2] == rows[a][0]][:5]:
+            hits = [(j, -s) for s, j, label in all_ if label != rows[a][0] and 30 * -p <= 100 * -s <= 90 * -p][:10]
+            out += [(a, i, k + 1, j, -p, s) for k, (j, s) in enumerate(hits)]
+    return sorted(out)
+
+
+VECTORS = "vec_id long, label int, vector array<long>, code string, block int"
+
+
+def vectors_of(kind, n=2_000):
+    g = np.random.default_rng(11)
+    dims = {"plain": 64, "odd": 70, "one": 1, "ties": 3}[kind]
+    centres = g.normal(0, 60, (4, dims))
+    label = np.where(g.random(n) < 0.4, 0, g.integers(0, 4, n))
+    v = (centres[label] + g.normal(0, 40, (n, dims))).astype(int)
+    return [(i, int(label[i]), (v[i] if kind != "ties" else np.sign(v[i])).tolist(), "x", 1) for i in range(n)]
+
+
+@pytest.mark.parametrize("kind", ["plain", "odd", "one", "ties"])
+def test_hard_negatives(spark, kind, monkeypatch):
+    if kind == "odd":
+        monkeypatch.setattr(hard_negatives, "BLOCK", 4)
+        monkeypatch.setattr(hard_negatives, "PART", 300)
+    rows = vectors_of(kind)
+    found = hard_negatives.mine(spark.createDataFrame(rows, VECTORS).repartition(3), F.col("vec_id") % 100 == 0).collect()
+    want = brute_negatives({r[0]: (r[1], r[2]) for r in rows})
+    assert sorted(tuple(r) for r in found) == want and len(want) > 100
+
+
+def test_hard_negatives_of_odd_rows(spark):
+    rows = vectors_of("plain", 300)
+    rows += [(None, 1, [1, 2], "x", 1), (400, None, [1], "x", 1), (401, 1, None, "x", 1), (500, 1, [1, None], "x", 1), (600, 2, [], "x", 1), (700, 1, [7] * 40, "x", 1), rows[0], (5, 9, [5] * 64, "x", 1)]
+    rows += [(800, 1, [2**62, 2**61, 9], "x", 1), (801, 1, [2**62, 2**62, 3], "x", 1), (802, 3, [2**40] * 64, "x", 1), (803, 2, [-(2**63)] * 3, "x", 1)]
+    known = {}
+    for i, label, v, *_ in rows:
+        if i is not None and label is not None and v is not None and None not in v:
+            known[i] = min(known.get(i, (label, v)), (label, v))
+    frame = spark.createDataFrame(rows, VECTORS)
+    found = sorted(tuple(r) for r in hard_negatives.mine(frame, F.col("vec_id") % 100 == 0).collect())
+    assert found == brute_negatives(known)
+    assert hard_negatives.mine(frame.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_intervals_hold_the_products_and_leave_rows_out():
+    g = np.random.default_rng(2)
+    v = g.integers(-300, 300, (3_000, 64))
+    x = hard_negatives.rotated(v.astype(float))
+    assert np.allclose((x**2).sum(1), (v.astype(float) ** 2).sum(1))
+    code = hard_negatives.packed(x >= 0)
+    align, size = np.abs(x).sum(1) / 8, np.sqrt((x**2).sum(1))
+    residual = np.sqrt(size**2 - align**2)
+    a = v[0] + g.integers(-100, 100, 64)
+    anchor = hard_negatives.Anchor(a, hard_negatives.rotated(a[None].astype(float))[0])
+    low, high = anchor.bounds(code, np.bitwise_count(code).sum(1, dtype=np.int64), align, residual, size)
+    exact = v @ a
+    assert ((low <= exact) & (exact <= high)).all() and np.median(high - low) < 2 * np.median(size) * anchor.size
+    assert (high < exact[0]).mean() > 0.5
