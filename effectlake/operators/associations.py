@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from .moments import LeastSquares, each_row, frame, gram_rows, grouped, inferred, join_by, number, square, types
+from .moments import LeastSquares, each_row, frame, gram_rows, grouped, inferred, inverted, join_by, left_over, number, solve, square, types
 from .propensity import BinaryModel, normal_cdf, normal_density
 from .ranks import quantiles, running
 
@@ -29,7 +29,7 @@ def partial_correlations(df: DataFrame, columns: Sequence[str], given: Sequence[
         cov = m[1:, 1:] - np.outer(m[0, 1:], m[0, 1:]) / r["n"]
         for i, j in pairs:
             rest = [names.index(c) for c in given] if given is not None else [k for k in range(len(names)) if k not in (i, j)]
-            p = np.linalg.pinv(cov[np.ix_([i, j, *rest], [i, j, *rest])], hermitian=True)
+            p, _ = inverted(cov[np.ix_([i, j, *rest], [i, j, *rest])])
             rho = float(-p[0, 1] / np.sqrt(p[0, 0] * p[1, 1])) if p[0, 0] > 0 and p[1, 1] > 0 else None
             spare, z = r["n"] - len(rest) - 3, None
             if rho is not None and spare > 0 and abs(rho) < 1:
@@ -92,9 +92,8 @@ def mediation_sensitivity(df: DataFrame, y: str, t: str, m: str, rhos: Sequence[
     q, n = square(row["xx"], 4), row["n"]
     if n < 5:
         raise ValueError("fewer than 5 rows")
-    a = np.linalg.solve(q[:2, :2], q[:2, 2])[1]
-    inner = np.linalg.solve(q[:3, :3], q[:3, 3])
-    sy, sm = np.sqrt((q[3, 3] - inner @ q[:3, 3]) / (n - 3)), np.sqrt((q[2, 2] - q[:2, 2] @ np.linalg.solve(q[:2, :2], q[:2, 2])) / (n - 2))
+    a, inner = solve(q[:3, :3])[0][1], solve(q)[0]
+    sy, sm = np.sqrt(left_over(q, range(3), [3])[0, 0] / (n - 3)), np.sqrt(left_over(q, range(2), [2])[0, 0] / (n - 2))
     null = float(inner[2] * sm / sy)
     return df.sparkSession.createDataFrame([(float(r), float(a * (inner[2] - r * sy / sm)), null if -1 <= null <= 1 else None) for r in rhos], "rho double, indirect double, rho_at_zero double")
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from .moments import centred, cross_products, each_row, frame, grouped, inferred, join_by, number, solve, square, types
+from .moments import cross_products, each_row, frame, grouped, inferred, inverted, join_by, number, solve, square, types, with_means
 from .ranks import quantiles
 
 #: Constants of the optimal bandwidth by kernel (Imbens and Kalyanaraman 2012).
@@ -34,13 +34,14 @@ def local_polynomial(df: DataFrame, ys: dict[str, str | Column], x: str | Column
     h = bandwidth if isinstance(bandwidth, Column) else F.lit(float(bandwidth))
     # Distances are held against the bandwidth, so that powers of them stay near 1.
     rows = rows.withColumn("u_", F.col("r_") / h).withColumn("w_", _kernel(F.col("u_"), kernel)).where("w_ > 0").withColumn("side_", (F.col("r_") >= 0).cast("int")).withColumn("h_", h)
-    rows, means = centred(rows, names)
+    rows = with_means(rows, names, by)
+    rows = rows.withColumns({c: F.col(c) - F.col("at_")[i] for i, c in enumerate(names)})
     powers = [F.lit(1.0), *[F.col("u_") ** i for i in range(1, k)]]
     grams = cross_products(rows, [*powers, *map(F.col, names)], [*by, "side_"], F.col("w_"))
-    width = rows.groupBy(*by, "side_").agg(F.max("h_").alias("h_"))
+    width = rows.groupBy(*by, "side_").agg(F.max("h_").alias("h_"), F.any_value("at_").alias("at_"))
 
     def fit(r: dict) -> dict:
-        m, out = square(r["xx"], k + len(names)), {**{c: r[c] for c in by}, "side_": r["side_"], "n": r["n"], "h_": r["h_"]}
+        m, out = square(r["xx"], k + len(names)), {**{c: r[c] for c in by}, "side_": r["side_"], "n": r["n"], "h_": r["h_"], "at_": r["at_"]}
         inverse = None
         for j, name in enumerate(names):
             keep = [*range(k), k + j]
@@ -48,8 +49,8 @@ def local_polynomial(df: DataFrame, ys: dict[str, str | Column], x: str | Column
             out[f"b_{name}"] = beta.tolist() if r["n"] > k and np.isfinite(beta).all() else None
         return {**out, "inverse": inverse.ravel().tolist()}
 
-    small = each_row(join_by(grams, width, [*by, "side_"]), fit, ", ".join([*types(df, by), "side_ int, n long, h_ double", *[f"b_{n} array<double>" for n in names], "inverse array<double>"]))
-    both = join_by(rows, small.drop("n", "inverse", "h_"), [*by, "side_"])
+    small = each_row(join_by(grams, width, [*by, "side_"]), fit, ", ".join([*types(df, by), "side_ int, n long, h_ double, at_ array<double>", *[f"b_{n} array<double>" for n in names], "inverse array<double>"]))
+    both = join_by(rows.drop("at_"), small.drop("n", "inverse", "h_", "at_"), [*by, "side_"])
     e = {n: F.col("w_") * (F.col(n) - sum((F.col(f"b_{n}")[i] * p for i, p in enumerate(powers)), F.lit(0.0))) for n in names}
     scores = both.select(*by, "side_", *[(e[n] * p).alias(f"{n}_s{i}") for n in names for i, p in enumerate(powers)])
     all_ = [F.col(f"{n}_s{i}") for n in names for i in range(k)]
@@ -69,12 +70,12 @@ def local_polynomial(df: DataFrame, ys: dict[str, str | Column], x: str | Column
                 scale = np.tile([s["h_"] ** -j for j in range(k)], len(names))
                 covs.append(inverse @ square(s["meat"], k * len(names)) @ inverse * np.outer(scale, scale))
         out["cov"] = (covs[0] + covs[1]).ravel().tolist() if whole else None
-        for n in names:
+        for j, n in enumerate(names):
             if not whole:
                 out |= {f"jump_{n}": None, f"left_{n}": None, f"right_{n}": None}
                 continue
             b = [np.array(found[i][f"b_{n}"]) * np.array([found[i]["h_"] ** -j for j in range(k)]) for i in (0, 1)]
-            out |= {f"jump_{n}": (b[1] - b[0]).tolist(), f"left_{n}": float(b[0][0] + means[n]), f"right_{n}": float(b[1][0] + means[n])}
+            out |= {f"jump_{n}": (b[1] - b[0]).tolist(), f"left_{n}": float(b[0][0] + found[0]["at_"][j]), f"right_{n}": float(b[1][0] + found[0]["at_"][j])}
         return out
 
     return each_row(sides, finish, ", ".join([*types(df, by), "n_left long, n_right long, cov array<double>", *[f"jump_{n} array<double>, left_{n} double, right_{n} double" for n in names]]))
@@ -131,7 +132,7 @@ def optimal_bandwidth(df: DataFrame, y: str, x: str, cutoff: float, kernel: str
 
     def slopes(r: dict) -> dict:
         m = square(r["line"], 3)
-        b = np.linalg.pinv(m[:2, :2]) @ m[:2, 2]
+        b = inverted(m[:2, :2])[0] @ m[:2, 2]
         return {**{c: r[c] for c in by}, "side": r["side"], "n_near": r["n_near"], "b0": float(b[0]), "b1": float(b[1])}
 
     near_fit = each_row(lines, slopes, ", ".join([*types(df, by), "side int, n_near long, b0 double, b1 double"]))
@@ -167,7 +168,7 @@ def cross_validation_bandwidth(df: DataFrame, y: str, x: str, cutoff: float, ban
         m = square(r["xx"], 3)
         if r["n"] < 3:
             return None
-        inverse = np.linalg.pinv(m[:2, :2])
+        inverse, _ = inverted(m[:2, :2])
         b = inverse @ m[:2, 2]
         return {"h": r["h"], "side": r["side"], "b0": float(b[0]), "b1": float(b[1]), "i00": float(inverse[0, 0]), "i01": float(inverse[0, 1]), "i11": float(inverse[1, 1])}
 
@@ -210,13 +211,13 @@ def order_sensitivity(df: DataFrame, y: str, x: str, cutoff: float, bandwidth: f
 def density_test(df: DataFrame, x: str, cutoff: float, bins: int = 20, bandwidth: float | None = None) -> DataFrame:
     """K6: the log ratio of densities at the cutoff, from a histogram of ``bins`` bins on each side, with kernel-weighted quadratics of the log density: theta, se, p_value, bandwidth, n_left, n_right.
 
-    The default bandwidth is 0.9 min(sd, IQR / 1.34) n^-0.2.  Below 10 rows on a side there is no test: theta 0, p 1."""
+    The default bandwidth is 0.9 min(sd, IQR / 1.34) n^-0.2.  Below 10 rows on a side there is no test: theta, se and p_value are null."""
     rows = frame(df, {"r": number(x) - cutoff})
     seen = rows.agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.stddev_pop("r").alias("sd"), F.count_if(F.col("r") < 0).alias("left"), F.count_if(F.col("r") >= 0).alias("right")).first()
     n = {0: seen["left"], 1: seen["right"]}
     shape = "theta double, se double, p_value double, bandwidth double, n_left long, n_right long"
     if min(n.values()) < 10:
-        return df.sparkSession.createDataFrame([(0.0, None, 1.0, bandwidth, n[0], n[1])], shape)
+        return df.sparkSession.createDataFrame([(None, None, None, bandwidth, n[0], n[1])], shape)
     if bandwidth is None:
         low, high = quantiles(rows, "r", [0.25, 0.75]).first()["q"]
         bandwidth = 0.9 * min(seen["sd"], (high - low) / 1.34) * (n[0] + n[1]) ** -0.2
@@ -232,11 +233,12 @@ def density_test(df: DataFrame, x: str, cutoff: float, bins: int = 20, bandwidth
                 c[r["bin"]] = r["n"]
         centre, logs = ends[s][0] + (np.arange(bins) + 0.5) * width, np.log(c / (width * n[s]) + 1e-10)
         w = np.maximum(1 - np.abs(centre) / bandwidth, 0)
-        near = w > 0
-        if near.sum() < 2:
-            at[s] = float(logs[near][0] if near.any() else logs.mean())
-        else:
-            at[s] = float(np.polyval(np.polyfit(centre[near], logs[near], 1 if near.sum() == 2 else 2, w=w[near] / w.sum()), 0.0))
+        if not w.any():
+            w = np.ones(bins)
+        # One weighted fit of the greatest degree, to the second, that the bins within the bandwidth allow: with a single one, or none, a level.
+        terms = max(1, min(3, int((np.abs(centre) < bandwidth).sum())))
+        powers = (centre / bandwidth)[:, None] ** np.arange(terms)
+        at[s] = float(np.linalg.lstsq(w[:, None] * powers, w * logs, rcond=None)[0][0])
     theta = at[1] - at[0]
     se = float(np.sqrt(DENSITY_FACTOR * DENSITY_CONSTANT * (1 / (n[0] * bandwidth) + 1 / (n[1] * bandwidth))))
     return df.sparkSession.createDataFrame([(theta, se, stats.two_sided(theta, se), float(bandwidth), n[0], n[1])], shape)

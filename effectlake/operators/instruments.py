@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import stats
-from .moments import LeastSquares, centred, cross_products, each_row, frame, gram_rows, inferred, join_by, number, square, types
+from .moments import LeastSquares, centred, centred_products, cross_products, each_row, frame, gram_rows, inferred, inverted, join_by, left_over, number, square, types
 
 #: Critical values of the first-stage F at a maximal size of 10 %, one endogenous regressor, by number of instruments (Stock and Yogo 2005).
 STOCK_YOGO = {1: 16.38, 2: 19.93, 3: 22.30, 4: 24.58, 5: 26.87}
@@ -36,14 +36,8 @@ def _solved(df: DataFrame, y: str | Column, d: str | Column, zs: Sequence[str],
     return each_row(gram_rows(df, columns, by), run, ", ".join([*types(df, by), schema, "n long"]))
 
 
-def _left(m: np.ndarray, given: Sequence[int], of: Sequence[int]) -> np.ndarray:
-    """Cross-products of columns ``of`` after least squares on columns ``given``."""
-    g, o = list(given), list(of)
-    return m[np.ix_(o, o)] - m[np.ix_(o, g)] @ np.linalg.pinv(m[np.ix_(g, g)], hermitian=True) @ m[np.ix_(g, o)]
-
-
 def _partial_f(m: np.ndarray, n: int, p: int, q: int) -> float:
-    rss, rss0 = _left(m, range(p + q), [p + q])[0, 0], _left(m, range(p), [p + q])[0, 0]
+    rss, rss0 = left_over(m, range(p + q), [p + q])[0, 0], left_over(m, range(p), [p + q])[0, 0]
     return float((rss0 - rss) / q / (rss / (n - p - q))) if rss > 0 else float("inf")
 
 
@@ -60,39 +54,42 @@ def tsls(
         raise ValueError("no instruments")
     p, q = 1 + len(xs), len(zs)
     columns = _columns(y, d, zs, xs)
-    rows, _ = centred(frame(df, columns, by, [cluster] if cluster else []), list(columns))
-    cols = [F.lit(1.0), *map(F.col, columns)]
+    rows = frame(df, columns, by, [cluster] if cluster else [])
     k = p + 1
 
     def fit(r: dict) -> dict:
         n = r["n"]
-        base = {**{c: r[c] for c in by}, "n": n, "beta": None, "pi": None, "inverse": None, "ss": None, "f": None, "r2": None}
+        base = {**{c: r[c] for c in by}, "n": n, "at": None, "beta": None, "pi": None, "inverse": None, "ss": None, "f": None, "r2": None}
         if n <= p + q + 1:
             return base
         m = square(r["xx"], p + q + 2)
-        w = np.linalg.pinv(m[: p + q, : p + q], hermitian=True)
+        w, _ = inverted(m[: p + q, : p + q])
         pi = w @ m[: p + q, p + q]
         to = np.zeros((p + q, k))  # regressors of the second stage from the exogenous columns
         to[:p, :p] = np.eye(p)
         to[:, p] = pi
-        inverse = np.linalg.pinv(to.T @ m[: p + q, : p + q] @ to, hermitian=True)
+        inverse, known = inverted(to.T @ m[: p + q, : p + q] @ to)
+        if not known[-1]:
+            return base
         beta = inverse @ to.T @ m[: p + q, -1]
         own = [*range(p), p + q]
         c = np.append(-beta, 1.0)
         full = m[np.ix_([*own, p + q + 1], [*own, p + q + 1])]
         ss = float(c @ full @ c) if structural else float(m[-1, -1] - beta @ to.T @ m[: p + q, -1])
         return {
-            **base, "beta": beta.tolist(), "pi": pi.tolist(), "inverse": inverse.ravel().tolist(), "ss": max(ss, 0.0), "f": _partial_f(m, n, p, q),
-            "r2": float(1 - _left(m, range(p + q), [p + q])[0, 0] / _left(m, [0], [p + q])[0, 0]),
+            **base, "at": list(r["at"]), "beta": beta.tolist(), "pi": pi.tolist(), "inverse": inverse.ravel().tolist(), "ss": max(ss, 0.0), "f": _partial_f(m, n, p, q),
+            "r2": float(1 - left_over(m, range(p + q), [p + q])[0, 0] / left_over(m, [0], [p + q])[0, 0]),
         }
 
-    arrays = "n long, beta array<double>, pi array<double>, inverse array<double>, ss double, f double, r2 double"
-    small = each_row(cross_products(rows, cols, by), fit, ", ".join([*types(df, by), arrays]))
+    arrays = "n long, at array<double>, beta array<double>, pi array<double>, inverse array<double>, ss double, f double, r2 double"
+    small = each_row(centred_products(rows, list(columns), by), fit, ", ".join([*types(df, by), arrays]))
     if errors != "standard":
-        both = join_by(rows, small.select(*by, "beta", "pi"), by)
+        both = join_by(rows, small.select(*by, "beta", "pi", "at"), by)
+        own = {c: F.col(c) - F.col("at")[i] for i, c in enumerate(columns)}
+        cols = [F.lit(1.0), *own.values()]
         fitted = sum((F.col("pi")[i] * c for i, c in enumerate(cols[: p + q])), F.lit(0.0))
-        used = [*cols[:p], F.col("d_") if structural else fitted]
-        e = F.col("y_") - sum((F.col("beta")[i] * c for i, c in enumerate(used)), F.lit(0.0))
+        used = [*cols[:p], own["d_"] if structural else fitted]
+        e = own["y_"] - sum((F.col("beta")[i] * c for i, c in enumerate(used)), F.lit(0.0))
         scores = both.select(*by, *([F.col(cluster).alias("c_")] if cluster else []), *[(e * c).alias(f"s{i}") for i, c in enumerate([*cols[:p], fitted])])
         if errors == "cluster":
             scores = scores.groupBy(*by, "c_").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)])
@@ -134,14 +131,19 @@ def k_class(df: DataFrame, y: str, d: str, zs: Sequence[str], xs: Sequence[str]
 
     def fit(m: np.ndarray, n: int) -> dict:
         ends, exog = [p + q, p + q + 1], range(p + q)
-        kappa = float(np.linalg.eigvals(np.linalg.solve(_left(m, exog, ends), _left(m, range(p), ends))).real.min()) - fuller / (n - q - p)
+        kappa = float(np.linalg.eigvals(inverted(left_over(m, exog, ends))[0] @ left_over(m, range(p), ends)).real.min()) - fuller / (n - q - p)
         every = [*range(p), *ends]
-        rest, full = _left(m, exog, every), m[np.ix_(every, every)]
+        rest, full = left_over(m, exog, every), m[np.ix_(every, every)]
         g = full - kappa * rest
-        beta = np.linalg.solve(g[:-1, :-1], g[:-1, -1])
+        inverse, known = inverted(g[:-1, :-1])
+        if not known[-1]:
+            return {"kappa": kappa}
+        beta = inverse @ g[:-1, -1]
         c = np.append(-beta, 1.0)
         s2 = c @ full @ c / (n - len(beta))
-        se = float(np.sqrt(s2 * np.linalg.pinv((full - rest)[:-1, :-1])[-1, -1]))
+        # The fitted part of d beside the controls, which is what d's own variance rests on.
+        own = left_over(full - rest, range(p), [p])[0, 0]
+        se = float(np.sqrt(s2 / own)) if own > 0 else None
         return {"estimate": float(beta[-1]), "se": se, "kappa": kappa, "df": n - len(beta)}
 
     return inferred(_solved(df, y, d, zs, xs, by, fit, "estimate double, se double, kappa double, df long"), alpha, "df")
@@ -160,18 +162,18 @@ def gmm(df: DataFrame, y: str, d: str, zs: Sequence[str], xs: Sequence[str] = ()
     zd, zy = m[np.ix_(exog, reg)] / n, m[exog, -1] / n
 
     def fit(w: np.ndarray) -> np.ndarray:
-        return np.linalg.solve(zd.T @ w @ zd, zd.T @ w @ zy)
+        return inverted(zd.T @ w @ zd)[0] @ zd.T @ w @ zy
 
     def spread(beta: np.ndarray) -> np.ndarray:
         e = F.col("y_") - sum((float(b) * c for b, c in zip(beta, [*zx[:p], F.col("d_")], strict=True)), F.lit(0.0))
         return square(cross_products(rows, zx, weight=e * e).first()["xx"], p + q) / n
 
-    w = np.linalg.pinv(m[np.ix_(exog, exog)] / n)
+    w, _ = inverted(m[np.ix_(exog, exog)] / n)
     beta = fit(w)
     if steps > 1:
-        w = np.linalg.pinv(spread(beta))
+        w, _ = inverted(spread(beta))
         beta = fit(w)
-    bread = np.linalg.pinv(zd.T @ w @ zd)
+    bread, _ = inverted(zd.T @ w @ zd)
     cov = bread @ zd.T @ w @ spread(beta) @ w @ zd @ bread / n
     g = zy - zd @ beta
     g = g[p:] + g[0] * np.array([means[f"z{i}_"] for i in range(q)])  # of the instruments as they are
@@ -203,8 +205,8 @@ def anderson_rubin(df: DataFrame, y: str, d: str, zs: Sequence[str], xs: Sequenc
 
     def fit(m: np.ndarray, n: int) -> dict:
         ends, exog = [p + q, p + q + 1], range(p + q)
-        rest = _left(m, exog, ends)
-        part = _left(m, range(p), ends) - rest
+        rest = left_over(m, exog, ends)
+        part = left_over(m, range(p), ends) - rest
         s2 = rest[1, 1] / (n - p - q)
         stat = float(part[1, 1] / q / s2)
         limit = stats.chi2_quantile(1 - alpha, q) * q * s2
@@ -228,11 +230,11 @@ def conditional_likelihood_ratio(df: DataFrame, y: str, d: str, zs: Sequence[str
 
     def fit(m: np.ndarray, n: int) -> dict:
         ends, exog = [p + q + 1, p + q], range(p + q)  # y, d
-        rest = _left(m, exog, ends)
-        part = _left(m, range(p), ends) - rest
+        rest = left_over(m, exog, ends)
+        part = left_over(m, range(p), ends) - rest
         omega = rest / (n - p - q)
         b, a = np.array([1.0, -beta0]), np.array([beta0, 1.0])
-        inv = np.linalg.inv(omega)
+        inv, _ = inverted(omega)
         qs = float(b @ part @ b / (b @ omega @ b))
         at = inv @ a
         qt = float(at @ part @ at / (a @ inv @ a))

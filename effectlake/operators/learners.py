@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .moments import LeastSquares, centred, cross_products, frame, grouped, inferred, join_by, number, solve, square
+from .moments import LeastSquares, centred, cross_products, frame, grouped, inferred, inverted, join_by, number, solve, square
 from .panels import unit_means
 from .propensity import BinaryModel, with_outcome_models
 from .ranks import quantiles
@@ -60,7 +60,7 @@ def r_learner(df: DataFrame, y: str, t: str, xs: Sequence[str], p: str = "p", ri
     ry = F.col("y") - F.lit(float(mu[0] + sum(b * m for b, m in zip(mu[1:], means.values(), strict=True)))) - sum((float(b) * F.col(f"x{i}") for i, b in enumerate(mu[1:])), F.lit(0.0))
     cols = [rt, *[rt * F.col(f"x{i}") for i in range(len(xs))], ry]
     m = square(cross_products(rows, cols).first()["xx"], len(cols))
-    beta = np.linalg.solve(m[:-1, :-1] + ridge * np.eye(len(cols) - 1), m[:-1, -1])
+    beta = inverted(m[:-1, :-1] + ridge * np.eye(len(cols) - 1))[0] @ m[:-1, -1]
     beta[0] -= sum(b * c for b, c in zip(beta[1:], means.values(), strict=True))
     return df.withColumn("cate", _line(beta, xs))
 
@@ -166,8 +166,11 @@ def rif_effects(df: DataFrame, y: str, t: str, taus: Sequence[float], xs: Sequen
     if unit:
         rows, xs = unit_means(rows, xs, unit), [*xs, *[f"{x}_bar" for x in xs]]
     v = number(y)
-    low, high, *at = quantiles(rows, y, [0.25, 0.75, *taus]).first()["q"]
+    low, high, *at = quantiles(rows, y, [0.25, 0.75, *taus]).first()["q"] or [None] * (2 + len(taus))
     first = rows.agg(F.stddev_samp(v).alias("sd"), F.count(v).alias("n")).first()
+    if not first["n"]:
+        none = [(float(tau), None, None, None, None, 0) for tau in taus]
+        return inferred(df.sparkSession.createDataFrame(none, "tau double, quantile double, density double, estimate double, se double, n long"), alpha)
     width = 1.06 * min(first["sd"], (high - low) / 1.34) * first["n"] ** -0.2
     if not width > 0:
         raise ValueError(f"{y} has no spread")
@@ -213,7 +216,7 @@ def a_learning(df: DataFrame, y: str, t: str, xs: Sequence[str], alpha: float =
     q = [F.lit(1.0), *[F.col(f"x{i}") for i in range(len(xs))]]
     k = len(q)
     sums = rows.agg(*[F.sum(F.col("d") * F.col("t") * a * b).alias(f"a{i}_{j}") for i, a in enumerate(q) for j, b in enumerate(q)], *[F.sum(F.col("d") * F.col("g") * a).alias(f"b{i}") for i, a in enumerate(q)], F.count(F.lit(1)).alias("n")).first()
-    bread = np.linalg.pinv(np.array(list(sums[: k * k])).reshape(k, k))
+    bread, _ = inverted(np.array(list(sums[: k * k])).reshape(k, k))
     psi = bread @ np.array(list(sums[k * k : k * k + k]))
     e = F.col("d") * (F.col("g") - F.col("t") * sum((float(b) * c for b, c in zip(psi, q, strict=True)), F.lit(0.0)))
     meat = square(cross_products(rows, [e * c for c in q]).first()["xx"], k)

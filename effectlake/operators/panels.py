@@ -14,6 +14,8 @@ from .resampling import draw, percentile_interval, poisson_weight
 
 #: More periods than this are refused by the two-way transform, whose system is periods x periods.
 PERIODS = 2_000
+#: More cohort-time cells than this are refused by sun_abraham, whose dummies they are.
+CELLS = 2_000
 
 
 def staggered_panel(df: DataFrame, unit: str, time: str, d: str, strict: bool = False) -> DataFrame:
@@ -111,19 +113,27 @@ def event_study(df: DataFrame, y: str, treated: str, unit: str, time: str, start
     if before:
         b, v = r["beta"][before], r["cov"][np.ix_(before, before)]
         wald = stats.chi2_tail(float(b @ np.linalg.pinv(v) @ b), len(before)) if np.isfinite(v).all() and np.isfinite(b).all() else None
-    rows = [(k, float(b) if np.isfinite(b) else None, float(s) if np.isfinite(s) and np.isfinite(b) else None, int(r["n_clusters"] - 1), int(r["n"]), wald) for k, b, s in zip(ks, r["beta"], r["se"], strict=True)]
+    rows = [(k, float(b) if np.isfinite(b) else None, float(s) if np.isfinite(s) and np.isfinite(b) else None, int((r["n_clusters"] or 0) - 1), int(r["n"]), wald) for k, b, s in zip(ks, r["beta"], r["se"], strict=True)]
     return inferred(df.sparkSession.createDataFrame(rows, "event_time long, estimate double, se double, df long, n long, pretrend_p double"), alpha, "df")
 
 
 def sun_abraham(df: DataFrame, y: str, unit: str, time: str, first: str, alpha: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """Effects per cohort and event time from 0 on, beside unit and period effects, with errors clustered by unit; and their average by shares of treated rows, with the delta-method error.
 
-    first: the period of first treatment, null for never.  Cohort-time cells are few."""
+    first: the period of first treatment, null for never.  More than CELLS cohort-time
+    cells are an error: none is left out.  Without treated rows there are no cells, and
+    the average is a row of nulls."""
     k = F.col(time) - F.col(first)
-    cells = df.where(F.col(first).isNotNull() & (k >= 0)).groupBy(F.col(first).cast("long").alias("g"), k.cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy("g", "k").limit(PERIODS).collect()
+    cells = df.where(F.col(first).isNotNull() & (k >= 0)).groupBy(F.col(first).cast("long").alias("g"), k.cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy("g", "k").limit(CELLS + 1).collect()
+    if len(cells) > CELLS:
+        raise ValueError(f"more than {CELLS} cohort-time cells")
+    if not cells:
+        none = df.sparkSession.createDataFrame([], "cohort long, event_time long, estimate double, se double, df long, n_treated long")
+        total = df.sparkSession.createDataFrame([(None, None, None, df.count(), 0)], "estimate double, se double, df long, n long, n_cells long")
+        return inferred(none, alpha, "df"), inferred(total, alpha, "df")
     fit = _dummies(df, y, unit, time, {f"c{i}": (F.col(first) == r["g"]) & (F.col(time) - F.col(first) == r["k"]) for i, r in enumerate(cells)})
     r = fit.first()
-    spark, df_ = df.sparkSession, int(r["n_clusters"] - 1)
+    spark, df_ = df.sparkSession, int((r["n_clusters"] or 0) - 1)
     each = [(c["g"], c["k"], float(b) if np.isfinite(b) else None, float(s) if np.isfinite(b) and np.isfinite(s) else None, df_, c["n"]) for c, b, s in zip(cells, r["beta"], r["se"], strict=True)]
     effects = inferred(spark.createDataFrame(each, "cohort long, event_time long, estimate double, se double, df long, n_treated long"), alpha, "df")
     # Cells that the others make up have no effect of their own and no part in the average.
@@ -249,7 +259,9 @@ def hac_ols(df: DataFrame, y: str, xs: Sequence[str], series: str, time: str, ba
                 x = 6 * np.pi * h / (5 * (b + 1))
                 weight = float(3 / x**2 * (np.sin(x) / x - np.cos(x)))
             meat += weight * (gamma[h] + gamma[h].T)
-        cov = inverse @ meat @ inverse
+        to = np.eye(k)
+        to[0, 1:] = [-m for m in r["at"][:-1]]
+        cov = to @ inverse @ meat @ inverse @ to.T
         return {series: r[series], "se": np.sqrt(np.maximum(np.diag(cov), 0)).tolist(), "n": n, "bandwidth": b}
 
     errors = each_row(join_by(small, meats, [series]), finish, ", ".join([*types(df, [series]), "se array<double>", "n long", "bandwidth long"]))

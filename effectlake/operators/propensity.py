@@ -243,6 +243,8 @@ def permutation_test(df: DataFrame, y: str, t: str, key: str, replicates: int |
     gap = F.col("s") / n1 - (F.lit(total) - F.col("s")) / (n - n1)
     # The tolerance makes relabellings equal to the observed one count whatever the order of sums.
     far = {"two-sided": F.abs(gap) >= abs(observed) - slack, "greater": gap >= observed - slack, "less": gap <= observed + slack}[alternative]
-    return sums.agg(F.sum(far.cast("long")).alias("n_extreme"), F.count(F.lit(1)).alias("replicates")).select(
-        F.lit(observed).alias("estimate"), ((F.col("n_extreme") + 1) / (F.col("replicates") + 1)).alias("p_value"), "n_extreme", "replicates"
-    )
+    try:
+        k, m = sums.agg(F.sum(far.cast("long")), F.count(F.lit(1))).first()
+    finally:
+        ranges.unpersist()
+    return df.sparkSession.createDataFrame([(float(observed), (k + 1) / (m + 1), k, m)], "estimate double, p_value double, n_extreme long, replicates long")

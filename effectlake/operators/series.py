@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from .moments import LeastSquares, cross_products, each_row, frame, join_by, number, square, types
+from .moments import LeastSquares, cross_products, each_row, frame, inverted, join_by, left_over, log_determinant, number, square, types
 
 #: Critical values of the unit-root test at 1, 5 and 10 %, with a constant, with a trend, with neither.
 UNIT_ROOT = {"c": (-3.430, -2.862, -2.567), "ct": (-3.960, -3.410, -3.127), "n": (-2.576, -1.941, -1.616)}
+#: The limiting distribution of the statistic (Fuller 1976, table 8.5.2), at probabilities 0.01, 0.025, 0.05, 0.10, 0.90, 0.95, 0.975, 0.99.
+UNIT_ROOT_LAW = {"n": (-2.58, -2.23, -1.95, -1.62, 0.89, 1.28, 1.62, 2.00), "c": (-3.43, -3.12, -2.86, -2.57, -0.44, -0.07, 0.23, 0.60), "ct": (-3.96, -3.66, -3.41, -3.12, -1.25, -0.94, -0.66, -0.33)}
+UNIT_ROOT_PROBABILITIES = (0.01, 0.025, 0.05, 0.10, 0.90, 0.95, 0.975, 0.99)
 #: Critical values of the two-step cointegration test at 1, 5 and 10 %.
 COINTEGRATION = (-3.90, -3.34, -3.04)
 #: Critical values of the stationarity test at 10, 5, 2.5 and 1 %, around a level and around a trend.
@@ -48,12 +51,12 @@ def vector_autoregression(df: DataFrame, series: str, time: str, columns: Sequen
             return base
         m = square(r["xx"], 1 + k * (lags + 1))
         now, past = [*range(1, 1 + k)], [0, *range(1 + k, 1 + k * (lags + 1))]
-        b = np.linalg.pinv(m[np.ix_(past, past)], hermitian=True) @ m[np.ix_(past, now)]
+        b = inverted(m[np.ix_(past, past)])[0] @ m[np.ix_(past, now)]
         left = m[np.ix_(now, now)] - m[np.ix_(now, past)] @ b
-        det = np.linalg.det(left / n)
+        det = log_determinant(left / n)
         out = {**base, "coef": b.T.ravel().tolist(), "sigma": (left / (n - p)).ravel().tolist()}
-        if det > 0:
-            like, q = float(-n / 2 * (k * np.log(2 * np.pi) + np.log(det) + k)), k * p
+        if np.isfinite(det):
+            like, q = float(-n / 2 * (k * np.log(2 * np.pi) + det + k)), k * p
             out |= {"loglik": like, "aic": -2 * like + 2 * q, "bic": -2 * like + q * float(np.log(n)), "hqc": -2 * like + 2 * q * float(np.log(np.log(n)))}
         return out
 
@@ -70,10 +73,9 @@ def select_lags(df: DataFrame, series: str, time: str, columns: Sequence[str], m
             now, past = [*range(1, 1 + k)], [0, *range(1 + k, 1 + k * (lags + 1))]
             if n <= len(past):
                 break
-            left = m[np.ix_(now, now)] - m[np.ix_(now, past)] @ np.linalg.pinv(m[np.ix_(past, past)], hermitian=True) @ m[np.ix_(past, now)]
-            det, q = np.linalg.det(left / n), k * len(past)
-            if det > 0:
-                like = -n / 2 * (k * np.log(2 * np.pi) + np.log(det) + k)
+            det, q = log_determinant(left_over(m, past, now) / n), k * len(past)
+            if np.isfinite(det):
+                like = -n / 2 * (k * np.log(2 * np.pi) + det + k)
                 for name, cost in (("aic", 2.0), ("bic", np.log(n)), ("hqc", 2 * np.log(np.log(n)))):
                     found[name].append((-2 * like + q * cost, lags))
         return {series: r[series], "n": n, **{name: min(x)[1] if x else None for name, x in found.items()}}
@@ -90,8 +92,7 @@ def granger(df: DataFrame, series: str, time: str, columns: Sequence[str], lags:
         n, m, xs = r["n"], square(r["xx"], 1 + k * (lags + 1)), []
 
         def rss(effect: int, past: list[int]) -> float:
-            now = 1 + effect
-            return float(m[now, now] - m[now, past] @ np.linalg.pinv(m[np.ix_(past, past)], hermitian=True) @ m[past, now])
+            return float(left_over(m, past, [1 + effect])[0, 0])
 
         for c in range(k):
             for e in range(k):
@@ -110,18 +111,10 @@ def granger(df: DataFrame, series: str, time: str, columns: Sequence[str], lags:
     return table.select(series, "n", F.explode("xs").alias("x")).select(series, "x.*", "n")
 
 
-def _unit_root_p(tau: float, values: tuple[float, float, float]) -> float:
-    """Between the critical values by interpolation, as coarse beyond them as they allow."""
-    one, five, ten = values
-    if tau < -10:
-        return 0.0001
-    if tau > 0:
-        return 0.99
-    if tau <= one:
-        return 0.005
-    if tau <= ten:
-        return float(np.interp(tau, [one, five, ten], [0.01, 0.05, 0.10]))
-    return float(0.10 + 0.45 * (1 - np.exp(-(tau - ten) / 2)))
+def unit_root_p(tau: float, regression: str) -> float:
+    """The statistic's probability by the tabled law, interpolated as normal quantiles are; at most as far out as the table goes, 0.01 or 0.99."""
+    z = [stats.normal_quantile(p) for p in UNIT_ROOT_PROBABILITIES]
+    return stats.normal_cdf(float(np.interp(tau, UNIT_ROOT_LAW[regression], z)))
 
 
 def unit_root_test(df: DataFrame, series: str, time: str, x: str, lags: int, regression: str = "c") -> DataFrame:
@@ -142,13 +135,15 @@ def unit_root_test(df: DataFrame, series: str, time: str, x: str, lags: int, reg
         if r["n"] <= k + 1:
             return base
         m = square(r["xx"], k + 1)
-        inverse = np.linalg.pinv(m[:-1, :-1], hermitian=True)
+        inverse, known = inverted(m[:-1, :-1])
+        if not known[0]:
+            return base
         b = inverse @ m[:-1, -1]
         s2 = (m[-1, -1] - b @ m[:-1, -1]) / (r["n"] - k)
         if not s2 * inverse[0, 0] > 0:
             return base
         tau = float(b[0] / np.sqrt(s2 * inverse[0, 0]))
-        return {**base, "statistic": tau, "p_value": _unit_root_p(tau, UNIT_ROOT[regression]), "stationary": bool(tau < UNIT_ROOT[regression][1])}
+        return {**base, "statistic": tau, "p_value": unit_root_p(tau, regression), "stationary": bool(tau < UNIT_ROOT[regression][1])}
 
     return each_row(cross_products(both, cols, [series]), fit, ", ".join([*types(df, [series]), "statistic double, p_value double, stationary boolean, n long"]))
 
@@ -172,7 +167,7 @@ def stationarity_test(df: DataFrame, series: str, time: str, x: str, bandwidth:
 
     def tail(r: dict) -> dict:
         s = r["statistic"]
-        p = None if s is None else 0.15 if s <= ten else 0.005 if s > one else float(np.interp(s, [ten, five, two, one], [0.10, 0.05, 0.025, 0.01]))
+        p = None if s is None else float(np.interp(s, [ten, five, two, one], [0.10, 0.05, 0.025, 0.01]))  # 0.10 and 0.01 beyond the table
         return {**r, "p_value": p, "stationary": None if s is None else bool(s < five)}
 
     return each_row(sums, tail, ", ".join([*types(df, [series]), "statistic double, n long, p_value double, stationary boolean"]))
@@ -191,7 +186,7 @@ def local_projections(df: DataFrame, series: str, time: str, response: str, shoc
 
     def fit(r: dict) -> dict:
         m = square(r["xx"], k + 1)
-        inverse = np.linalg.pinv(m[:-1, :-1], hermitian=True)
+        inverse, _ = inverted(m[:-1, :-1])
         return {series: r[series], "h": r["h"], "n": r["n"], "b": (inverse @ m[:-1, -1]).tolist(), "row": inverse[1].tolist()}
 
     small = each_row(grams, fit, ", ".join([*types(df, [series]), "h int, n long, b array<double>, row array<double>"]))
