@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from .moments import LeastSquares, centred, cross_products, frame, grouped, inferred, inverted, join_by, number, solve, square
 from .panels import unit_means
 from .propensity import BinaryModel, with_outcome_models
-from .ranks import quantiles
+from .ranks import quantiles, weighted_quantiles
+from .resampling import poisson_weight
 
 
 def _line(beta: Sequence[float], xs: Sequence[str | Column]) -> Column:
@@ -223,3 +224,40 @@ def a_learning(df: DataFrame, y: str, t: str, xs: Sequence[str], alpha: float =
     se = np.sqrt(np.maximum(np.diag(bread @ meat @ bread.T), 0))
     out = [(c, float(b), float(s), sums["n"]) for c, b, s in zip(["treatment", *[f"treatment*{x}" for x in xs]], psi, se, strict=True)]
     return inferred(df.sparkSession.createDataFrame(out, "term string, estimate double, se double, n long"), alpha)
+
+
+def panel_quantile_gaps(df: DataFrame, y: str, d: str, unit: str, taus: Sequence[float], replicates: int = 100, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """Per tau the treated rows' quantile of y less the others', with error and percentile interval from replicates that weight whole units: tau, estimate, se, ci_lower, ci_upper, replicates, n, n_units.
+
+    A unit's weight in a replicate is a Poisson draw of a hash.  Quantiles are exact: of
+    each unit the rows below a bracket around the quantile are counted, only those in it
+    are dealt to replicates, and a bracket that some replicate's quantile leaves is
+    widened.  Replicates in which an arm has no rows are left out."""
+    rows = df.select(F.col(unit).alias("unit"), number(d).alias("arm"), number(y).alias("v")).where("v IS NOT NULL AND NOT isnan(v) AND arm IN (0, 1)")
+    n, units, arms = rows.agg(F.count(F.lit(1)), F.count_distinct("unit"), F.count_distinct("arm")).first()
+    shape = "tau double, estimate double, se double, ci_lower double, ci_upper double, replicates long, n long, n_units long"
+    if arms < 2:
+        return df.sparkSession.createDataFrame([(float(t), None, None, None, None, 0, n, units) for t in taus], shape)
+    each = F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("b")
+    weight = F.when(F.col("b") == 0, 1).otherwise(poisson_weight(seed, "b", "unit"))
+    for slack in (0.05, 0.2, 1.0):
+        ends = quantiles(rows, "v", [*[max(t - slack, 0.0) for t in taus], *[min(t + slack, 1.0) for t in taus]], ["arm"])
+        both = join_by(rows, ends, ["arm"])
+        low, high = lambda i: F.col("q")[i], lambda i: F.col("q")[i + len(taus)]
+        counts = both.groupBy("unit", "arm").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.count_if(F.col("v") < low(i)) for i in range(len(taus))]).alias("below"))
+        dealt = counts.select("unit", "arm", "n", "below", each).withColumn("w", weight)
+        groups = dealt.groupBy("b", "arm").agg(F.sum(F.col("w") * F.col("n")).alias("total"), F.array(*[F.sum(F.col("w") * F.col("below")[i]) for i in range(len(taus))]).alias("below"))
+        inside = both.select("unit", "arm", "v", F.explode(F.array(*[F.when(F.col("v").between(low(i), high(i)), i) for i in range(len(taus))])).alias("i")).where("i IS NOT NULL")
+        values = inside.groupBy("unit", "arm", "v", "i").agg(F.count(F.lit(1)).alias("n")).select("*", each).withColumn("k", weight * F.col("n"))
+        values = values.groupBy("b", "arm", "i", "v").agg(F.sum("k").alias("k"))
+        found = {(r["b"], r["arm"]): r["q"] for r in weighted_quantiles(groups.where("total > 0"), values, taus, ["b", "arm"]).collect()}  # two rows a replicate
+        wanted = {(r["b"], r["arm"]) for r in groups.where("total > 0").select("b", "arm").collect()}
+        if all(k in found and None not in found[k] for k in wanted):
+            break
+    out = []
+    for i, t in enumerate(taus):
+        gaps = {b: found[b, 1.0][i] - found[b, 0.0][i] for b in range(replicates + 1) if (b, 0.0) in found and (b, 1.0) in found}
+        drawn = np.array([g for b, g in gaps.items() if b])
+        spread = (float(drawn.std(ddof=1)), *(float(x) for x in np.quantile(drawn, [alpha / 2, 1 - alpha / 2]))) if len(drawn) > 1 else (None,) * 3
+        out.append((float(t), float(gaps[0]), *spread, len(drawn), n, units))
+    return df.sparkSession.createDataFrame(out, shape)

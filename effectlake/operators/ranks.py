@@ -65,3 +65,17 @@ def quantiles(df: DataFrame, x: str | Column, taus: Sequence[float], by: Sequenc
     holds = lambda i, at: F.max(F.when((F.col("i") == i) & (F.col("before") <= at) & (at < F.col("before") + F.col("k")), F.col("v")))
     found = grouped(each, by, *[a.alias(f"{n}{i}") for i, p in enumerate(place) for n, a in (("a", holds(i, F.floor(p))), ("b", holds(i, F.ceil(p))))], F.max("total_").alias("total_"))
     return found.select(*by, F.array(*[F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (p - F.floor(p)) for i, p in enumerate(place)]).alias("q"))
+
+
+def weighted_quantiles(groups: DataFrame, values: DataFrame, taus: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """by..., q: quantiles of values counted with whole-number weights, each value as often as its weight, with linear interpolation; null where ``values`` lack one.
+
+    ``groups`` has by..., total (the sum of weights) and below, an array over ``taus`` of
+    the weights of values smaller than any given for it; ``values`` has by..., i (the
+    place in ``taus``), v and k (the weight), a row per distinct value."""
+    each = join_by(running(values.where("k > 0"), "v", "k", [*by, "i"]), groups, by)
+    each = each.withColumn("before", F.col("before") + F.col("below")[F.col("i")])
+    at = [F.lit(float(t)) * (F.col("total") - 1) for t in taus]
+    holds = lambda i, p: F.max(F.when((F.col("i") == i) & (F.col("before") <= p) & (p < F.col("before") + F.col("k")), F.col("v")))
+    found = grouped(each, by, *[x.alias(f"{n}{i}") for i, p in enumerate(at) for n, x in (("a", holds(i, F.floor(p))), ("b", holds(i, F.ceil(p))))], F.max("total").alias("total"))
+    return found.select(*by, F.array(*[F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (p - F.floor(p)) for i, p in enumerate(at)]).alias("q"))
