@@ -101,7 +101,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_bytes: int = MA
     scratch = scratch or work_dir(docs.sparkSession)
     grams = stored(benchmark_grams(benchmark, n), f"{scratch}/grams")
     lengths = sorted(r[0] for r in grams.select("k").distinct().collect())  # at most n numbers
-    size = grams.agg(F.sum(F.octet_length("gram") + 32)).first()[0] or 0
+    size = grams.agg(F.sum(F.octet_length("gram") + 32 + F.aggregate("items", F.lit(0), lambda a, i: a + F.octet_length(i) + 16))).first()[0] or 0
     none = F.array().cast("array<struct<at:int,k:int>>")
     if not lengths:
         n_words = F.coalesce(F.regexp_count(ascii_lower(F.col("text")), F.lit(WORDS)), F.lit(0)).cast("long")
@@ -148,7 +148,10 @@ def _hit_rows(docs: DataFrame, benchmark: DataFrame, n: int, *more: str) -> tupl
 
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """Rows of ``docs`` without any hit."""
+    """Rows of ``docs`` without any hit, all columns as they are.
+
+    A null or wordless text has no hit and stays; repeated rows go or stay together, by
+    their text; a benchmark without words drops nothing; no rows give none."""
     own, bad, same = _hit_rows(docs, benchmark, n)
     return own.join(bad, same, "left_anti").select(*columns(docs))
 

@@ -91,7 +91,11 @@ def exact_dedup(docs: DataFrame, scratch: str | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     The documents enter a new index in two batches, the larger ids first, so that
-    of equal texts the row with the largest id stays."""
+    of equal texts the row with the largest id stays.
+
+    A null text counts as empty; a null doc_id is below every other, and its row stays
+    only where no row of the text has an id (keep_id null); rows that repeat id and text
+    stay or go together, each counted in group_size; other columns are not read; no rows give none."""
     spark = docs.sparkSession
     scratch = scratch or work_dir(spark)
     rows = stored(digests(docs), f"{scratch}/digests")

@@ -30,8 +30,6 @@ from .textbytes import TO_LOWER, mix, slices, sums
 SAMPLE = 20_000
 GRAMS = 3_000
 SLOTS, HASHES = 1 << 16, 3
-#: So many languages are learned at most, those with the most text; a column of labels with more values than that is a dirty one.
-MAX_LANGUAGES = 1_024
 #: Parts that a language's n-grams are ranked in.
 SALTS = 64
 UNDETERMINED = "und"
@@ -94,7 +92,7 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def train(rows: DataFrame, top: int = GRAMS) -> Model | None:
-    """rows: text, lang.  None where there is nothing to learn from.  At most ``MAX_LANGUAGES`` times ``top`` n-grams come to the driver."""
+    """rows: text, lang.  None where there is nothing to learn from.  Every label of the rows is learned.  What comes to the driver is bounded by the sample that the rows are: a label has a document of it, and no more n-grams than its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,19 +108,22 @@ def train(rows: DataFrame, top: int = GRAMS) -> Model | None:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values)), pa.array(values.astype(np.int64)), pa.array(times.astype(np.int64))], ["lang", "gram", "n"])
 
     counted = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
-    largest = counted.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.col("all").desc(), "lang").limit(MAX_LANGUAGES).collect()
+    largest = counted.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.col("all").desc(), "lang").collect()
     languages = [r["lang"] for r in largest]
     # The commonest of a language are among the commonest of each of its SALTS parts, so no task ranks a whole language.
     best = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("n").desc(), "gram"))
     parts = counted.withColumn("part", F.pmod("gram", F.lit(SALTS))).withColumn("k", best("lang", "part")).where(F.col("k") <= top).drop("k", "part")
-    rows_ = parts.withColumn("k", best("lang")).where((F.col("k") <= top) & F.col("lang").isin(languages)).select("lang", "gram").collect() if languages else []
+    rows_ = parts.withColumn("k", best("lang")).where(F.col("k") <= top).select("lang", "gram").collect() if languages else []
     counted.unpersist()
     if not languages:
         return None
     table = np.zeros((-(-len(languages) // 64), SLOTS), np.uint64)
     rate = np.zeros(len(languages))
+    commonest: dict[str, list[int]] = {lang: [] for lang in languages}
+    for r in rows_:
+        commonest[r["lang"]].append(r["gram"])
     for k, lang in enumerate(languages):
-        slots = np.unique(np.concatenate(positions(np.array([r["gram"] for r in rows_ if r["lang"] == lang], np.uint32))))
+        slots = np.unique(np.concatenate(positions(np.array(commonest[lang], np.uint32))))
         table[k // 64, slots] |= np.uint64(1 << (k % 64))
         rate[k] = min(0.5, (len(slots) / SLOTS) ** HASHES)
     return Model(languages, table, rate)
@@ -164,5 +165,10 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def identify(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row, by a model of the labelled rows that are not held out.
+
+    Rows without text or label teach nothing; a null or letterless text is ``und`` with
+    score 0; a null doc_id counts as held out; repeated rows each give a row; no rows
+    give none.  Columns other than doc_id, text and lang are not read."""
     bounded_batches(docs.sparkSession)
     return predict(docs, train(training_rows(docs)))

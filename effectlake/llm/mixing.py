@@ -167,7 +167,11 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = 0, scratc
 
 
 def mix_documents(docs: DataFrame, weights: DataFrame | None = None, seed: int = 0) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
+    """The rows of ``docs``, each as often as the mix takes it, all columns as they are.
+
+    A null or wordless text has size 0 and is never taken; a null source is a source of
+    its own; rows that repeat an id, a source and a size are told apart by their texts'
+    hashes, and repeated rows each have copies of their own; no rows give none."""
     id_, source_, size_, nth_, size, nth, copies, copy = fresh(docs, "id_", "source_", "size_", "nth_", "size__", "nth__", "copies", "copy__")
     plan = mix(docs, weights, seed).where(F.col("copies") > 0).select(
         F.col("doc_id").alias(id_), F.col("source").alias(source_), F.col("size").alias(size_), F.col("nth").alias(nth_), F.col("copies").alias(copies)

@@ -232,7 +232,11 @@ def classify(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, in one pass over them: no row is shuffled."""
+    """The rows of ``docs`` that the classifier accepts, in one pass over them: no row is shuffled.
+
+    A null or empty text is scored like any other (it has none of the words); repeated
+    rows are kept or dropped alike; all columns pass as they are, whatever their names;
+    no rows give none."""
     text = docs.columns.index("text")
     model = docs.sparkSession.sparkContext.broadcast(train(docs))
 

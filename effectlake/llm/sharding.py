@@ -14,6 +14,8 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import columns
+
 #: The table is broadcast, so its size is bounded: 12 bytes a slot.
 MAX_SLOTS = 4_000_037
 
@@ -60,8 +62,9 @@ def place(docs: DataFrame, shards: list[str], slots: int = 65_537, key: str = "d
 
     Rows of one key share a shard; a null key has a slot like any other value.
     No row moves: the table is broadcast and its size is bounded by MAX_SLOTS."""
-    own = [c for c in docs.columns if c.lower() not in ("slot", "shard", "shard_name")]
-    slot = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(slots)).cast("int").alias("slot")
+    own = [c for name, c in zip(docs.columns, columns(docs), strict=True) if name.lower() not in ("slot", "shard", "shard_name")]
+    (named,) = [c for name, c in zip(docs.columns, columns(docs), strict=True) if name == key]
+    slot = F.pmod(F.xxhash64(named.cast("string")), F.lit(slots)).cast("int").alias("slot")
     return docs.select(*own, slot).join(F.broadcast(table_frame(docs.sparkSession, shards, slots)), "slot").select(*own, "slot", "shard", "shard_name")
 
 

@@ -199,6 +199,10 @@ def read(spark: SparkSession, path: str, scratch: str) -> DataFrame:
 
 
 def encode_and_read(docs: DataFrame, tokenizer: str | None = None, scratch: str | None = None) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every row, from the files that ``write`` makes of them.
+
+    A null text is empty and has the end id alone; null ids come first, rows of one id in
+    order of a hash of their texts; repeated rows each have their tokens and a row; no rows give none."""
     scratch = scratch or work_dir(docs.sparkSession)
     write(docs, f"{scratch}/tokens", tokenizer)
     return read(docs.sparkSession, f"{scratch}/tokens", scratch)

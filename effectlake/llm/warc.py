@@ -242,12 +242,16 @@ def archive_and_read(pages: DataFrame, least_bytes: int = 0, scratch: str | None
 
     The length and digest of a revisit are those of the response that it names,
     as read back; that response is found by a join whose other side has one row
-    per group of equal payloads.  A page of null id is a revisit where another
+    per group of equal payloads, and a response that is missing is an error.  A page of null id is a revisit where another
     page of the same payload has an id, else a response."""
     spark = pages.sparkSession
     scratch = scratch or work_dir(spark)
     write(pages, f"{scratch}/warc", scratch, least_bytes)
-    found = reassemble(read_records(spark, f"{scratch}/warc"))
+    return resolved(reassemble(read_records(spark, f"{scratch}/warc")), scratch)
+
+
+def resolved(found: DataFrame, scratch: str) -> DataFrame:
+    """A row per reassembled record, revisits with the length and digest of the response that they name; a response that is missing, or differs from its digest, is an error."""
     hexed = found.select("page_id", "record_type", "refers_to", "stated_digest", F.octet_length("payload").cast("long").alias("n"), F.sha1("payload").alias("h"))
     short = stored(hexed, f"{scratch}/read").select("page_id", "record_type", "refers_to", "stated_digest", "n", F.when(F.col("h").isNotNull(), base32_of_hex(F.col("h"))).alias("d"))
     own = short.where("record_type = 'response'").select(
@@ -257,8 +261,10 @@ def archive_and_read(pages: DataFrame, least_bytes: int = 0, scratch: str | None
     )
     again = short.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "stated_digest")
     named = again.groupBy("refers_to", "stated_digest").agg(F.count(F.lit(1)).alias("times"))
-    responses = own.select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").distinct()
-    lengths = stored(named.join(responses, "refers_to").where("payload_digest = stated_digest").drop("payload_digest"), f"{scratch}/named")
+    responses = own.select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("stated_digest"), "payload_bytes").distinct()
+    missing = F.raise_error(F.lit("a revisit's response is missing")).cast("long")
+    lengths = named.join(responses, ["refers_to", "stated_digest"], "left").withColumn("payload_bytes", F.coalesce("payload_bytes", missing))
+    lengths = stored(lengths, f"{scratch}/named")
     limit = short.count() // HOT_GROUPS + 1
     hot, cold = F.broadcast(lengths.where(F.col("times") > limit)), lengths.where(F.col("times") <= limit)
     on = ["refers_to", "stated_digest"]

@@ -308,7 +308,7 @@ def test_decontamination_by_brute_force(spark, monkeypatch, most):
 def test_language(documents, odd, empty):
     rows = langid.identify(documents).join(documents.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.95
-    assert {r.lang_pred for r in langid.identify(odd).where("text IS NULL" if "text" in langid.identify(odd).columns else "doc_id IN (0, 1, 2, 9)").collect()} == {"und"}
+    assert {r.lang_pred for r in langid.identify(odd).where("doc_id IN (0, 1, 2, 9)").collect()} == {"und"}
     assert langid.identify(empty).count() == 0 and langid.identify(odd).count() == odd.count()
 
 
@@ -343,6 +343,10 @@ def test_warc(spark, tmp_path):
     records = warc.read_records(spark, str(tmp_path / "w")).cache()
     found = {r.page_id: r.payload for r in warc.reassemble(records).where("record_type = 'response' AND page_id <> 2").collect()}
     assert bytes(found[0]) == html[0].encode() and bytes(found[5]) == html[5].encode()
+    whole = warc.reassemble(records)
+    assert Counter(map(tuple, warc.resolved(whole, str(tmp_path / "r")).collect())) == brute_pages(rows)
+    with pytest.raises(Exception, match="response is missing"):
+        warc.resolved(whole.where("NOT (record_type = 'response' AND page_id = 1)"), str(tmp_path / "m")).collect()
     for missing in ("segment <> 2", "segment = 1", "segment < 4"):
         with pytest.raises(Exception, match="missing"):
             warc.reassemble(records.where(missing)).collect()
@@ -354,6 +358,26 @@ def test_warc_without_broadcast(spark, monkeypatch):
     assert Counter(map(tuple, warc.archive_and_read(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())) == brute_pages(rows)
 
 
+def test_items_that_share_windows_count_towards_the_broadcast(spark, monkeypatch):
+    shared = "one two three four five six seven eight nine ten"
+    benchmark = spark.createDataFrame([(f"item-{k:05d}", shared if k < 300 else f"{shared} w{k}") for k in range(400)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"a {shared} b"), (2, "nothing of it"), (3, None)], "doc_id long, text string")
+    seen = []
+    real = decontam._suspects
+    monkeypatch.setattr(decontam, "_suspects", lambda *a: seen.append(a[-1]) or real(*a))
+    few, many = decontam.scan(docs, benchmark), decontam.scan(docs, benchmark, max_bytes=5_000)
+    want = [(1, 12, 10, 400), (2, 3, 0, 0), (3, 0, 0, 0)]
+    for found in (few, many):
+        assert sorted((r.doc_id, r.n_words, r.n_hit, len(r.items)) for r in found.collect()) == want
+    assert seen == [True, False]
+
+
+def test_sharding_of_odd_names(spark):
+    rows = spark.createDataFrame([(1, "x", 5), (None, "y", 6)], ["doc.id", "a `b`.c", "Shard"])
+    found = sharding.place(rows, ["a", "b"], 11, key="doc.id")
+    assert found.columns == ["doc.id", "a `b`.c", "slot", "shard", "shard_name"] and found.count() == 2
+
+
 def test_chunked_framing():
     assert warc.dechunk(warc.chunked(b"abc" * 100, 7)) == b"abc" * 100
     with pytest.raises(ValueError):
@@ -383,7 +407,8 @@ def test_language_masks_and_counts(spark):
         at = langid.positions(np.array([int.from_bytes(own[:4], "little")], np.uint32))
         assert all(int(model.table[0, p[0]]) >> j & 1 for p in at)
     dirty = spark.createDataFrame([(f"some text {k} of a label", f"l{k}") for k in range(1500)], "text string, lang string")
-    assert len(langid.train(dirty, top=5).languages) == langid.MAX_LANGUAGES
+    learned = langid.train(dirty, top=5)
+    assert len(learned.languages) == 1500 and learned.table.shape[0] == 24
 
 
 def test_weak_labels_and_scorer_by_plain_loops():
