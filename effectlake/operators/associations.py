@@ -242,7 +242,7 @@ def polynomial_mte(df: DataFrame, y: str, d: str, zs: Sequence[str], degree: int
     fit = LeastSquares(scored.where(F.col("p__").between(low, high)), y, [F.col("p__") ** j for j in range(1, degree + 1)], robust="HC0").first()
     us = np.linspace(low, high, grid)
     slope = np.array([[0.0, *[j * u ** (j - 1) for j in range(1, degree + 1)]] for u in us])
-    mte, var = slope @ np.nan_to_num(fit["beta"]), np.einsum("ij,jk,ik->i", slope, fit["cov"], slope)
+    mte, var = slope @ fit["line"], np.einsum("ij,jk,ik->i", slope, fit["cov"], slope)
     return df.sparkSession.createDataFrame([(float(u), float(m), float(np.sqrt(max(v, 0)))) for u, m, v in zip(us, mte, var, strict=True)], "u double, mte double, se double")
 
 

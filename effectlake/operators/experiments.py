@@ -253,7 +253,7 @@ def wald_late(df: DataFrame, y: str, d: str, z: str, by: Sequence[str] = (), xs:
     if xs:
         names = [f"x{i}_" for i in range(len(xs))]
         for c in ("y", "d"):
-            beta = LeastSquares(rows, c, names).first()["beta"]
+            beta = LeastSquares(rows, c, names).first()["line"]
             rows = rows.withColumn(f"{c}_res", F.col(c) - sum((float(b) * (F.col(n)) for b, n in zip(beta[1:], names, strict=True)), F.lit(0.0)))
         rows = rows.select(*by, F.col("y_res").alias("y"), F.col("d_res").alias("d"), "z")
     aggs = []

@@ -263,7 +263,7 @@ def control_function(df: DataFrame, y: str, d: str, zs: Sequence[str], xs: Seque
     estimating the residual gives."""
     first = LeastSquares(df, d, [*xs, *zs], robust="HC0").first()
     names = [*xs, *zs]
-    residual = number(d) - sum((float(b) * number(c) for b, c in zip(first["beta"][1:], names, strict=True)), F.lit(float(first["beta"][0])))
+    residual = number(d) - sum((float(b) * number(c) for b, c in zip(first["line"][1:], names, strict=True)), F.lit(float(first["beta"][0])))
     second = LeastSquares(df, y, [*xs, d, residual], robust="HC0")
     r, small = second.first(), second.small.first()
     k, rho = len(xs) + 3, float(r["beta"][-1])
@@ -299,7 +299,7 @@ def shift_share_iv(rows: DataFrame, shares: DataFrame, shocks: DataFrame, y: str
 def rotemberg_weights(rows: DataFrame, shares: DataFrame, shocks: DataFrame, d: str, location: str, sector: str, xs: Sequence[str] = ()) -> DataFrame:
     """Sector, weight: its shock times the shares' products with d (freed of controls), over the sum of their sizes."""
     own = frame(rows, {"d": d, **{f"x{i}": x for i, x in enumerate(xs)}}, (), [location])
-    beta = LeastSquares(own, "d", [f"x{i}" for i in range(len(xs))]).first()["beta"]
+    beta = LeastSquares(own, "d", [f"x{i}" for i in range(len(xs))]).first()["line"]
     left = F.col("d") - sum((float(b) * F.col(f"x{i}") for i, b in enumerate(beta[1:])), F.lit(float(beta[0])))
     raw = shares.join(own.select(location, left.alias("left")), location).groupBy(sector).agg(F.sum(F.col("share") * F.col("left")).alias("s")).join(shocks, sector)
     raw = raw.select(sector, (F.col("shock") * F.col("s")).alias("raw"))

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .moments import LeastSquares, centred, cross_products, frame, grouped, inferred, inverted, join_by, number, solve, square
+from .moments import LeastSquares, centred, cross_products, frame, grouped, inferred, inverted, join_by, number, square
 from .panels import unit_means
 from .propensity import BinaryModel, with_outcome_models
 from .ranks import quantiles, weighted_quantiles
@@ -26,7 +26,7 @@ def _line(beta: Sequence[float], xs: Sequence[str | Column]) -> Column:
 
 def s_learner(df: DataFrame, y: str, t: str, xs: Sequence[str]) -> DataFrame:
     """Df and cate: least squares of y on t, xs and their products; the effect is t's part of it."""
-    beta = LeastSquares(df, y, [t, *xs, *[number(t) * number(x) for x in xs]]).first()["beta"]
+    beta = LeastSquares(df, y, [t, *xs, *[number(t) * number(x) for x in xs]]).first()["line"]
     return df.withColumn("cate", _line([beta[1], *beta[2 + len(xs) :]], xs))
 
 
@@ -48,14 +48,14 @@ def t_learner_ate(df: DataFrame, y: str, t: str, xs: Sequence[str], alpha: float
 def x_learner(df: DataFrame, y: str, t: str, xs: Sequence[str], p: str = "p") -> DataFrame:
     """Df and cate: imputed effects of either arm, each fitted on xs, weighted by the propensity p (clipped to 0.01-0.99)."""
     imputed = with_outcome_models(df, y, t, xs).withColumn("gap_", F.when(F.col(t) == 1, number(y) - F.col("mu0")).otherwise(F.col("mu1") - number(y)))
-    fits = {r[t]: r["beta"] for r in LeastSquares(imputed, "gap_", xs, [t]).table.where(F.col(t).isin(0, 1)).collect()}  # one row per arm
+    fits = {r[t]: r["line"] for r in LeastSquares(imputed, "gap_", xs, [t]).table.where(F.col(t).isin(0, 1)).collect()}  # one row per arm
     e = F.least(F.greatest(F.col(p), F.lit(0.01)), F.lit(0.99))
     return df.withColumn("cate", e * _line(fits[0], xs) + (1 - e) * _line(fits[1], xs))
 
 
 def r_learner(df: DataFrame, y: str, t: str, xs: Sequence[str], p: str = "p", ridge: float = 0.0) -> DataFrame:
     """Df and cate: linear in xs, fitted to the outcome's residual on the treatment's residual times (1, xs)."""
-    mu = LeastSquares(df, y, xs).first()["beta"]
+    mu = LeastSquares(df, y, xs).first()["line"]
     rows, means = centred(frame(df, {"y": y, "t": t, "p": p, **{f"x{i}": x for i, x in enumerate(xs)}}), [f"x{i}" for i in range(len(xs))])
     rt = F.col("t") - F.col("p")
     ry = F.col("y") - F.lit(float(mu[0] + sum(b * m for b, m in zip(mu[1:], means.values(), strict=True)))) - sum((float(b) * F.col(f"x{i}") for i, b in enumerate(mu[1:])), F.lit(0.0))
@@ -92,7 +92,8 @@ class Folds:
             m = total - sums.get(f, 0.0) + np.diag([0.0, *[ridge] * (k - 1), *[0.0] * len(targets)])
             for j in range(len(targets)):
                 keep = [*range(k), k + j]
-                betas[f, j] = np.nan_to_num(solve(m[np.ix_(keep, keep)])[0])
+                own = m[np.ix_(keep, keep)]
+                betas[f, j] = inverted(own[:-1, :-1])[0] @ own[:-1, -1]
         return [sum((F.get(F.lit(betas[:, j, i].tolist()), F.col("fold__")) * c for i, c in enumerate(x)), F.lit(0.0)) for j in range(len(targets))]
 
 
@@ -199,7 +200,7 @@ def q_learning(df: DataFrame, stages: Sequence[tuple[str, Sequence[str]]], y: st
         for i, term in enumerate(names(h)):
             one = fit.coefficient(1 + len(h) + i, alpha).drop("r2", "df").withColumns({"stage": F.lit(k + 1).cast("long"), "term": F.lit(term)})
             table = one if table is None else table.unionByName(one)
-        beta = fit.first()["beta"]
+        beta = fit.first()["line"]
         blip, base = _line(beta[1 + len(h) :], h), _line(beta[: 1 + len(h)], h)
         own = own.withColumn("future__", base + F.greatest(blip, F.lit(0.0)))
     value = own.agg(F.avg("future__").alias("estimate"), (F.stddev_pop("future__") / F.sqrt(F.count("future__"))).alias("se"), F.count("future__").alias("n"))
@@ -209,7 +210,7 @@ def q_learning(df: DataFrame, stages: Sequence[tuple[str, Sequence[str]]], y: st
 def a_learning(df: DataFrame, y: str, t: str, xs: Sequence[str], alpha: float = 0.05) -> DataFrame:
     """One stage by advantage learning: the outcome less the control arm's prediction, regressed on (t - e)(1, xs), e the logistic propensity: a row per blip coefficient with HC0 errors."""
     model = BinaryModel(df, t, xs)
-    base = LeastSquares(df.where(F.col(t) == 0), y, xs).first()["beta"]
+    base = LeastSquares(df.where(F.col(t) == 0), y, xs).first()["line"]
     own = df.withColumns({"gap__": number(y) - _line(base, xs), "e__": model.probability()})
     d = number(t) - F.col("e__")
     # Moments (t - e)(1, xs)(gap - t (1, xs) psi) = 0: an instrumental regression of the gap on t(1, xs) by (t - e)(1, xs).

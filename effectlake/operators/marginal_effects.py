@@ -67,7 +67,7 @@ def local_iv(
     low, high = quantiles(scored, "p__", [trim, 1 - trim]).first()["q"]
     own = scored.where(F.col("p__").between(low, high))
     if xs:
-        own = own.withColumn("y__", F.col("y__") - _line(LeastSquares(own, "y__", xs).first()["beta"], xs))
+        own = own.withColumn("y__", F.col("y__") - _line(LeastSquares(own, "y__", xs).first()["line"], xs))
     n, sd, mean = own.agg(F.count(F.lit(1)), F.stddev_samp("p__"), F.avg("y__")).first()
     if bandwidth is None:
         q1, q3 = quantiles(own, "p__", [0.25, 0.75]).first()["q"]

@@ -172,7 +172,7 @@ class LeastSquares:
     One pass gives means and centred products, and with ``robust`` or ``cluster`` a
     second the sum of squared scores for robust variances ("HC0", "HC1", "HC3") or of
     squared sums of scores per cluster.  ``table`` has by..., n, k, beta (the intercept
-    first), cov (k x k by rows), rss, tss and n_clusters; ``extra`` is
+    first), line (coefficients that predict, also where beta has none), cov (k x k by rows), rss, tss and n_clusters; ``extra`` is
     the number of further coefficients that small-sample factors are to count.  ``rows``
     are those in use, each less its segment's means (x0_, x1_, ..., y_), and ``small``
     their solution.  With ``weight`` scores are weighted too.  Segments without rows give n 0 and nulls."""
@@ -207,18 +207,19 @@ class LeastSquares:
         def fit(r: dict) -> dict:
             base = {**{c: r[c] for c in keys}, "n": r["n"], "k": k, "n_clusters": None}
             if not r["n"]:
-                return {**base, **dict.fromkeys(("beta", "inverse", "cov", "rss", "tss", "slope", "at"))}
+                return {**base, **dict.fromkeys(("beta", "line", "inverse", "cov", "rss", "tss", "slope", "at"))}
             m, at = square(r["xx"], k + 1), np.array(r["at"][:k0], float)
             beta, inverse, rss = solve(m)
+            line = inverse @ m[:-1, -1]  # predicts alike where columns make up each other, when no one of them has a coefficient
             tss = float(m[-1, -1] - m[0, -1] ** 2 / m[0, 0]) if intercept else float(m[-1, -1])
-            out, to = beta.copy(), back(at)
-            if intercept:
-                out[0] += r["at"][-1] - np.nansum(beta[1:] * at)
+            to = back(at)
+            shift = np.eye(k)[0] * (r["at"][-1] - line[1:] @ at) if intercept else np.zeros(k)
+            out = beta + shift
             spare = r["n"] - k
             cov = to @ inverse @ to.T * rss / spare if spare > 0 else np.full_like(inverse, np.nan)
-            return {**base, "beta": out.tolist(), "slope": np.nan_to_num(beta).tolist(), "inverse": inverse.ravel().tolist(), "cov": cov.ravel().tolist(), "rss": rss, "tss": tss, "at": list(r["at"])}
+            return {**base, "beta": out.tolist(), "slope": line.tolist(), "line": (line + shift).tolist(), "inverse": inverse.ravel().tolist(), "cov": cov.ravel().tolist(), "rss": rss, "tss": tss, "at": list(r["at"])}
 
-        shape = ["n long", "k int", "beta array<double>", "cov array<double>", "rss double", "tss double", "n_clusters long"]
+        shape = ["n long", "k int", "beta array<double>", "line array<double>", "cov array<double>", "rss double", "tss double", "n_clusters long"]
         first = each_row(grams, fit, ", ".join([*kinds, *shape, "slope array<double>", "inverse array<double>", "at array<double>"]))
         named = dict(zip(keys, by, strict=True))
         self._at = first.select(*keys, F.col("at").alias("at_"))
@@ -277,9 +278,9 @@ class LeastSquares:
         """beta, cov (a matrix), se, n, k, rss and tss where there are no segments."""
         r = self.table.first().asDict()
         if r["beta"] is None:  # without rows nothing is known
-            r |= {"beta": [np.nan] * r["k"], "cov": [np.nan] * r["k"] ** 2}
+            r |= {"beta": [np.nan] * r["k"], "line": [np.nan] * r["k"], "cov": [np.nan] * r["k"] ** 2}
         cov = np.full((r["k"], r["k"]), np.nan) if r["cov"] is None else np.array(r["cov"], float).reshape(r["k"], r["k"])
-        return {**r, "beta": np.array(r["beta"], float), "cov": cov, "se": np.sqrt(np.maximum(np.diag(cov), 0))}
+        return {**r, "beta": np.array(r["beta"], float), "line": np.array(r["line"], float), "cov": cov, "se": np.sqrt(np.maximum(np.diag(cov), 0))}
 
 
 def ols(df: DataFrame, y: str | Column, xs: Sequence[str | Column], robust: str | None = None, cluster: str | None = None) -> dict:

@@ -158,7 +158,7 @@ def with_outcome_models(df: DataFrame, y: str, t: str, xs: Sequence[str]) -> Dat
     """Df, mu0 and mu1: least squares of y on xs in each arm, predicted for all rows; both arms share their passes.  An arm without rows is an error."""
     from .moments import LeastSquares
 
-    fits = {r[t]: r["beta"] for r in LeastSquares(df, y, xs, [t]).table.where(F.col(t).isin(0, 1)).collect()}  # one row per arm
+    fits = {r[t]: r["line"] for r in LeastSquares(df, y, xs, [t]).table.where(F.col(t).isin(0, 1)).collect()}  # one row per arm
     if set(fits) != {0, 1}:
         raise ValueError("both arms need rows")
     line = lambda b: sum((float(c) * number(x) for c, x in zip(b[1:], xs, strict=True) if np.isfinite(c)), F.lit(float(b[0])))

@@ -76,6 +76,10 @@ def test_a_series_in_another_unit(rows, name):
 def test_a_control_that_others_make_up(rows):
     own = rows.withColumn("twice", 2 * F.col("x"))
     same(table(SCALED["tsls"](rows).select("estimate")), table(instruments.tsls(own, "y", "d", ["z"], ["x", "twice"], errors="HC0").select("estimate")))
+    keys = ("estimate", "se")
+    same(table(experiments.regression_ate(rows, "y", "t", ["x"]).select(*keys)), table(experiments.regression_ate(own, "y", "t", ["x", "twice"]).select(*keys)), rtol=2e-3)
+    gap = lambda d, xs: learners.effect_summary(learners.t_learner(d, "y", "t", xs)).select("estimate", "spread", "least")
+    same(table(gap(rows, ["x"])), table(gap(own, ["x", "twice"])))
     none = instruments.tsls(own, "y", "twice", ["z"], ["x"]).first()
     assert none.estimate is None and none.se is None
 
