@@ -10,13 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import associations as A
+from ..operators import cointegration as CO
 from ..operators import discontinuity as D
+from ..operators import dynamic as D2
 from ..operators import experiments as E
 from ..operators import instruments as I
+from ..operators import latent as LA
 from ..operators import learners as L
+from ..operators import links as LK
+from ..operators import marginal_effects as ME
 from ..operators import matching as M
 from ..operators import panels as P
 from ..operators import propensity as O
+from ..operators import quantile_regression as QR
+from ..operators import replicated as RP
 from ..operators import resampling as R
 from ..operators import series as T
 from ..operators import synthetic as Z
@@ -913,3 +920,180 @@ def mte_effects(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def cace_mixture(spark: SparkSession, sf: str) -> DataFrame:
     return A.complier_mixture(S.line_items(spark, sf), "y", "t", "z", rounds=20)
+
+
+# Estimators of the third round.  With t alone a linear quantile is each arm's own: any value between two neighbours is as good, and the lower is taken unless the arm's size times tau is a whole number.
+@query(f"""WITH q AS (SELECT quantile_disc(y, 0.37) FILTER (t = 1) - quantile_disc(y, 0.37) FILTER (t = 0) AS a, quantile_disc(y, 0.83) FILTER (t = 1) - quantile_disc(y, 0.83) FILTER (t = 0) AS b, count(*) AS n FROM {LINES})
+    SELECT unnest([0.37, 0.83]) AS tau, unnest([a, b]) AS estimate, n FROM q""", "n", "tau estimate")
+def quantile_conditional(spark: SparkSession, sf: str) -> DataFrame:
+    return QR.conditional_quantile_effects(S.line_items(spark, sf), "y", "t", [], [0.37, 0.83]).select("tau", "estimate", "n")
+
+
+@query()
+def quantile_regression(spark: SparkSession, sf: str) -> DataFrame:
+    return QR.quantile_regression(S.line_items(spark, sf), "y", ["t", "x1", "x2"], [0.25, 0.5])
+
+
+@query(f"""WITH q AS (SELECT quantile_cont(y, 0.25) FILTER (t = 1) - quantile_cont(y, 0.25) FILTER (t = 0) AS a, quantile_cont(y, 0.5) FILTER (t = 1) - quantile_cont(y, 0.5) FILTER (t = 0) AS b, count(*) AS n, count(DISTINCT cluster) AS n_units FROM {LINES})
+    SELECT unnest([0.25, 0.5]) AS tau, unnest([a, b]) AS estimate, n, n_units FROM q""", "n n_units", "tau estimate")
+def quantile_gaps_panel(spark: SparkSession, sf: str) -> DataFrame:
+    return L.panel_quantile_gaps(S.line_items(spark, sf), "y", "t", "cluster", [0.25, 0.5], 20).select("tau", "estimate", "n", "n_units")
+
+
+@query()
+def quantile_gaps_panel_errors(spark: SparkSession, sf: str) -> DataFrame:
+    return L.panel_quantile_gaps(S.customers(spark, sf), "y", "t", "nation", [0.25, 0.5, 0.75], 40)
+
+
+@query()
+def mte_local(spark: SparkSession, sf: str) -> DataFrame:
+    return ME.local_iv(S.line_items(spark, sf), "y", "t", ["x1", "x2"], key="id", replicates=10)
+
+
+@query()
+def mte_policy(spark: SparkSession, sf: str) -> DataFrame:
+    rows = O.with_propensity(S.line_items(spark, sf), "t", ["x1", "x2"])
+    curve = ME.local_iv(S.line_items(spark, sf), "y", "t", ["x1", "x2"])
+    return ME.policy_effects(curve, rows.withColumn("moved", F.least(F.col("p") + 0.02, F.lit(0.99))), "p", "moved", "t")
+
+
+@query()
+def dynamic_effects(spark: SparkSession, sf: str) -> DataFrame:
+    panel = S.orders(spark, sf).groupBy((F.col("unit") % 100).alias("unit"), "quarter").agg(F.avg("y").alias("y"), F.avg("t").alias("d"), F.count(F.lit(1)).alias("x"))
+    return D2.dynamic_effects(panel, "y", "d", ["x"], "unit", "quarter", 2, how="panel")
+
+
+@query(f"""WITH c AS (SELECT series, day, v - avg(v) OVER w AS v, n - avg(n) OVER w AS n FROM {_DAYS} WINDOW w AS (PARTITION BY series)), l AS (SELECT series, v - lag(v) OVER w AS dv, n - lag(n) OVER w AS dn, lag(v) OVER w AS v1, lag(n) OVER w AS n1 FROM c WINDOW w AS (PARTITION BY series ORDER BY day)),
+    s AS (SELECT series, count(*) AS n, var_pop(v1) AS a, covar_pop(v1, n1) AS b, var_pop(n1) AS d, covar_pop(v1, dv) AS p, covar_pop(v1, dn) AS q, covar_pop(n1, dv) AS r, covar_pop(n1, dn) AS s, var_pop(dv) AS e, covar_pop(dv, dn) AS f, var_pop(dn) AS g FROM l WHERE v1 IS NOT NULL GROUP BY 1),
+    m AS (SELECT *, (a * d - b * b) * (e * g - f * f) AS dd, p * (p * g - q * f) + q * (q * e - p * f) AS h11, p * (r * g - s * f) + q * (s * e - r * f) AS h12, r * (r * g - s * f) + s * (s * e - r * f) AS h22 FROM s),
+    t AS (SELECT series, n, (d * h11 - 2 * b * h12 + a * h22) / dd AS tr, (h11 * h22 - h12 * h12) * (a * d - b * b) / dd ** 2 AS det FROM m), l2 AS (SELECT series, n, (tr + sqrt(greatest(tr * tr - 4 * det, 0))) / 2 AS l0, (tr - sqrt(greatest(tr * tr - 4 * det, 0))) / 2 AS l1 FROM t)
+    SELECT series, unnest([0, 1])::BIGINT AS r, unnest([l0, l1]) AS eigenvalue, unnest([-n * (ln(1 - l0) + ln(1 - l1)), -n * ln(1 - l1)]) AS trace, n FROM l2""", "series r n", "eigenvalue trace")
+def series_reduced_rank(spark: SparkSession, sf: str) -> DataFrame:
+    return CO.johansen_test(S.daily_events(spark, sf), "series", "day", ["v", "n"], 1).select("series", "r", "eigenvalue", "trace", "n")
+
+
+@query()
+def series_error_correction(spark: SparkSession, sf: str) -> DataFrame:
+    return CO.error_correction(S.daily_events(spark, sf), "series", "day", ["v", "n"], 2, rank=1)
+
+
+@query()
+def series_error_correction_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    return CO.error_correction_forecast(S.daily_events(spark, sf), "series", "day", ["v", "n"], 2, 3, rank=1)
+
+
+@query()
+def series_error_correction_causality(spark: SparkSession, sf: str) -> DataFrame:
+    return CO.error_correction_causality(S.daily_events(spark, sf), "series", "day", ["v", "n"], 2, rank=1)
+
+
+def _controls(spark: SparkSession, sf: str) -> DataFrame:
+    panel = S.orders(spark, sf).groupBy((F.col("unit") % 15).alias("unit"), "quarter").agg(F.avg("y").alias("y"))
+    return panel.withColumn("first", F.when(F.col("unit") < 2, 20))
+
+
+@query()
+def synthetic_control_augmented(spark: SparkSession, sf: str) -> DataFrame:
+    return Z.augmented_synthetic_control(_controls(spark, sf), "unit", "quarter", "y", "first")
+
+
+@query()
+def synthetic_control_donors(spark: SparkSession, sf: str) -> DataFrame:
+    panel = _controls(spark, sf)
+    weights = Z.synthetic_weights(panel, "unit", "quarter", "y", "first")
+    return Z.donor_diagnostics(weights, Z.synthetic_paths(panel, weights, "unit", "quarter", "y", "first"))
+
+
+@query()
+def synthetic_control_leave_one_out(spark: SparkSession, sf: str) -> DataFrame:
+    return Z.leave_one_out(_controls(spark, sf), "unit", "quarter", "y", "first")
+
+
+@query()
+def control_function_probit(spark: SparkSession, sf: str) -> DataFrame:
+    rows = S.line_items(spark, sf).withColumn("high", (F.col("y") > 50_000).cast("int"))
+    return RP.nonlinear_control_function(rows, "high", "d", ["t", "z"], "id", ["x1"], replicates=10)
+
+
+@query(f"""WITH s AS (SELECT regr_slope(x1, t) AS a, var_pop(t) AS tt, var_pop(x1) AS mm, covar_pop(t, x1) AS tm, covar_pop(t, y) AS ty, covar_pop(x1, y) AS my, count(*) AS n FROM {LINES}), b AS (SELECT a, n, (ty * mm - my * tm) / (tt * mm - tm * tm) AS c, (my * tt - ty * tm) / (tt * mm - tm * tm) AS b FROM s)
+    SELECT unnest(['total', 'direct', 'indirect', 'mediated']) AS effect, unnest([c + a * b, c, a * b, a * b / (c + a * b)]) AS estimate, n FROM b""", "effect n", "estimate")
+def mediation_simulated(spark: SparkSession, sf: str) -> DataFrame:
+    return RP.mediation_effects(S.line_items(spark, sf), "y", "t", "x1", "id", simulations=1, replicates=5).select("effect", "estimate", "n")
+
+
+@query()
+def mediation_simulated_logit(spark: SparkSession, sf: str) -> DataFrame:
+    rows = S.line_items(spark, sf).withColumn("m", (F.col("x1") > 25).cast("int"))
+    return RP.mediation_effects(rows, "y", "t", "m", "id", ["x2"], mediator="logit", simulations=3, replicates=10)
+
+
+@query()
+def bayes_doubly_robust(spark: SparkSession, sf: str) -> DataFrame:
+    return RP.bayesian_doubly_robust(S.line_items(spark, sf), "y", "t", ["x1", "x2"], draws=50)
+
+
+@query()
+def bayes_doubly_robust_strata(spark: SparkSession, sf: str) -> DataFrame:
+    return RP.bayesian_doubly_robust(S.line_items(spark, sf), "y", "t", ["x1"], strata=["stratum", "segment"], draws=50)
+
+
+@query(f"""WITH a AS (SELECT t, regr_slope(y, x1) AS b, regr_intercept(y, x1) AS a FROM {LINES} GROUP BY 1), r AS (SELECT segment, (SELECT a FROM a WHERE t = 1) - (SELECT a FROM a WHERE t = 0) + ((SELECT b FROM a WHERE t = 1) - (SELECT b FROM a WHERE t = 0)) * x1 AS c FROM {LINES})
+    SELECT segment, avg(c) AS estimate, count(*) AS n FROM r GROUP BY 1""", "segment n", "estimate")
+def cate_factors(spark: SparkSession, sf: str) -> DataFrame:
+    return L.effect_summary(LA.factor_cate(S.line_items(spark, sf), "y", "t", ["x1"], 1), ["segment"]).select("segment", "estimate", "n")
+
+
+@query()
+def cate_factor_products(spark: SparkSession, sf: str) -> DataFrame:
+    return L.effect_summary(LA.factor_cate(S.line_items(spark, sf), "y", "t", ["x1", "x2", "z"], 2, "fa", squares=True), ["segment"])
+
+
+@query()
+def cate_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return LA.mixture_ate(LA.mixture_cate(S.line_items(spark, sf), "y", "t", ["x1", "x2"], 2, 10))
+
+
+@query()
+def series_links(spark: SparkSession, sf: str) -> DataFrame:
+    return LK.lagged_links(S.daily_events(spark, sf), "series", "day", ["v", "n"], 2)
+
+
+@query()
+def series_proxy_shock(spark: SparkSession, sf: str) -> DataFrame:
+    days = S.daily_events(spark, sf).withColumn("z", F.col("n") + F.dayofweek("day"))
+    return LK.proxy_impacts(days, "series", "day", ["v", "n"], 1, "z", "n")
+
+
+@query()
+def series_history(spark: SparkSession, sf: str) -> DataFrame:
+    return LK.historical_decomposition(S.daily_events(spark, sf), "series", "day", ["v", "n"], 1)
+
+
+@query(f"SELECT series, day, x_diff FROM (SELECT series, day, v - lag(v) OVER (PARTITION BY series ORDER BY day) AS x_diff FROM {_DAYS}) WHERE x_diff IS NOT NULL", "series day", "x_diff")
+def series_difference(spark: SparkSession, sf: str) -> DataFrame:
+    return T.difference(S.daily_events(spark, sf).withColumnRenamed("v", "x"), "series", "day", "x").select("series", "day", "x_diff")
+
+
+@query(f"SELECT d, count(*) AS n, min(x) AS least, max(x) AS greatest FROM (SELECT x2 AS x, (x2 > (SELECT quantile_cont(x2, 1.0 / 3) FROM {LINES}))::INT + (x2 > (SELECT quantile_cont(x2, 2.0 / 3) FROM {LINES}))::INT AS d FROM {LINES}) GROUP BY 1", "d n", "least greatest")
+def quantile_bins(spark: SparkSession, sf: str) -> DataFrame:
+    rows = A.quantile_bins(S.line_items(spark, sf), "x2")
+    return rows.groupBy(F.col("x2_bin").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.min("x2").alias("least"), F.max("x2").alias("greatest"))
+
+
+@query(f"""WITH e AS (SELECT greatest(quantile_cont(y, 0.05) FILTER (t = 1), quantile_cont(y, 0.05) FILTER (t = 0)) AS low, least(quantile_cont(y, 0.95) FILTER (t = 1), quantile_cont(y, 0.95) FILTER (t = 0)) AS high FROM {LINES})
+    SELECT low, high, count(*) FILTER (y < low OR y > high) AS n_outside, count(*) AS n, low <= high AS overlap FROM {LINES}, e GROUP BY 1, 2""", "n_outside n overlap", "low high")
+def common_support_margin(spark: SparkSession, sf: str) -> DataFrame:
+    return M.common_support(S.line_items(spark, sf), "t", "y", margin=0.05)
+
+
+@query(f"""WITH w AS (SELECT sector, raw / sum(abs(raw)) OVER () AS weight FROM (SELECT sector, any_value(shock) * sum(share * (d - m)) AS raw FROM {_SHARES} JOIN {_SHOCKS} USING (sector) JOIN {_NATIONS} USING (location), (SELECT avg(d) AS m FROM {_NATIONS}) GROUP BY 1))
+    SELECT coalesce(sum(-weight) FILTER (weight < 0), 0) AS negative_share, sum(weight * weight) AS herfindahl, count(*) AS n_sectors, (SELECT string_agg(sector, ',' ORDER BY abs(weight) DESC, sector DESC) FROM (SELECT * FROM w ORDER BY abs(weight) DESC, sector LIMIT 3)) AS top FROM w""", "n_sectors top", "negative_share herfindahl")
+def shift_share_summary(spark: SparkSession, sf: str) -> DataFrame:
+    rows, shares, shocks = _regions(spark, sf)
+    return I.rotemberg_summary(I.rotemberg_weights(rows, shares, shocks, "d", "location", "sector"), "sector", 3)
+
+
+@query()
+def selection_chances(spark: SparkSession, sf: str) -> DataFrame:
+    rows = A.selection_hazard(S.line_items(spark, sf), "t", ["x1", "z"])
+    return rows.groupBy("stratum").agg(F.avg("p_selected").alias("p_selected"), F.avg("hazard").alias("hazard"), F.count(F.lit(1)).alias("n"))

@@ -16,6 +16,8 @@ from .moments import grouped, join_by, number
 
 #: Ranges that the values of a segment are cut into.
 RANGES = 4096
+#: Segments of up to so many rows are ranked by a window of their own; larger ones are first narrowed to brackets.
+WINDOW = 1_000_000
 #: Parts that the sketch of a distribution tells apart.
 ACCURACY = 10_000
 
@@ -44,11 +46,21 @@ def running(values: DataFrame, v: str, k: str, by: Sequence[str] = ()) -> DataFr
 def quantiles(df: DataFrame, x: str | Column, taus: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """by..., q: the exact quantiles of x with linear interpolation, an array in order of ``taus``; nulls are left out.
 
-    A sketch brackets each quantile: two parts in ACCURACY on either side, where its
-    own error is one.  The next pass counts what lies below each bracket and takes
-    the values in it, which alone are ranked.  Segments of few rows are one bracket."""
+    Where no segment has over WINDOW rows, one window ranks each.  Else a sketch
+    brackets each quantile: two parts in ACCURACY on either side, where its own error is
+    one.  The next pass counts what lies below each bracket and takes the values in it,
+    which alone are ranked.  Segments of few rows are one bracket."""
     k, slack = len(taus), 2 / ACCURACY
     rows = df.select(*by, number(x).alias("v")).where("v IS NOT NULL")
+    most = grouped(rows, by, F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= WINDOW:
+        values = rows.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("k"))
+        own = Window.partitionBy(*by)
+        each = values.select("*", (F.sum("k").over(own.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("k")).alias("before"), F.sum("k").over(own).alias("total_"))
+        at = [F.lit(float(t)) * (F.col("total_") - 1) for t in taus]
+        pick = lambda p: F.max(F.when((F.col("before") <= p) & (p < F.col("before") + F.col("k")), F.col("v")))
+        found = grouped(each, by, *[c.alias(f"{n}{i}") for i, p in enumerate(at) for n, c in (("a", pick(F.floor(p))), ("b", pick(F.ceil(p))))], F.max("total_").alias("total_"))
+        return found.select(*by, F.array(*[F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (p - F.floor(p)) for i, p in enumerate(at)]).alias("q"))
     ends = [*[max(t - slack, 0.0) for t in taus], *[min(t + slack, 1.0) for t in taus]]
     first = grouped(rows, by, F.percentile_approx("v", ends, ACCURACY).alias("e"), F.count(F.lit(1)).alias("total_"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     few = F.col("total_") <= 10 * ACCURACY

@@ -101,6 +101,7 @@ def test_running_counts_and_quantiles(spark):
 def test_quantiles_by_brackets(spark, monkeypatch):
     """Segments of many rows, where only values within a sketch's brackets are ranked."""
     monkeypatch.setattr(ranks, "ACCURACY", 100)
+    monkeypatch.setattr(ranks, "WINDOW", 1_000)
     rng = np.random.default_rng(3)
     v = np.round(rng.normal(size=6000), 2)
     df = spark.createDataFrame([(float(x),) for x in v], "v double")
