@@ -271,9 +271,9 @@ def iv_two_stage(spark: SparkSession, sf: str) -> DataFrame:
     return I.tsls(S.line_items(spark, sf), "y", "t", ["z"])
 
 
-def _rdd(by: str, where: str = "true", h: str = "15") -> str:
+def _rdd(by: str, where: str = "true", h: str = "15", y: str = "y") -> str:
     """Level, its variance and covariance with that of t, per side of 25, by local lines with a triangular kernel."""
-    return f"""(WITH r AS (SELECT {by}, (x1 >= 25)::INT AS side, x1 - 25 AS r, y, t, 1 - abs(x1 - 25) / {h} AS k FROM {LINES} WHERE abs(x1 - 25) < {h} AND {where}),
+    return f"""(WITH r AS (SELECT {by}, (x1 >= 25)::INT AS side, x1 - 25 AS r, {y} AS y, t, 1 - abs(x1 - 25) / {h} AS k FROM {LINES} WHERE abs(x1 - 25) < {h} AND {where}),
     s AS (SELECT {by}, side, sum(k) AS s0, sum(k * r) AS s1, sum(k * r * r) AS s2, sum(k * y) AS y0, sum(k * r * y) AS y1, sum(k * t) AS d0, sum(k * r * t) AS d1, count(*) AS n FROM r GROUP BY {by}, side),
     c AS (SELECT *, s0 * s2 - s1 * s1 AS det, (s2 * y0 - s1 * y1) / det AS ay, (s0 * y1 - s1 * y0) / det AS by_, (s2 * d0 - s1 * d1) / det AS ad, (s0 * d1 - s1 * d0) / det AS bd FROM s),
     e AS (SELECT r.*, n, ay, ad, y - ay - by_ * r AS ey, t - ad - bd * r AS ed, k * (s2 - s1 * r) / det AS w FROM r JOIN c USING ({by}, side))
@@ -738,14 +738,20 @@ def bayes_propensity(spark: SparkSession, sf: str) -> DataFrame:
     return A.stratified_propensity(S.line_items(spark, sf), "t", ["stratum", "segment"])
 
 
-@query()
+_MEDIATED = f"""(SELECT n, tm / tt AS a, (my * tt - ty * tm) / (tt * mm - tm * tm) AS b, sqrt((yy - (ty * ty * mm - 2 * ty * my * tm + my * my * tt) / (tt * mm - tm * tm)) / (n - 3)) AS sy, sqrt((mm - tm * tm / tt) / (n - 2)) AS sm
+    FROM (SELECT count(*) AS n, count(*) * var_pop(t) AS tt, count(*) * var_pop(x1) AS mm, count(*) * var_pop(y) AS yy, count(*) * covar_pop(t, x1) AS tm, count(*) * covar_pop(t, y) AS ty, count(*) * covar_pop(x1, y) AS my FROM {LINES}))"""
+
+
+@query(f"SELECT unnest([-0.5, 0.0, 0.5]) AS rho, a * (b - unnest([-0.5, 0.0, 0.5]) * sy / sm) AS indirect, CASE WHEN abs(b * sm / sy) <= 1 THEN b * sm / sy END AS rho_at_zero FROM {_MEDIATED}", "", "rho indirect rho_at_zero")
 def mediation_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
     return A.mediation_sensitivity(S.line_items(spark, sf), "y", "t", "x1", [-0.5, 0.0, 0.5])
 
 
-@query()
+@query(f"""WITH r AS (SELECT t, x1 - 25 AS m, y FROM {LINES}), a AS (SELECT t, count(*) AS n, avg(m) AS mm, regr_sxx(y, m) AS sxx, regr_intercept(y, m) AS a, regr_slope(y, m) AS b FROM r GROUP BY 1),
+    e AS (SELECT t, n, a, (1.0 / n - mm * (m - mm) / sxx) * (y - a - b * m) / (1 - 1.0 / n - (m - mm) ** 2 / sxx) AS s FROM r JOIN a USING (t)), v AS (SELECT t, any_value(n) AS n, any_value(a) AS a, sum(s * s) AS v FROM e GROUP BY 1)
+    SELECT max(a) FILTER (t = 1) - max(a) FILTER (t = 0) AS estimate, sqrt(sum(v)) AS se, sum(n)::BIGINT AS n, sum(n)::BIGINT - 4 AS df FROM v""", "n df", "estimate se", "estimate se df")
 def mediation_controlled(spark: SparkSession, sf: str) -> DataFrame:
-    return A.controlled_direct_effect(S.line_items(spark, sf), "y", "t", "x1", 25.0)
+    return A.controlled_direct_effect(S.line_items(spark, sf), "y", "t", "x1", 25.0).drop("r2")
 
 
 @query(f"""WITH e AS (SELECT greatest(min(p) FILTER (t = 1), min(p) FILTER (t = 0)) AS low, least(max(p) FILTER (t = 1), max(p) FILTER (t = 0)) AS high FROM (SELECT t, x2 AS p FROM {LINES})) SELECT low, high, count(*) FILTER (x2 < low OR x2 > high) AS n_outside, count(*) AS n, low <= high AS overlap FROM {LINES}, e GROUP BY 1, 2""", "n_outside n overlap", "low high")
@@ -824,7 +830,7 @@ def rdd_orders(spark: SparkSession, sf: str) -> DataFrame:
     return D.order_sensitivity(S.line_items(spark, sf), "y", "x1", 25.0, 15.0)
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT '{c}' AS covariate, h.ay - l.ay AS estimate, sqrt(h.vy + l.vy) AS se, l.n AS n_left, h.n AS n_right, l.n + h.n - 4 AS df FROM {_rdd('one', 'true', '15', c)} h JOIN {_rdd('one', 'true', '15', c)} l ON h.side = 1 AND l.side = 0" for c in ("x2", "d")).replace(LINES, f"(SELECT *, 1 AS one FROM {LINES})"), "covariate n_left n_right df", "estimate se", "estimate se df")
 def rdd_covariates(spark: SparkSession, sf: str) -> DataFrame:
     return D.covariate_balance(S.line_items(spark, sf), ["x2", "d"], "x1", 25.0, 15.0)
 
@@ -1097,3 +1103,13 @@ def shift_share_summary(spark: SparkSession, sf: str) -> DataFrame:
 def selection_chances(spark: SparkSession, sf: str) -> DataFrame:
     rows = A.selection_hazard(S.line_items(spark, sf), "t", ["x1", "z"])
     return rows.groupBy("stratum").agg(F.avg("p_selected").alias("p_selected"), F.avg("hazard").alias("hazard"), F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def bounds_lee_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    return E.lee_intervals(S.customers(spark, sf), "y", "t", "observed", "id", 50)
+
+
+@query()
+def bounds_lee_tightened_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    return E.lee_intervals(S.customers(spark, sf), "y", "t", "observed", "id", 30, x="nation")

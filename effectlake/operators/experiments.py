@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .moments import LeastSquares, frame, grouped, inferred, join_by, number
+from .resampling import poisson_weight
 from .ranks import quantiles, running
 
 CLIP = 1e-6
@@ -205,15 +206,42 @@ def lee_bounds(df: DataFrame, y: str, t: str, observed: str, by: Sequence[str] =
     )
 
 
-def lee_bounds_tightened(df: DataFrame, y: str, t: str, observed: str, x: str, strata: int = 5, least: int = 10) -> DataFrame:
-    """M6: Lee bounds within strata cut at the quantiles of x, weighted by size; strata of fewer than ``least`` rows are left out and counted."""
+def _strata(df: DataFrame, x: str, strata: int) -> DataFrame:
     cuts = quantiles(df, x, [k / strata for k in range(1, strata)]).first()["q"]
     stratum = sum((F.when(number(x) >= float(c), 1).otherwise(0) for c in cuts), F.lit(0))
-    rows = df.where(F.col(x).isNotNull()).withColumn("stratum", stratum)
-    sizes = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("size"))
-    both = join_by(lee_bounds(rows, y, t, observed, ["stratum"]), sizes, ["stratum"]).withColumn("ok", (F.col("size") >= least) & F.col("lower").isNotNull() & F.col("upper").isNotNull())
+    return df.where(F.col(x).isNotNull()).withColumn("stratum", stratum)
+
+
+def _by_strata(rows: DataFrame, y: str, t: str, observed: str, least: int, by: Sequence[str] = ()) -> DataFrame:
+    keys = [*by, "stratum"]
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
+    both = join_by(lee_bounds(rows, y, t, observed, keys), sizes, keys).withColumn("ok", (F.col("size") >= least) & F.col("lower").isNotNull() & F.col("upper").isNotNull())
     w = F.when(F.col("ok"), F.col("size"))
-    return both.agg((F.sum(w * F.col("lower")) / F.sum(w)).alias("lower"), (F.sum(w * F.col("upper")) / F.sum(w)).alias("upper"), F.count_if("ok").alias("n_strata"), F.count_if(~F.col("ok")).alias("n_left_out"))
+    return grouped(both, by, (F.sum(w * F.col("lower")) / F.sum(w)).alias("lower"), (F.sum(w * F.col("upper")) / F.sum(w)).alias("upper"), F.count_if("ok").alias("n_strata"), F.count_if(~F.col("ok")).alias("n_left_out"))
+
+
+def lee_bounds_tightened(df: DataFrame, y: str, t: str, observed: str, x: str, strata: int = 5, least: int = 10) -> DataFrame:
+    """M6: Lee bounds within strata cut at the quantiles of x, weighted by size; strata of fewer than ``least`` rows are left out and counted."""
+    return _by_strata(_strata(df, x, strata), y, t, observed, least)
+
+
+def lee_intervals(df: DataFrame, y: str, t: str, observed: str, key: str, replicates: int = 100, x: str | None = None, strata: int = 5, least: int = 10, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """M5, M6: the bounds, within strata of x where given, with the interval from the alpha / 2 quantile of the lower to the 1 - alpha / 2 quantile of the upper over replicates: lower, upper, se_lower, se_upper, ci_lower, ci_upper, replicates.
+
+    A row is in a replicate as often as a Poisson draw of a hash of its key; replicates
+    are segments of one computation, whose rows are counted by outcome before they are
+    shuffled.  Strata are cut once, at the quantiles of all rows."""
+    own = df.select(y, t, observed, F.col(key).alias("key__"), *([x] if x and x not in (y, t, observed) else []))
+    own = _strata(own, x, strata) if x else own
+    each = own.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates)))).withColumn("w__", F.when(F.col("b") == 0, 1).otherwise(poisson_weight(seed, "b", "key__"))).where("w__ > 0")
+    each = each.withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("w__"))))
+    found = _by_strata(each, y, t, observed, least, ["b"]) if x else lee_bounds(each, y, t, observed, ["b"])
+    first = lambda c: F.max(F.when(F.col("b") == 0, F.col(c)))
+    other = lambda c: F.when(F.col("b") > 0, F.col(c))
+    return found.agg(
+        first("lower").alias("lower"), first("upper").alias("upper"), F.stddev_samp(other("lower")).alias("se_lower"), F.stddev_samp(other("upper")).alias("se_upper"),
+        F.percentile(other("lower"), F.lit(alpha / 2)).alias("ci_lower"), F.percentile(other("upper"), F.lit(1 - alpha / 2)).alias("ci_upper"), F.count(other("lower")).alias("replicates"),
+    )
 
 
 def attrition_test(df: DataFrame, t: str, observed: str, by: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
