@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .moments import LeastSquares, frame, grouped, inferred, join_by, number
+from .moments import LeastSquares, each_row, frame, grouped, inferred, join_by, number, types
 from .resampling import poisson_weight
 from .ranks import quantiles, running
 
@@ -264,6 +264,7 @@ def quantile_effects(df: DataFrame, y: str, t: str, taus: Sequence[float], by: S
     q = F.col("q")
     width = 1.06 * F.least("sd", (q[k + 1] - q[k]) / 1.34) * F.col("n") ** -0.2
     arms = join_by(arms, spread, [*by, "t"]).select(*by, "t", "q", "n", width.alias("h"))
+    arms = each_row(arms, lambda r: r, ", ".join([*types(rows, by), "t int, q array<double>, n long, h double"]))  # a row per arm and segment, computed once
     kernel = lambda i: F.avg(F.try_divide(F.exp(-(F.try_divide(F.col("y") - q[i], F.col("h")) ** 2) / 2), F.col("h") * (2 * 3.141592653589793) ** 0.5))
     dense = join_by(rows, arms, [*by, "t"]).groupBy(*by, "t").agg(*[kernel(i).alias(f"f{i}") for i in range(k)])
     per = join_by(arms, dense, [*by, "t"])

@@ -39,7 +39,9 @@ class Replicates:
         k = len(columns)
         betas, spread = np.zeros((self.n, k)), np.full(self.n, np.nan)
         if link == "linear":
-            for r in cross_products(self.rows, [*columns, y], ["b"], F.col("w")).join(self.rows.groupBy("b").agg(F.sum("w").alias("all_")), "b").collect():  # a row per replicate
+            shaped = self.rows.select("b", "w", *[c.alias(f"c{j}_") for j, c in enumerate([*columns, y])])
+            pairs = [F.sum(F.col("w") * F.col(f"c{i}_") * F.col(f"c{j}_")) for i in range(k + 1) for j in range(i, k + 1)]
+            for r in shaped.groupBy("b").agg(F.array(*pairs).alias("xx"), F.sum("w").alias("all_")).collect():  # a row per replicate
                 m = square(r["xx"], k + 1)
                 betas[r["b"]], _, rss = solve(m)
                 spread[r["b"]] = rss / max(r["all_"] - k, 1)
