@@ -15,9 +15,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import stats
 from .learners import _clip
-from .moments import LeastSquares, cross_products, frame, inverted, number, solve, square
+from .moments import cross_products, frame, inverted, solve, square
 from .propensity import BinaryModel, normal_cdf, normal_density, with_outcome_models
 from .resampling import draw, poisson_weight
 
