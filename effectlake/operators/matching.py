@@ -4,25 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .experiments import smd_table
 from .moments import inferred, join_by, number
+from .one_to_one import match_without_replacement
 from .propensity import with_propensity
+from .storage import Scratch
 
 
 def _closest(own: DataFrame, controls: DataFrame, caliper: float, k: int) -> DataFrame:
     """For each row of own (id, s) the k nearest of controls (s, cs: ids at that score) on either side within the caliper: treated_id, control_id, distance, match.
 
-    Scores are cut into buckets of a caliper's width, and a control is copied to the
-    neighbouring ones.  Scores are distinct on either side, so a bucket holds no more
-    of them than differ within a caliper."""
-    bucket = F.floor(F.col("s") / caliper)
-    near = controls.select("s", "cs", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("b"))
-    both = own.select("id", "s", bucket.alias("b"), F.lit(None).cast("array<bigint>").alias("cs")).unionByName(near.select(F.lit(None).cast("long").alias("id"), "s", "b", "cs"))
+    Scores are cut into ranges of as many rows, whatever the caliper.  Each range also
+    gets the k controls next to it on either side, from the ends of the other ranges:
+    2 k rows a range, gathered on the driver."""
+    spark = own.sparkSession
+    every = own.select("id", "s", F.lit(None).cast("array<bigint>").alias("cs")).unionByName(controls.select(F.lit(None).cast("long").alias("id"), "s", "cs"))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = Scratch(spark).store(every.repartitionByRange(ranges, "s").withColumn("b", F.spark_partition_id()))
+    own, near = placed.where("cs IS NULL").select("id", "s", "b"), placed.where("cs IS NOT NULL").select("s", "cs", "b")
+    end = lambda order: near.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(order))).where(F.col("r") <= k).drop("r")
+    first, last = ([tuple(r) for r in end(order).orderBy("s").collect()] for order in (F.col("s").asc(), F.col("s").desc()))
+    beside = [(s, cs, b) for b in range(ranges) for s, cs, _ in [*[r for r in last if r[2] < b][-k:], *[r for r in first if r[2] > b][:k]]]
+    near = near.unionByName(spark.createDataFrame(beside, "s double, cs array<bigint>, b int"))
+    both = own.withColumn("cs", F.lit(None).cast("array<bigint>")).unionByName(near.withColumn("id", F.lit(None).cast("long")))
     seen = F.when(F.col("cs").isNotNull(), F.struct("s", "cs"))
     up = Window.partitionBy("b").orderBy("s", F.col("cs").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("b").orderBy(F.col("s").desc(), F.col("cs").isNull()).rowsBetween(Window.unboundedPreceding, 0)
@@ -35,7 +42,7 @@ def _closest(own: DataFrame, controls: DataFrame, caliper: float, k: int) -> Dat
         scores = near.select("b", "s", "cs")
         own_up, own_down = Window.partitionBy("b").orderBy("s").rowsBetween(-(k - 1), 0), Window.partitionBy("b").orderBy(F.col("s").desc()).rowsBetween(-(k - 1), 0)
         chained = scores.select("b", "s", F.collect_list(F.struct("s", "cs")).over(own_up).alias("u"), F.collect_list(F.struct("s", "cs")).over(own_down).alias("d"))
-        both = own.select("id", "s", bucket.alias("b"), F.lit(None).cast("array<struct<s:double,cs:array<bigint>>>").alias("u"), F.lit(None).cast("array<struct<s:double,cs:array<bigint>>>").alias("d"))
+        both = own.select("id", "s", "b", F.lit(None).cast("array<struct<s:double,cs:array<bigint>>>").alias("u"), F.lit(None).cast("array<struct<s:double,cs:array<bigint>>>").alias("d"))
         both = both.unionByName(chained.select(F.lit(None).cast("long").alias("id"), "s", "b", "u", "d"))
         up = Window.partitionBy("b").orderBy("s", F.col("u").isNull()).rowsBetween(Window.unboundedPreceding, 0)
         down = Window.partitionBy("b").orderBy(F.col("s").desc(), F.col("d").isNull()).rowsBetween(Window.unboundedPreceding, 0)
@@ -50,9 +57,9 @@ def _closest(own: DataFrame, controls: DataFrame, caliper: float, k: int) -> Dat
 def nearest_match(df: DataFrame, key: str, t: str, score: str | Column, caliper: float, k: int = 1) -> DataFrame:
     """For each treated row the k controls with the nearest scores within the caliper (with replacement; of two as near, the lower score, then the smaller id): treated_id, control_id, distance, match.
 
-    Controls of one score are first reduced to their k smallest ids; within a bucket
-    of a caliper's width an ordered window finds the ones on either side, so nothing
-    is ever paired with everything."""
+    Controls of one score are first reduced to their k smallest ids; within a range
+    of scores an ordered window finds the ones on either side, so nothing is ever
+    paired with everything.  Rows without a score take no part."""
     own = df.select(F.col(key).cast("long").alias("id"), F.col(t).cast("int").alias("t"), number(score).alias("s")).where(F.col("s").isNotNull() & ~F.isnan("s"))
     # Treated rows of one score have the same matches: they are looked up once.
     wanted = own.where("t = 1").groupBy("s").agg(F.min("id").alias("id"))
@@ -66,51 +73,6 @@ def nearest_match(df: DataFrame, key: str, t: str, score: str | Column, caliper:
     return rows.select("treated_id", "first_").join(found, "first_").drop("first_")
 
 
-def match_without_replacement(df: DataFrame, key: str, t: str, score: str | Column, caliper: float) -> DataFrame:
-    """Treated rows in order of id each take the nearest control that is still free within the caliper.
-
-    Scores are cut wherever two neighbours are over a caliper apart: no match reaches
-    across such a gap, so each piece is matched by itself and the result is that of
-    one pass over all.  A piece is as large as its run of scores is dense; a run
-    longer than one task holds needs a smaller caliper."""
-    own = df.select(F.col(key).cast("long").alias("id"), F.col(t).cast("int").alias("t"), number(score).alias("s")).where(F.col("s").isNotNull() & ~F.isnan("s"))
-    grid = own.select(F.floor(F.col("s") / caliper).alias("cell")).distinct()
-    # A cell of a caliper's width starts a piece when the one before it is empty: fewer cells than scores.
-    cells = grid.withColumn("new", (F.col("cell") - F.lag("cell").over(Window.orderBy("cell")) > 1).cast("int"))
-    pieces = cells.select("cell", F.sum(F.coalesce("new", F.lit(0))).over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)).alias("piece"))
-    placed = own.withColumn("cell", F.floor(F.col("s") / caliper)).join(pieces, "cell").select("piece", "id", "t", "s")
-
-    def greedy(piece: pd.DataFrame) -> pd.DataFrame:
-        control = piece[piece.t == 0].sort_values(["s", "id"])
-        s, ids = control.s.to_numpy(), control.id.to_numpy()
-        n = len(s)
-        right, left = np.arange(n + 1), np.arange(n + 1)  # next free place at or after k; last free place before k (as k + 1)
-
-        def find(links: np.ndarray, k: int) -> int:
-            root = k
-            while links[root] != root:
-                root = links[root]
-            while links[k] != root:
-                links[k], k = root, links[k]
-            return root
-
-        out = []
-        for i, x in piece[piece.t == 1].sort_values("id")[["id", "s"]].itertuples(index=False):
-            at = int(np.searchsorted(s, x))
-            hi, lo = find(right, at), find(left, at) - 1
-            choices = [(abs(x - s[j]), s[j], j) for j in (lo, hi) if 0 <= j < n]
-            if choices:
-                d, _, j = min(choices)
-                if d <= caliper:
-                    # Of controls of one score the smallest id that is free.
-                    first = find(right, int(np.searchsorted(s, s[j])))
-                    out.append((int(i), int(ids[first]), float(d)))
-                    right[first], left[first + 1] = first + 1, first
-        return pd.DataFrame(out, columns=["treated_id", "control_id", "distance"])
-
-    return placed.groupBy("piece").applyInPandas(greedy, "treated_id long, control_id long, distance double")
-
-
 def matched_effect(df: DataFrame, pairs: DataFrame, key: str, y: str, alpha: float = 0.05) -> DataFrame:
     """Effect on the matched treated, each less the mean of its matches, with the variance of the differences and the normal interval.  pairs: treated_id, control_id."""
     treated = df.select(F.col(key).alias("treated_id"), number(y).alias("a"))
