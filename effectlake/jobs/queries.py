@@ -850,6 +850,20 @@ def kink_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
     return D.fuzzy_kink(S.line_items(spark, sf), "y", "d", "x1", 25.0, 15.0)
 
 
+@query(f"""WITH l AS (SELECT covariate, v, x1 - 25 AS r, x1 >= 25 AS up FROM (SELECT x1, 'y' AS covariate, y AS v FROM {LINES} UNION ALL SELECT x1, 'discount', x2 * 10000 FROM {LINES}) WHERE abs(x1 - 25) <= 15),
+    b AS (SELECT covariate, up, regr_slope(v, r) AS b, regr_intercept(v, r) AS a, avg(r) AS m, regr_sxx(v, r) AS s, count(*) AS n FROM l GROUP BY 1, 2),
+    q AS (SELECT covariate, up, any_value(b.b) AS b, any_value(n) AS n, sum(((r - m) * (v - a - b.b * r)) ** 2) / any_value(s) ** 2 AS q FROM l JOIN b USING (covariate, up) GROUP BY 1, 2)
+    SELECT covariate, sum(CASE WHEN up THEN b ELSE -b END) AS estimate, sqrt(sum(q)) AS se, CAST(sum(n) - 4 AS BIGINT) AS df, max(n) FILTER (NOT up) AS n_left, max(n) FILTER (up) AS n_right FROM q GROUP BY 1""",
+    "covariate n_left n_right df", "estimate se", "estimate se df")
+def kink_covariates(spark: SparkSession, sf: str) -> DataFrame:
+    return D.kink_covariates(S.line_items(spark, sf).withColumn("discount", F.col("x2") * 10000), ["y", "discount"], "x1", 25.0, 15.0, kernel="uniform")
+
+
+@query()
+def kink_checks(spark: SparkSession, sf: str) -> DataFrame:
+    return D.kink_checks(S.line_items(spark, sf).withColumn("discount", F.col("x2") * 10000), "d", ["y", "discount"], "x1", 25.0, 15.0, 15)
+
+
 @query()
 def dml_panel(spark: SparkSession, sf: str) -> DataFrame:
     return L.panel_double_ml(S.line_items(spark, sf), "y", "d", ["x1", "x2"], "cluster")

@@ -263,6 +263,41 @@ def fuzzy_kink(df: DataFrame, y: str, d: str, x: str, cutoff: float, bandwidth:
     return inferred(out.withColumn("df", (F.col("n_left") + F.col("n_right") - 2 * k).cast("long")), alpha, "df")
 
 
+def kink_covariates(df: DataFrame, covariates: Sequence[str], x: str, cutoff: float, bandwidth: float, order: int = 1, kernel: str = "triangular", alpha: float = 0.05) -> DataFrame:
+    """The change of each covariate's slope at the kink, a row each, in the passes of one fit; a valid design changes none."""
+    long_ = df.select(F.col(x).alias("x_"), F.explode(F.array(*[F.struct(F.lit(c).alias("covariate"), number(c).alias("v")) for c in covariates])).alias("s")).select("x_", "s.*")
+    return sharp_kink(long_, "v", "x_", cutoff, bandwidth, 1.0, order, ["covariate"], kernel, alpha)
+
+
+def kink_density(df: DataFrame, x: str, cutoff: float, bandwidth: float, bins: int = 20, alpha: float = 0.05) -> DataFrame:
+    """The change of the density's slope at the kink: estimate, se, p_value, ci_lower, ci_upper, n.
+
+    Rows within the bandwidth are counted in ``bins`` bins on each side, closed below and open above; a line through
+    the cutoff that may bend there is fitted to the counts, whose variances are the
+    counts themselves.  Densities are shares of the rows within the bandwidth.  Without
+    such rows all but n are null."""
+    width = bandwidth / bins
+    rows = frame(df, {"r": number(x) - cutoff}).where((F.col("r") >= -bandwidth) & (F.col("r") < bandwidth))
+    place = F.greatest(F.least(F.floor(F.col("r") / width), F.lit(bins - 1)), F.lit(-bins)).cast("int")
+    seen = {r.bin: r.n for r in rows.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 2 * bins rows
+    counts, centre = np.array([seen.get(b, 0) for b in range(-bins, bins)], float), np.arange(-bins, bins) + 0.5
+    n, gap, se = int(counts.sum()), None, None
+    if n:
+        design = np.column_stack([np.ones(2 * bins), centre, np.maximum(centre, 0)])
+        bend = np.linalg.solve(design.T @ design, design.T)[2] / (n * width**2)
+        gap, se = float(bend @ counts), float(np.sqrt(bend**2 @ counts))
+    return inferred(df.sparkSession.createDataFrame([(gap, se, n)], "estimate double, se double, n long"), alpha)
+
+
+def kink_checks(df: DataFrame, d: str, covariates: Sequence[str], x: str, cutoff: float, bandwidth: float, bins: int = 20, alpha: float = 0.05) -> DataFrame:
+    """All checks of a kink design, a row each: check (``density``, ``first stage`` or a covariate's name), estimate (the change of slope), se, p_value, and passed: the first stage's F reaches 10, any other change is not told from none at ``alpha``."""
+    columns = ["estimate", "se", "p_value"]
+    first = sharp_kink(df, d, x, cutoff, bandwidth, 1.0, 1, alpha=alpha).select(F.lit("first stage").alias("check"), *columns, ((F.col("estimate") / F.col("se")) ** 2 >= 10).alias("passed"))
+    same = (F.col("p_value") >= alpha).alias("passed")
+    others = kink_covariates(df, covariates, x, cutoff, bandwidth, alpha=alpha).select(F.col("covariate").alias("check"), *columns, same)
+    return first.unionByName(others).unionByName(kink_density(df, x, cutoff, bandwidth, bins, alpha).select(F.lit("density").alias("check"), *columns, same))
+
+
 def histogram(df: DataFrame, x: str, cutoff: float, width: float) -> DataFrame:
     """B1: counts by bin of ``width`` from the cutoff; the fits need nothing else."""
     rows = frame(df, {"r": number(x) - cutoff})
