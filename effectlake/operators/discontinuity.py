@@ -16,6 +16,8 @@ from .ranks import quantiles
 BANDWIDTH_CONSTANT = {"triangular": 3.43754, "rectangular": 5.40554}
 #: The constant of the triangular kernel in the variance of a log density, and the factor by which it is enlarged to keep the test's size.
 DENSITY_CONSTANT, DENSITY_FACTOR = 0.8727, 15.0
+#: The constants of the kink bandwidth by kernel, and the least curvature that it divides by, which a side of under three rows has tenfold.
+KINK_CONSTANT, LEAST_CURVATURE = {"triangular": 3.43, "rectangular": 2.70}, 0.01
 #: More bins than this are refused by the fits, which take them to the driver.
 BINS = 100_000
 
@@ -298,6 +300,99 @@ def kink_checks(df: DataFrame, d: str, covariates: Sequence[str], x: str, cutoff
     return first.unionByName(others).unionByName(kink_density(df, x, cutoff, bandwidth, bins, alpha).select(F.lit("density").alias("check"), *columns, same))
 
 
+def kink_bandwidth(df: DataFrame, y: str, x: str, cutoff: float, method: str = "ik", kernel: str = "triangular", by: Sequence[str] = ()) -> DataFrame:
+    """The bandwidth of a kink design: by..., bandwidth, pilot, n.
+
+    ``pilot`` is Silverman's width of a density, 1.06 min(sd, iqr / 1.34) n^(-1/5).
+    "rot" widens it to the rate of slopes, by n^(4/45).  "ik" weighs the residuals'
+    spread about a quadratic on each side and the density within the pilot against the
+    quadratics' curvature.  Both are kept between a twentieth and a half of x's range.
+    Under 20 rows "ik" is a quarter of the range, and twice the pilot where a side has
+    under five rows within it.  Without rows all but n are null."""
+    if method not in ("ik", "rot") or kernel not in KINK_CONSTANT:
+        raise ValueError(f"method {method!r} or kernel {kernel!r} is unknown")
+    rows = frame(df, {"y": y, "r": number(x) - cutoff}, by)
+    whole = grouped(rows, by, F.count(F.lit(1)).alias("n"), F.stddev_pop("r").alias("sd"), F.min("r").alias("lo"), F.max("r").alias("hi"), F.avg("y").alias("m"))
+    n = F.col("n")
+    if by:
+        whole = join_by(whole, quantiles(rows, "r", (0.25, 0.75), by), by)
+    else:
+        whole = whole.crossJoin(F.broadcast(quantiles(rows, "r", (0.25, 0.75))))
+    pilot = 1.06 * F.least(F.col("sd"), (F.col("q")[1] - F.col("q")[0]) / 1.34) * F.pow(n, F.lit(-0.2))
+    whole = whole.select(*by, "n", "sd", "m", (F.col("hi") - F.col("lo")).alias("range"), pilot.alias("pilot"))
+    whole = each_row(whole, lambda r: r, ", ".join([*types(rows, by), "n long, sd double, m double, range double, pilot double"]))
+    kept = F.least(F.greatest(F.col("h"), F.col("range") / 20), F.col("range") / 2)
+    if method == "rot":
+        return whole.withColumn("h", F.col("pilot") * F.pow(n, F.lit(4 / 45))).select(*by, F.when(n > 0, kept).alias("bandwidth"), F.when(n > 0, F.col("pilot")).alias("pilot"), "n")
+    both = join_by(rows, whole.select(*by, "sd", "m", "pilot"), by).withColumn("side", (F.col("r") >= 0).cast("int"))
+    u = F.col("r") / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)
+    curves = cross_products(both, [F.lit(1.0), u, u**2, F.col("y") - F.col("m")], [*by, "side"])
+    near = both.groupBy(*by, "side").agg(F.count_if(F.abs("r") <= F.col("pilot")).alias("near"))
+    sides = join_by(curves, near, [*by, "side"])
+    packed = grouped(sides, by, F.collect_list(F.struct("side", "n", "xx", "near")).alias("sides"))  # two rows
+
+    def finish(r: dict) -> dict:
+        rows_, pilot_, span = r["n"], r["pilot"], r["range"]
+        base = {**{c: r[c] for c in by}, "bandwidth": None, "pilot": pilot_ if rows_ else None, "n": rows_}
+        if not rows_:
+            return base
+        if rows_ < 20:
+            return {**base, "bandwidth": span / 4}
+        found, curve, spread = {s["side"]: s for s in r["sides"]}, [], []
+        if any(i not in found or found[i]["near"] < 5 for i in (0, 1)):
+            return {**base, "bandwidth": 2 * pilot_}
+        for s in (found[0], found[1]):
+            g = square(s["xx"], 4)
+            inverse, _ = inverted(g[:-1, :-1])
+            b = inverse @ g[:-1, -1]
+            curve.append(abs(2 * b[2]) / r["sd"] ** 2)
+            spread.append(np.sqrt(max(g[-1, -1] - b @ g[:-1, -1], 0.0) / s["n"]))
+        density = (found[0]["near"] + found[1]["near"]) / (2 * pilot_ * rows_)
+        h = KINK_CONSTANT[kernel] * np.mean(spread) * (density / max(np.mean(curve), LEAST_CURVATURE) ** 2 / rows_) ** (1 / 9)
+        return {**base, "bandwidth": float(np.clip(h, span / 20, span / 2))}
+
+    own = join_by(whole, packed, by) if by else whole.crossJoin(F.broadcast(packed))
+    return each_row(own, finish, ", ".join([*types(rows, by), "bandwidth double, pilot double, n long"]))
+
+
+def kink_cross_validation(df: DataFrame, y: str, x: str, cutoff: float, bandwidths: Sequence[float] | None = None, order: int = 2, kernel: str = "triangular") -> DataFrame:
+    """Per bandwidth the mean squared error of foretelling every row, near or far, from its side's local polynomial at the kink without that row: bandwidth, error, n, best (the least error's; of equal ones the least).
+
+    Without ``bandwidths`` ten are tried, evenly from half to twice ``kink_bandwidth``.
+    A row is left out by its leverage, so nothing is refitted: a pass sums the products
+    of all bandwidths, another the errors.  A side with too few rows under the kernel
+    foretells none, and a bandwidth that foretells under half of all rows has a null error."""
+    if bandwidths is None:
+        h = kink_bandwidth(df, y, x, cutoff, "ik", kernel).first().bandwidth
+        bandwidths = [] if h is None else np.linspace(h / 2, 2 * h, 10).tolist()
+    shape, k = "bandwidth double, error double, n long, best boolean", order + 1
+    rows = frame(df, {"y": y, "r": number(x) - cutoff}).withColumn("side", (F.col("r") >= 0).cast("int"))
+    total, mean = rows.agg(F.count(F.lit(1)), F.avg("y")).first()
+    tried = sorted({float(b) for b in bandwidths if b > 0})
+    if not total or not tried:
+        return df.sparkSession.createDataFrame([], shape)
+    each = rows.withColumn("y", F.col("y") - mean).withColumn("h", F.explode(F.lit(tried))).withColumn("u", F.col("r") / F.col("h")).withColumn("w", _kernel(F.col("u"), kernel))
+    powers = [F.lit(1.0), *[F.col("u") ** i for i in range(1, k)]]
+    grams = cross_products(each.where("w > 0"), [*powers, F.col("y")], ["h", "side"], F.col("w"))
+
+    def fit(r: dict) -> dict | None:
+        g = square(r["xx"], k + 1)
+        inverse, alone = inverted(g[:-1, :-1])
+        if r["n"] < k or not alone.all():
+            return None
+        return {"h": r["h"], "side": r["side"], "near": r["n"], "b": (inverse @ g[:-1, -1]).tolist(), "inverse": inverse.ravel().tolist()}
+
+    both = join_by(each, each_row(grams, fit, "h double, side int, near long, b array<double>, inverse array<double>"), ["h", "side"])
+    leverage = F.col("w") * sum((F.col("inverse")[i * k + j] * powers[i] * powers[j] for i in range(k) for j in range(k)), F.lit(0.0))
+    e = (F.col("y") - sum((F.col("b")[i] * p for i, p in enumerate(powers)), F.lit(0.0))) / (1 - leverage)
+    enough = (F.col("near") - (F.col("w") > 0).cast("int") >= k) & (leverage < 1 - 1e-9)
+    scored = {r.h: (r.error, r.n) for r in both.where(enough).groupBy("h").agg(F.avg(e**2).alias("error"), F.count(F.lit(1)).alias("n")).collect()}  # a row per bandwidth
+    found = [(h, *scored.get(h, (None, 0))) for h in tried]
+    found = [(h, error if n >= total // 2 else None, n) for h, error, n in found]
+    best = min((error, h) for h, error, _ in found if error is not None)[1] if any(error is not None for _, error, _ in found) else None
+    return df.sparkSession.createDataFrame([(h, error, n, h == best) for h, error, n in found], shape)
+
+
 def histogram(df: DataFrame, x: str, cutoff: float, width: float) -> DataFrame:
     """B1: counts by bin of ``width`` from the cutoff; the fits need nothing else."""
     rows = frame(df, {"r": number(x) - cutoff})

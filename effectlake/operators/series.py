@@ -176,10 +176,10 @@ def stationarity_test(df: DataFrame, series: str, time: str, x: str, bandwidth:
 def local_projections(df: DataFrame, series: str, time: str, response: str, shock: str, lags: int, horizons: int) -> DataFrame:
     """Per series and horizon h the coefficient of the shock in a regression of the response h rows on, on the shock and ``lags`` lags of both, with Bartlett errors of bandwidth h: estimate, se, n."""
     rows = _lags(df, series, time, [response, shock], lags)
-    lead = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(horizons))).alias("h"))
+    own = Window.partitionBy(series).orderBy("time__")
+    ahead = F.array(*[F.struct(F.lit(h).alias("h"), F.lead("v0_0", h).over(own).alias("ahead__")) for h in range(horizons + 1)])
+    lead = rows.withColumn("a__", ahead).select("*", F.explode("a__").alias("x__")).select(*rows.columns, "x__.h", "x__.ahead__").where("ahead__ IS NOT NULL")
     w = Window.partitionBy(series, "h").orderBy("time__")
-    ahead = F.collect_list("v0_0").over(Window.partitionBy(series, "h").orderBy("time__").rowsBetween(0, horizons))
-    lead = lead.withColumn("ahead__", F.get(ahead, F.col("h"))).where("ahead__ IS NOT NULL")
     cols = [F.lit(1.0), F.col("v1_0"), *[F.col(f"v{i}_{k}") for k in range(1, lags + 1) for i in (0, 1)]]
     k = len(cols)
     grams = cross_products(lead, [*cols, F.col("ahead__")], [series, "h"])
@@ -234,8 +234,12 @@ def vector_forecast(df: DataFrame, series: str, time: str, columns: Sequence[str
     return table.select(series, F.explode("xs").alias("x")).select(series, "x.*")
 
 
-def impulse_responses(df: DataFrame, series: str, time: str, columns: Sequence[str], lags: int, horizons: int, structural: bool = True) -> DataFrame:
-    """Per series, horizon, response and shock the response of the vector autoregression to a shock of one standard deviation, shocks being orthogonal in order of ``columns`` (the Cholesky factor of the residuals' covariance), and its share of the response's forecast-error variance; with structural=False to a unit residual, without shares."""
+def impulse_responses(df: DataFrame, series: str, time: str, columns: Sequence[str], lags: int, horizons: int, structural: bool = True, long_run: bool = False) -> DataFrame:
+    """Per series, horizon, response and shock the response of the vector autoregression to a shock of one standard deviation, shocks being orthogonal in order of ``columns`` (the Cholesky factor of the residuals' covariance), and its share of the response's forecast-error variance; with structural=False to a unit residual, without shares.
+
+    With ``long_run`` shocks are told apart by their effects in the long run: the sum of a
+    response over all horizons is nothing for a shock that comes later in ``columns``
+    (Blanchard and Quah 1989).  Series whose autoregression is not stable have none, and no rows."""
     k = len(columns)
 
     def run(r: dict) -> dict:
@@ -247,12 +251,19 @@ def impulse_responses(df: DataFrame, series: str, time: str, columns: Sequence[s
                 psi.append(sum((b[:, j - 1, :] @ psi[h - j] for j in range(1, min(h, lags) + 1)), np.zeros((k, k))))
             sigma = np.array(r["sigma"]).reshape(k, k)
             impact = np.linalg.cholesky(sigma) if structural else np.eye(k)
+            if long_run:
+                companion = np.eye(k * lags, k=-k)
+                companion[:k] = b.reshape(k, lags * k)
+                if np.abs(np.linalg.eigvals(companion)).max() >= 1:
+                    return {series: r[series], "xs": []}
+                total = np.linalg.inv(np.eye(k) - b.sum(1))
+                impact = np.linalg.solve(total, np.linalg.cholesky(total @ sigma @ total.T))
             seen = np.zeros((k, k))
             for h, p in enumerate(psi):
                 response = p @ impact
                 seen += response**2
-                share = seen / seen.sum(1, keepdims=True) if structural else np.full((k, k), np.nan)
-                out += [(h, columns[i], columns[j], float(response[i, j]), float(share[i, j]) if structural else None) for i in range(k) for j in range(k)]
+                share = seen / seen.sum(1, keepdims=True) if structural or long_run else np.full((k, k), np.nan)
+                out += [(h, columns[i], columns[j], float(response[i, j]), float(share[i, j]) if structural or long_run else None) for i in range(k) for j in range(k)]
         return {series: r[series], "xs": out}
 
     table = each_row(vector_autoregression(df, series, time, columns, lags), run, ", ".join([*types(df, [series]), "xs array<struct<h:long,response:string,shock:string,value:double,share:double>>"]))
