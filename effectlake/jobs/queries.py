@@ -26,6 +26,7 @@ from ..operators import quantile_regression as QR
 from ..operators import replicated as RP
 from ..operators import resampling as R
 from ..operators import series as T
+from ..operators import stationarity as ST
 from ..operators import synthetic as Z
 from ..sources import frames as S
 
@@ -1127,3 +1128,66 @@ def bounds_lee_intervals(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def bounds_lee_tightened_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return E.lee_intervals(S.customers(spark, sf), "y", "t", "observed", "id", 30, x="nation")
+
+
+@query()
+def unit_root_selected(spark: SparkSession, sf: str) -> DataFrame:
+    return ST.unit_root_selected(S.daily_events(spark, sf), "series", "day", "v")
+
+
+_ONE_LAG = f"(SELECT *, v - l AS d, lag(v - l) OVER (PARTITION BY series ORDER BY day) AS d1 FROM (SELECT series, day, v - avg(v) OVER (PARTITION BY series) AS v, lag(v) OVER (PARTITION BY series ORDER BY day) - avg(v) OVER (PARTITION BY series) AS l FROM {_DAYS}))"
+
+
+@query(f"""WITH z AS (SELECT series, regr_sxx(d, l) AS sxx, regr_sxy(d, l) AS sxy, regr_syy(d, l) AS syy, count(*) AS n FROM {_ONE_LAG} WHERE l IS NOT NULL GROUP BY 1),
+    o AS (SELECT series, count(*) AS n, regr_sxx(d, l) AS pp, regr_sxx(d, d1) AS qq, regr_sxy(d1, l) AS pq, regr_sxy(d, l) AS py, regr_sxy(d, d1) AS qy, regr_syy(d, l) AS yy FROM {_ONE_LAG} WHERE d1 IS NOT NULL GROUP BY 1),
+    f AS (SELECT series, 0 AS lags, n, sxy / sxx AS b, 1 / sxx AS i, syy - sxy * sxy / sxx AS rss, 2 AS k FROM z UNION ALL SELECT series, 1, n, (qq * py - pq * qy) / (pp * qq - pq * pq), qq / (pp * qq - pq * pq), yy - ((qq * py - pq * qy) * py + (pp * qy - pq * py) * qy) / (pp * qq - pq * pq), 3 FROM o)
+    SELECT series, arg_min(lags, c)::BIGINT AS lags, arg_min(b / sqrt(rss / (n - k) * i), c) AS statistic, arg_min(b / sqrt(rss / (n - k) * i), c) < -2.862 AS stationary, arg_min(n, c) AS n FROM (SELECT *, n * ln(rss / n) + ln(n) * k AS c FROM f) GROUP BY 1""", "series lags stationary n", "statistic")
+def unit_root_by_bic(spark: SparkSession, sf: str) -> DataFrame:
+    return ST.unit_root_selected(S.daily_events(spark, sf), "series", "day", "v", "c", "bic", 1).drop("p_value")
+
+
+@query(f"""WITH l AS (SELECT series, day, v, lag(v) OVER (PARTITION BY series ORDER BY day) AS l FROM {_DAYS}), f AS (SELECT series, regr_slope(v - l, l) AS b, regr_intercept(v - l, l) AS a, count(*) AS n, regr_sxx(v - l, l) AS sxx FROM l WHERE l IS NOT NULL GROUP BY 1),
+    e AS (SELECT series, day, v - l - a - b * l AS e, b, n, sxx FROM l JOIN f USING (series) WHERE l IS NOT NULL), g AS (SELECT series, any_value(b) AS b, any_value(n) AS n, any_value(sxx) AS sxx, sum(e * e) / any_value(n) AS short, (sum(e * e) + 4.0 / 3 * sum(e * e1) + 2.0 / 3 * sum(e * e2)) / any_value(n) AS long
+    FROM (SELECT *, lag(e, 1) OVER w AS e1, lag(e, 2) OVER w AS e2 FROM e WINDOW w AS (PARTITION BY series ORDER BY day)) GROUP BY 1), t AS (SELECT *, sqrt(short * n / (n - 2) / sxx) AS se FROM g)
+    SELECT series, n, sqrt(short / long) * b / se - 0.5 * (long - short) / sqrt(long) * n / sqrt(sxx) AS statistic, n * b - 0.5 * n * n / sxx * (long - short) AS rho_statistic, sqrt(short / long) * b / se - 0.5 * (long - short) / sqrt(long) * n / sqrt(sxx) < -2.862 AS stationary FROM t""", "series n stationary", "statistic rho_statistic")
+def unit_root_long_run(spark: SparkSession, sf: str) -> DataFrame:
+    return ST.phillips_perron(S.daily_events(spark, sf), "series", "day", "v", "c", 2).drop("p_value")
+
+
+@query(f"""WITH r AS (SELECT series, v, row_number() OVER (PARTITION BY series ORDER BY day) AS r FROM {_DAYS}), f AS (SELECT series, regr_slope(v, r) AS b, regr_intercept(v, r) AS a FROM r GROUP BY 1), e AS (SELECT series, r, v - a - b * r AS e FROM r JOIN f USING (series)),
+    s AS (SELECT series, e, sum(e) OVER w AS s, lag(e, 1) OVER w AS e1, lag(e, 2) OVER w AS e2 FROM e WINDOW w AS (PARTITION BY series ORDER BY r)), t AS (SELECT series, sum(s * s) / count(*) ** 2 / ((sum(e * e) + 4.0 / 3 * sum(e * e1) + 2.0 / 3 * sum(e * e2)) / count(*)) AS statistic, count(*) AS n FROM s GROUP BY 1)
+    SELECT series, statistic, n, statistic < 0.146 AS stationary FROM t""", "series n stationary", "statistic")
+def stationarity_around_trend(spark: SparkSession, sf: str) -> DataFrame:
+    return ST.stationarity_around(S.daily_events(spark, sf), "series", "day", "v", "ct", 2).drop("p_value")
+
+
+@query()
+def stationarity_confirmed(spark: SparkSession, sf: str) -> DataFrame:
+    return ST.confirmed_stationarity(S.daily_events(spark, sf), "series", "day", "v")
+
+
+@query()
+def shocks_long_run(spark: SparkSession, sf: str) -> DataFrame:
+    return T.impulse_responses(S.daily_events(spark, sf), "series", "day", ["v", "n"], 1, 3, long_run=True)
+
+
+_KINK = f"""(SELECT segment, x1::DOUBLE - 25 AS r, y / 5000 AS y, n, sd, span, 1.06 * least(sd, iqr / 1.34) * n ** -0.2 AS pilot FROM {LINES}
+    JOIN (SELECT segment, count(*) AS n, stddev_pop(x1) AS sd, max(x1) - min(x1) AS span, quantile_cont(x1::DOUBLE, 0.75) - quantile_cont(x1::DOUBLE, 0.25) AS iqr FROM {LINES} GROUP BY 1) USING (segment))"""
+
+
+@query(f"SELECT segment, greatest(least(any_value(pilot) * any_value(n) ** (4.0 / 45), any_value(span) / 2), any_value(span) / 20) AS bandwidth, any_value(pilot) AS pilot, any_value(n) AS n FROM {_KINK} GROUP BY 1", "segment n", "bandwidth pilot")
+def kink_bandwidth_rule(spark: SparkSession, sf: str) -> DataFrame:
+    return D.kink_bandwidth(S.line_items(spark, sf).withColumn("y", F.col("y") / 5000), "y", "x1", 25.0, "rot", by=["segment"])
+
+
+@query(f"""WITH c AS (SELECT *, r >= 0 AS up, r * r AS q FROM {_KINK}), s AS (SELECT segment, up, count(*) AS k, count(*) FILTER (abs(r) <= pilot) AS near, regr_sxx(y, r) AS pp, regr_sxx(y, q) AS qq, regr_sxy(q, r) AS pq, regr_sxy(y, r) AS py, regr_sxy(y, q) AS qy, regr_syy(y, r) AS yy, any_value(n) AS n, any_value(pilot) AS pilot, any_value(span) AS span FROM c GROUP BY 1, 2),
+    b AS (SELECT *, (pp * qy - pq * py) / (pp * qq - pq * pq) AS b2, sqrt((yy - ((qq * py - pq * qy) * py + (pp * qy - pq * py) * qy) / (pp * qq - pq * pq)) / k) AS e FROM s),
+    h AS (SELECT segment, any_value(n) AS n, any_value(pilot) AS pilot, any_value(span) AS span, avg(e) AS e, sum(near) / (2 * any_value(pilot) * any_value(n)) AS f, greatest(avg(abs(2 * b2)), 0.01) AS c FROM b GROUP BY 1)
+    SELECT segment, greatest(least(3.43 * e * n ** (-1.0 / 9) * (f / c ** 2) ** (1.0 / 9), span / 2), span / 20) AS bandwidth, pilot, n FROM h""", "segment n", "bandwidth pilot")
+def kink_bandwidth(spark: SparkSession, sf: str) -> DataFrame:
+    return D.kink_bandwidth(S.line_items(spark, sf).withColumn("y", F.col("y") / 5000), "y", "x1", 25.0, by=["segment"])
+
+
+@query()
+def kink_bandwidth_cross_validated(spark: SparkSession, sf: str) -> DataFrame:
+    return D.kink_cross_validation(S.line_items(spark, sf).withColumn("y", F.col("y") / 5000), "y", "x1", 25.0)
