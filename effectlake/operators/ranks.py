@@ -12,20 +12,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .moments import grouped, join_by, number
+from .moments import each_row, grouped, join_by, number, types
 
 #: Ranges that the values of a segment are cut into.
 RANGES = 4096
-#: Segments of up to so many rows are ranked by a window of their own; larger ones are first narrowed to brackets.
+#: Segments of up to so many distinct values are ranked by a window of their own; larger ones are first narrowed to brackets.
 WINDOW = 1_000_000
 #: Parts that the sketch of a distribution tells apart.
 ACCURACY = 10_000
 
 
+def _held(table: DataFrame, by: Sequence[str], shape: str) -> DataFrame:
+    """A table of a row per segment, worked out once: few segments are broadcast to their rows, which then need no sort by a key of few values."""
+    return each_row(table, lambda r: r, ", ".join([*types(table, by), shape]))
+
+
 def _ranged(values: DataFrame, v: str, by: Sequence[str]) -> DataFrame:
     """values and range: the place of v among RANGES equal parts, by approximate quantiles so that no part holds most values."""
     ends = grouped(values, by, F.percentile_approx(v, [k / 64 for k in range(65)], 2_000).alias("ends_"), F.min(v).alias("lo_"), F.max(v).alias("hi_"))
-    both = join_by(values, ends, by)
+    both = join_by(values, _held(ends, by, "ends_ array<double>, lo_ double, hi_ double"), by)
     part = F.size(F.filter("ends_", lambda e: e < F.col(v)))
     below, above = F.coalesce(F.get("ends_", part - 1), F.col("lo_")), F.coalesce(F.get("ends_", part), F.col("hi_"))
     fine = F.when(above > below, F.floor((F.col(v) - below) / (above - below) * (RANGES // 64))).otherwise(0)
@@ -46,13 +51,13 @@ def running(values: DataFrame, v: str, k: str, by: Sequence[str] = ()) -> DataFr
 def quantiles(df: DataFrame, x: str | Column, taus: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """by..., q: the exact quantiles of x with linear interpolation, an array in order of ``taus``; nulls are left out.
 
-    Where no segment has over WINDOW rows, one window ranks each.  Else a sketch
+    Where no segment has over WINDOW values that differ, about, one window ranks each.  Else a sketch
     brackets each quantile: two parts in ACCURACY on either side, where its own error is
     one.  The next pass counts what lies below each bracket and takes the values in it,
     which alone are ranked.  Segments of few rows are one bracket."""
     k, slack = len(taus), 2 / ACCURACY
     rows = df.select(*by, number(x).alias("v")).where("v IS NOT NULL")
-    most = grouped(rows, by, F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    most = grouped(rows, by, F.least(F.count(F.lit(1)), F.approx_count_distinct("v")).alias("n")).agg(F.max("n")).first()[0] or 0
     if most <= WINDOW:
         values = rows.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("k"))
         own = Window.partitionBy(*by)
@@ -67,7 +72,8 @@ def quantiles(df: DataFrame, x: str | Column, taus: Sequence[float], by: Sequenc
     low = [F.when(few | F.lit(t <= slack), F.col("lo")).otherwise(F.col("e")[i]) for i, t in enumerate(taus)]
     high = [F.when(few | F.lit(t >= 1 - slack), F.col("hi")).otherwise(F.col("e")[k + i]) for i, t in enumerate(taus)]
     brackets = F.array(*[F.struct(F.lit(i).alias("i"), a.alias("lo"), b.alias("hi")) for i, (a, b) in enumerate(zip(low, high, strict=True))])
-    both = join_by(rows, first.select(*by, brackets.alias("bs")), by)
+    first = _held(first.select(*by, "total_", brackets.alias("bs")), by, "total_ long, bs array<struct<i: int, lo: double, hi: double>>")
+    both = join_by(rows, first.select(*by, "bs"), by)
     below = grouped(both, by, F.array(*[F.count_if(F.col("v") < F.col("bs")[i]["lo"]) for i in range(k)]).alias("below_"))
     inside = both.select(*by, "v", F.explode(F.filter("bs", lambda b: F.col("v").between(b["lo"], b["hi"]))).alias("b"))
     values = inside.groupBy(*by, F.col("b.i").alias("i"), "v").agg(F.count(F.lit(1)).alias("k"))

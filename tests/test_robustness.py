@@ -107,3 +107,16 @@ def test_quantiles_by_brackets(spark, monkeypatch):
     df = spark.createDataFrame([(float(x),) for x in v], "v double")
     taus = [0.0, 0.01, 0.3, 0.5, 0.995, 1.0]
     assert np.allclose(ranks.quantiles(df, "v", taus).first().q, np.quantile(v, taus))
+
+
+def test_quantiles_of_many_rows_of_few_values(spark, monkeypatch):
+    """Large segments of few values need no sort of their rows; those of many values meet their brackets by broadcast."""
+    df = spark.range(20_000).select((F.col("id") % 2).alias("g"), (F.col("id") % 37).cast("double").alias("few"), (F.col("id") * 7919 % 20_011).cast("double").alias("many"))
+    monkeypatch.setattr(ranks, "WINDOW", 1_000)
+    monkeypatch.setattr(ranks, "ACCURACY", 100)
+    taus, rows = [0.1, 0.5, 0.9], df.toPandas()
+    for column in ("few", "many"):
+        out = ranks.quantiles(df, column, taus, ["g"])
+        assert all(np.allclose(r.q, np.quantile(rows[column][rows.g == r.g], taus)) for r in out.collect())
+    plan = ranks.quantiles(df, "many", taus, ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
