@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +16,8 @@ from .resampling import poisson_weight
 from .ranks import quantiles, running
 
 CLIP = 1e-6
+#: Parts that the replicates of Lee bounds sum the outcomes of an arm and stratum by.
+RANGES = 512
 
 
 def input_report(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -228,20 +233,62 @@ def lee_bounds_tightened(df: DataFrame, y: str, t: str, observed: str, x: str, s
 def lee_intervals(df: DataFrame, y: str, t: str, observed: str, key: str, replicates: int = 100, x: str | None = None, strata: int = 5, least: int = 10, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """M5, M6: the bounds, within strata of x where given, with the interval from the alpha / 2 quantile of the lower to the 1 - alpha / 2 quantile of the upper over replicates: lower, upper, se_lower, se_upper, ci_lower, ci_upper, replicates.
 
-    A row is in a replicate as often as a Poisson draw of a hash of its key; replicates
-    are segments of one computation, whose rows are counted by outcome before they are
-    shuffled.  Strata are cut once, at the quantiles of all rows."""
+    A row is in a replicate as often as a Poisson draw of a hash of its key.  Outcomes are
+    cut into RANGES per stratum and arm, the same for all replicates, whose sums a pass
+    brings; only the ranges that the trimming cuts through, two a replicate and stratum,
+    are then ordered by value.  Strata are cut once, at the quantiles of all rows."""
     own = df.select(y, t, observed, F.col(key).alias("key__"), *([x] if x and x not in (y, t, observed) else []))
-    own = _strata(own, x, strata) if x else own
-    each = own.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates)))).withColumn("w__", F.when(F.col("b") == 0, 1).otherwise(poisson_weight(seed, "b", "key__"))).where("w__ > 0")
-    each = each.withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("w__"))))
-    found = _by_strata(each, y, t, observed, least, ["b"]) if x else lee_bounds(each, y, t, observed, ["b"])
-    first = lambda c: F.max(F.when(F.col("b") == 0, F.col(c)))
-    other = lambda c: F.when(F.col("b") > 0, F.col(c))
-    return found.agg(
-        first("lower").alias("lower"), first("upper").alias("upper"), F.stddev_samp(other("lower")).alias("se_lower"), F.stddev_samp(other("upper")).alias("se_upper"),
-        F.percentile(other("lower"), F.lit(alpha / 2)).alias("ci_lower"), F.percentile(other("upper"), F.lit(1 - alpha / 2)).alias("ci_upper"), F.count(other("lower")).alias("replicates"),
-    )
+    own = _strata(own, x, strata) if x else own.withColumn("stratum", F.lit(0))
+    y_, arm, seen = number(y), F.col(t).cast("int"), F.coalesce((F.col(observed) == 1) & number(y).isNotNull(), F.lit(False))
+    own = own.select("key__", "stratum", F.when(arm.isin(0, 1), arm).otherwise(-1).alias("t"), F.when(seen, y_).alias("y"))
+    ends = own.where("y IS NOT NULL").groupBy("stratum", "t").agg(F.percentile_approx("y", [k / RANGES for k in range(1, RANGES)], 4 * RANGES).alias("ends_"))
+    ends = each_row(ends, lambda r: r, "stratum int, t int, ends_ array<double>")
+    own = own.repartition(4 * own.sparkSession.sparkContext.defaultParallelism).join(F.broadcast(ends), ["stratum", "t"], "left").withColumn("range_", F.when(F.col("y").isNotNull(), F.size(F.filter("ends_", lambda e: e < F.col("y")))).otherwise(-1)).drop("ends_")
+    own = own.persist(StorageLevel.MEMORY_AND_DISK)
+    each = own.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates)))).withColumn("w", F.when(F.col("b") == 0, 1).otherwise(poisson_weight(seed, "b", "key__"))).where("w > 0")
+    keys = ["b", "stratum"]
+    parts = each.groupBy(*keys, "t", "range_").agg(F.sum("w").alias("k"), F.sum(F.col("w") * F.col("y")).alias("s")).persist(StorageLevel.MEMORY_AND_DISK)  # ranges x arms x strata x replicates at most
+    try:
+        of = lambda a, c, f: F.sum(F.when((F.col("t") == a) & f, F.col(c)))
+        observed_, any_ = F.col("range_") >= 0, F.lit(True)
+        arms = parts.groupBy(*keys).agg(F.sum("k").alias("size"), *[x_.alias(f"{c}{a}") for a in (0, 1) for c, x_ in (("all", of(a, "k", any_)), ("n", of(a, "k", observed_)), ("s", of(a, "s", observed_)))]).collect()  # a row per replicate and stratum
+        cells, known = [], {}
+        for r in arms:
+            if not r.n0 or not r.n1:
+                continue
+            q0, q1 = r.n0 / r.all0, r.n1 / r.all1
+            one = q1 >= q0
+            n = r.n1 if one else r.n0
+            cut = math.floor(abs(q1 - q0) / max(q0, q1) * n)
+            known[r.b, r.stratum] = (one, r.s0 / r.n0, r.s1 / r.n1, r.size)
+            cells.append((r.b, r.stratum, int(one), n - cut, cut))
+        cells = F.broadcast(df.sparkSession.createDataFrame(cells, "b int, stratum int, t int, top_ long, cut_ long"))
+        whole = Window.partitionBy(*keys, "t").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows
+        placed = parts.where(observed_).withColumn("before", F.coalesce(F.sum("k").over(whole), F.lit(0))).join(cells, [*keys, "t"])
+        last = F.col("before") + F.col("k")
+        through = ((F.col("before") < F.col("top_")) & (last > F.col("top_"))) | ((F.col("before") < F.col("cut_")) & (last > F.col("cut_")))
+        cutting = F.broadcast(placed.where(through).select(*keys, "t", "range_", F.col("before").alias("lower_"), "top_", "cut_"))
+        values = each.join(cutting, [*keys, "t", "range_"]).groupBy(*keys, "range_", "y").agg(F.sum("w").alias("k"), *[F.any_value(c).alias(c) for c in ("lower_", "top_", "cut_")])
+        inner = Window.partitionBy(*keys, "range_").orderBy("y").rowsBetween(Window.unboundedPreceding, -1)
+        values = values.withColumn("before", F.col("lower_") + F.coalesce(F.sum("k").over(inner), F.lit(0))).select(*keys, "k", F.col("y").alias("v"), "before", "top_", "cut_")
+        rest = placed.where(~through).select(*keys, "k", (F.col("s") / F.col("k")).alias("v"), "before", "top_", "cut_")
+        low = F.greatest(F.lit(0), F.least(F.col("k"), F.col("top_") - F.col("before")))  # kept when the top goes
+        high = F.greatest(F.lit(0), F.least(F.col("k"), F.col("before") + F.col("k") - F.col("cut_")))  # kept when the bottom goes
+        sums = values.unionByName(rest).groupBy(*keys).agg(F.sum(low * F.col("v")).alias("a"), F.sum(low).alias("na"), F.sum(high * F.col("v")).alias("b_"), F.sum(high).alias("nb")).collect()  # a row per replicate and stratum
+        drawn: dict[int, list[tuple[float, float, int]]] = {}
+        for r in sums:
+            one, m0, m1, size = known[r.b, r.stratum]
+            if r.na and r.nb and (not x or size >= least):
+                below, above = r.a / r.na, r.b_ / r.nb
+                drawn.setdefault(r.b, []).append((below - m0, above - m0, size) if one else (m1 - above, m1 - below, size))
+        mean = {b: (np.array([d[:2] for d in each_]).T @ np.array([float(d[2]) for d in each_]) / sum(d[2] for d in each_)).tolist() for b, each_ in drawn.items()}
+        first, others = mean.pop(0, [None, None]), np.array(list(mean.values())).reshape(-1, 2)
+        se = others.std(0, ddof=1).tolist() if len(others) > 1 else [None, None]
+        ends = [float(np.quantile(others[:, 0], alpha / 2)), float(np.quantile(others[:, 1], 1 - alpha / 2))] if len(others) else [None, None]
+        return df.sparkSession.createDataFrame([(*first, *se, *ends, len(others))], "lower double, upper double, se_lower double, se_upper double, ci_lower double, ci_upper double, replicates long")
+    finally:
+        parts.unpersist()
+        own.unpersist()
 
 
 def attrition_test(df: DataFrame, t: str, observed: str, by: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:

@@ -106,3 +106,17 @@ def test_selection_hazard(rows):
     d = np.array([N().pdf(v) for v in eta])
     score = (np.array([r.t for r in got]) - p) * d / (p * (1 - p))
     assert abs(score.sum()) < 0.05 and abs(score @ np.array([r.x for r in got])) < 0.05 and np.allclose([r.hazard for r in got], d / (1 - p), rtol=1e-3)
+
+
+def test_lee_intervals_deal_no_values_to_replicates(spark, monkeypatch, rows):
+    """Only the ranges that a trimming cuts through are ranked: the same bounds, whatever the ranges, with ties and a stratum that lacks an arm."""
+    df = rows[0].withColumns({"y": F.round("y", 1), "t": F.when(F.col("x") < -1.5, 1).otherwise(F.col("t"))})
+    found = []
+    for ranges in (4, 64):
+        monkeypatch.setattr(experiments, "RANGES", ranges)
+        found.append([tuple(experiments.lee_intervals(df, "y", "t", "o", "id", 10, x=x, strata=12, seed=2).first()) for x in (None, "x")])
+    assert np.allclose(*found)
+    plain, inner = experiments.lee_bounds(df, "y", "t", "o").first(), experiments.lee_bounds_tightened(df, "y", "t", "o", "x", 12).first()
+    assert np.allclose([r[:2] for r in found[0]], [(plain.lower, plain.upper), (inner.lower, inner.upper)])
+    empty = experiments.lee_intervals(df.limit(0), "y", "t", "o", "id", 5).first()
+    assert empty.lower is None and empty.ci_upper is None and empty.replicates == 0
