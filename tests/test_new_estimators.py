@@ -33,6 +33,24 @@ def test_quantile_regression_is_the_linear_programme(spark):
         assert own["t"].exact
 
 
+def test_quantile_regression_of_many_copies(spark, monkeypatch):
+    """Copies of a row count as one vertex, and bands that lose the optimum are widened: the optimum is proven."""
+    rng = np.random.default_rng(5)
+    n = 90
+    t, x = rng.integers(0, 2, n), rng.normal(size=n)
+    y = 1 + t - 2 * x + rng.standard_t(3, n)
+    df = spark.createDataFrame([(float(a), int(b), float(c)) for a, b, c in zip(y, t, x, strict=True)] * 40, "y double, t int, x double")
+    design = np.column_stack([np.ones(n), t, x])
+    for band in (100_000, 10):
+        monkeypatch.setattr(quantile_regression, "BAND", band)
+        for tau in (0.3, 0.77):
+            got = quantile_regression.quantile_regression(df, "y", ["t", "x"], [tau]).collect()
+            assert all(r.exact and r.rounds < 40 and r.n == 40 * n for r in got)
+            assert np.allclose([r.estimate for r in got], best_vertex(design, y, tau))
+    r = quantile_regression.conditional_quantile_effects(df, "y", "t", [], [0.37]).first()
+    assert r.exact and r.estimate == pytest.approx(np.subtract(*[np.quantile(y[t == a], 0.37, method="inverted_cdf") for a in (1, 0)]))
+
+
 def test_quantile_regression_errors(spark):
     rng = np.random.default_rng(2)
     n, tau = 3_000, 0.7
