@@ -1,13 +1,14 @@
 """Models fitted to all bootstrap replicates at once, and the estimators that rest on them.
 
 A row's weight in a replicate is a Poisson draw of a hash of its key.  Rows are
-multiplied only on their way into partial sums: a Newton step for all replicates is one
-grouped pass that brings a Gram matrix per replicate to the driver, and each
+multiplied only on their way into partial sums, or, where few rows differ, counted per
+replicate first: a Newton step for all replicates is one grouped pass that brings a Gram matrix per replicate to the driver, and each
 replicate's coefficients go back as arrays within expressions."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from copy import copy
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,10 @@ from .propensity import BinaryModel, normal_cdf, normal_density, with_outcome_mo
 from .resampling import draw, poisson_weight
 
 
+#: Distinct rows are counted first where they are fewer than one in so many rows.
+FEW = 4
+
+
 class Replicates:
     """rows, each with its weight w in replicate b; b = 0 has the rows as they are."""
 
@@ -29,6 +34,14 @@ class Replicates:
         self.n = replicates + 1
         self.rows = each.withColumn("w", F.when(F.col("b") == 0, 1).otherwise(poisson_weight(seed, "b", key))).where("w > 0")
 
+    def counted(self, columns: Sequence[str], distinct: int, of: int) -> Replicates:
+        """The same replicates by distinct values of ``columns``, counted in one pass and kept, where about ``distinct`` of ``of`` rows are few; otherwise these.  Every step is then a pass over those alone."""
+        if distinct * FEW > of:
+            return self
+        out = copy(self)
+        out.rows = self.rows.groupBy("b", *columns).agg(F.sum("w").alias("w")).persist(StorageLevel.MEMORY_AND_DISK)
+        return out
+
     def line(self, betas: np.ndarray, columns: Sequence[Column]) -> Column:
         """The replicate's coefficients times the columns."""
         return sum((F.get(F.lit(betas[:, j].tolist()), F.col("b")) * c for j, c in enumerate(columns)), F.lit(0.0))
@@ -99,7 +112,7 @@ def nonlinear_control_function(df: DataFrame, y: str, d: str, zs: Sequence[str],
     names, insts = [f"x{i}" for i in range(len(xs))], [f"z{i}" for i in range(len(zs))]
     rows = frame(df, {"y": y, "d": d, **dict(zip(names, xs, strict=True)), **dict(zip(insts, zs, strict=True))}, (), [key])
     shape = f"{SUMMARY}, coefficient double, rho double, first_stage_f double, n long"
-    seen = rows.agg(F.count(F.lit(1)), *[f(c) for c in ("d", *names, *insts) for f in (F.avg, F.stddev_pop)]).first()
+    seen = rows.agg(F.count(F.lit(1)), *[f(c) for c in ("d", *names, *insts) for f in (F.avg, F.stddev_pop)], F.approx_count_distinct(F.struct("y", "d", *names, *insts))).first()
     n = seen[0]
     if n <= len(xs) + len(zs) + 3:
         return df.sparkSession.createDataFrame([(*[None] * 5, 0, None, None, None, n)], shape)
@@ -107,7 +120,7 @@ def nonlinear_control_function(df: DataFrame, y: str, d: str, zs: Sequence[str],
     scale = {c: (seen[1 + 2 * i], seen[2 + 2 * i] or 1.0) for i, c in enumerate(("d", *names, *insts))}
     rows = rows.withColumns({c: (F.col(c) - m) / s for c, (m, s) in scale.items()}).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        r = Replicates(rows, key, replicates, seed)
+        r = Replicates(rows, key, replicates, seed).counted(["y", "d", *names, *insts], seen[-1], n)
         exog = [F.lit(1.0), *map(F.col, insts), *map(F.col, names)]
         first, _ = r.fitted(F.col("d"), exog)
         residual = F.col("d") - r.line(np.nan_to_num(first), exog)
@@ -120,6 +133,7 @@ def nonlinear_control_function(df: DataFrame, y: str, d: str, zs: Sequence[str],
         rss, rss0 = solve(m)[2], solve(m[np.ix_([*range(len(names) + 1), len(m) - 1], [*range(len(names) + 1), len(m) - 1])])[2]
         f = float((rss0 - rss) / len(zs) / (rss / (n - len(m) + 1))) if rss > 0 else None
         known = lambda v: float(v) if np.isfinite(v) else None
+        r.rows.unpersist()
         out = (*_summary(effect, alpha), known(beta[0, 1] / scale["d"][1]), known(beta[0, 2] / scale["d"][1]), f, n)
         return df.sparkSession.createDataFrame([out], shape)
     finally:
@@ -139,15 +153,19 @@ def mediation_effects(
     names = [f"x{i}" for i in range(len(xs))]
     rows = frame(df, {"y": y, "t": t, "m": m, **dict(zip(names, xs, strict=True))}, (), [key])
     shape, kinds = f"effect string, {SUMMARY}, n long", ("total", "direct", "indirect", "mediated")
-    n = rows.count()
+    of_m, of_y = ["m", "t", *names], ["y", "t", "m", *names]
+    n, *few = rows.agg(F.count(F.lit(1)), *[F.approx_count_distinct(F.struct(*c)) for c in (of_m, of_y)]).first()
     if n <= len(xs) + 3:
         return df.sparkSession.createDataFrame([(k, *[None] * 5, 0, n) for k in kinds], shape)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         r = Replicates(rows, key, replicates, seed)
         x = [F.col(c) for c in names]
-        a, spread = r.fitted(F.col("m"), [F.lit(1.0), F.col("t"), *x], mediator)
-        b, _ = r.fitted(F.col("y"), [F.lit(1.0), F.col("t"), F.col("m"), *x], outcome)
+        by_m, by_y = r.counted(of_m, few[0], n), r.counted(of_y, few[1], n)
+        a, spread = by_m.fitted(F.col("m"), [F.lit(1.0), F.col("t"), *x], mediator)
+        b, _ = by_y.fitted(F.col("y"), [F.lit(1.0), F.col("t"), F.col("m"), *x], outcome)
+        by_m.rows.unpersist()
+        by_y.rows.unpersist()
         bad = ~(np.isfinite(a).all(1) & np.isfinite(b).all(1))
         a, b, sd = np.nan_to_num(a), np.nan_to_num(b), np.sqrt(np.nan_to_num(spread))
         r.rows = r.rows.withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(simulations))))

@@ -223,3 +223,18 @@ def test_historical_decomposition(system):
     for r in rows:
         total[r.t, r.variable] = total.get((r.t, r.variable), 0) + r.value
     assert np.allclose([total[s, "x"] for s in range(1, 60)], own[1:, 0])
+
+
+def test_replicates_by_distinct_rows(spark, monkeypatch):
+    """Few distinct rows are counted per replicate before models are fitted, with the same results as from all rows."""
+    n, rng = 3_000, np.random.default_rng(8)
+    z, x, d, t, y = rng.integers(0, 2, n), rng.integers(0, 4, n), rng.integers(0, 5, n), rng.integers(0, 2, n), rng.normal(size=n)
+    df = spark.createDataFrame([(i, *map(int, r[:-1]), float(r[-1])) for i, r in enumerate(zip(z, x, d, t, (z + x + d + t + rng.normal(0, 3, n) > 5), y, strict=True))], "id long, z int, x int, d int, t int, h int, y double")
+    fitted, out, seen = replicated.Replicates.fitted, [], []
+    monkeypatch.setattr(replicated.Replicates, "fitted", lambda self, *a, **k: seen[-1].append(self.rows.count()) or fitted(self, *a, **k))
+    for few in (1, 10**9):
+        monkeypatch.setattr(replicated, "FEW", few)
+        seen.append([])
+        out.append([tuple(replicated.nonlinear_control_function(df, "h", "d", ["z"], "id", ["x"], replicates=4).first())] + [tuple(r)[1:] for r in replicated.mediation_effects(df, "y", "t", "h", "id", ["x"], mediator="logit", simulations=2, replicates=4).collect()])
+    assert all(np.allclose(a, b, rtol=1e-7) for a, b in zip(*out, strict=True))
+    assert max(seen[0][:3]) <= 5 * 2 * 4 * 5 * 2 and min(seen[1]) > n
