@@ -10,16 +10,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .moments import LeastSquares, centred, cross_products, frame, grouped, inferred, inverted, join_by, number, square
+from .moments import LeastSquares, centred, cross_products, each_row, frame, grouped, inferred, inverted, join_by, number, square
 from .panels import unit_means
 from .propensity import BinaryModel, with_outcome_models
 from .ranks import quantiles, weighted_quantiles
 from .resampling import poisson_weight
 
 
+#: Widths, as shares of the rows on either side, of the brackets around quantiles in replicates.
+SLACKS = (0.05, 0.2, 1.0)
+
+
 def _line(beta: Sequence[float], xs: Sequence[str | Column]) -> Column:
     return sum((float(b) * number(x) for b, x in zip(beta[1:], xs, strict=True) if np.isfinite(b)), F.lit(float(beta[0])))
 
@@ -233,7 +238,7 @@ def panel_quantile_gaps(df: DataFrame, y: str, d: str, unit: str, taus: Sequence
     A unit's weight in a replicate is a Poisson draw of a hash.  Quantiles are exact: of
     each unit the rows below a bracket around the quantile are counted, only those in it
     are dealt to replicates, and a bracket that some replicate's quantile leaves is
-    widened.  Replicates in which an arm has no rows are left out."""
+    widened; the first is five errors of a share of so many units, 0.05 at most.  Replicates in which an arm has no rows are left out."""
     rows = df.select(F.col(unit).alias("unit"), number(d).alias("arm"), number(y).alias("v")).where("v IS NOT NULL AND NOT isnan(v) AND arm IN (0, 1)")
     n, units, arms = rows.agg(F.count(F.lit(1)), F.count_distinct("unit"), F.count_distinct("arm")).first()
     shape = "tau double, estimate double, se double, ci_lower double, ci_upper double, replicates long, n long, n_units long"
@@ -241,18 +246,20 @@ def panel_quantile_gaps(df: DataFrame, y: str, d: str, unit: str, taus: Sequence
         return df.sparkSession.createDataFrame([(float(t), None, None, None, None, 0, n, units) for t in taus], shape)
     each = F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("b")
     weight = F.when(F.col("b") == 0, 1).otherwise(poisson_weight(seed, "b", "unit"))
-    for slack in (0.05, 0.2, 1.0):
+    for slack in sorted({min(SLACKS[0], 2.5 / units**0.5), *SLACKS}):
         ends = quantiles(rows, "v", [*[max(t - slack, 0.0) for t in taus], *[min(t + slack, 1.0) for t in taus]], ["arm"])
-        both = join_by(rows, ends, ["arm"])
+        both = join_by(rows, each_row(ends, lambda r: r, "arm double, q array<double>"), ["arm"])
         low, high = lambda i: F.col("q")[i], lambda i: F.col("q")[i + len(taus)]
         counts = both.groupBy("unit", "arm").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.count_if(F.col("v") < low(i)) for i in range(len(taus))]).alias("below"))
         dealt = counts.select("unit", "arm", "n", "below", each).withColumn("w", weight)
-        groups = dealt.groupBy("b", "arm").agg(F.sum(F.col("w") * F.col("n")).alias("total"), F.array(*[F.sum(F.col("w") * F.col("below")[i]) for i in range(len(taus))]).alias("below"))
+        groups = dealt.groupBy("b", "arm").agg(F.sum(F.col("w") * F.col("n")).alias("total"), F.array(*[F.sum(F.col("w") * F.col("below")[i]) for i in range(len(taus))]).alias("below")).where("total > 0").persist(StorageLevel.MEMORY_AND_DISK)  # two rows a replicate
         inside = both.select("unit", "arm", "v", F.explode(F.array(*[F.when(F.col("v").between(low(i), high(i)), i) for i in range(len(taus))])).alias("i")).where("i IS NOT NULL")
         values = inside.groupBy("unit", "arm", "v", "i").agg(F.count(F.lit(1)).alias("n")).select("*", each).withColumn("k", weight * F.col("n"))
-        values = values.groupBy("b", "arm", "i", "v").agg(F.sum("k").alias("k"))
-        found = {(r["b"], r["arm"]): r["q"] for r in weighted_quantiles(groups.where("total > 0"), values, taus, ["b", "arm"]).collect()}  # two rows a replicate
-        wanted = {(r["b"], r["arm"]) for r in groups.where("total > 0").select("b", "arm").collect()}
+        values = values.groupBy("b", "arm", "i", "v").agg(F.sum("k").alias("k")).persist(StorageLevel.MEMORY_AND_DISK)
+        found = {(r["b"], r["arm"]): r["q"] for r in weighted_quantiles(groups, values, taus, ["b", "arm"]).collect()}  # two rows a replicate
+        wanted = {(r["b"], r["arm"]) for r in groups.select("b", "arm").collect()}
+        groups.unpersist()
+        values.unpersist()
         if all(k in found and None not in found[k] for k in wanted):
             break
     out = []

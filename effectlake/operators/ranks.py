@@ -22,6 +22,19 @@ WINDOW = 1_000_000
 ACCURACY = 10_000
 
 
+def place(c: Column, ends: Sequence[float], below: bool = False) -> Column:
+    """How many of the sorted ``ends`` are at most c, or with ``below`` less than it, by halving; 0 for a null."""
+
+    def halved(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        first = c <= float(ends[mid]) if below else c < float(ends[mid])
+        return F.when(first, halved(low, mid)).otherwise(halved(mid + 1, high))
+
+    return F.when(c.isNull(), 0).otherwise(halved(0, len(ends)))
+
+
 def _held(table: DataFrame, by: Sequence[str], shape: str) -> DataFrame:
     """A table of a row per segment, worked out once: few segments are broadcast to their rows, which then need no sort by a key of few values."""
     return each_row(table, lambda r: r, ", ".join([*types(table, by), shape]))
@@ -91,7 +104,7 @@ def weighted_quantiles(groups: DataFrame, values: DataFrame, taus: Sequence[floa
     ``groups`` has by..., total (the sum of weights) and below, an array over ``taus`` of
     the weights of values smaller than any given for it; ``values`` has by..., i (the
     place in ``taus``), v and k (the weight), a row per distinct value."""
-    each = join_by(running(values.where("k > 0"), "v", "k", [*by, "i"]), groups, by)
+    each = join_by(running(values.where("k > 0"), "v", "k", [*by, "i"]), _held(groups.select(*by, "total", "below"), by, "total long, below array<long>"), by)
     each = each.withColumn("before", F.col("before") + F.col("below")[F.col("i")])
     at = [F.lit(float(t)) * (F.col("total") - 1) for t in taus]
     holds = lambda i, p: F.max(F.when((F.col("i") == i) & (F.col("before") <= p) & (p < F.col("before") + F.col("k")), F.col("v")))

@@ -4,8 +4,9 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from effectlake.operators import cointegration, dynamic, learners, marginal_effects, propensity, quantile_regression
+from effectlake.operators import cointegration, dynamic, learners, marginal_effects, propensity, quantile_regression, ranks
 from effectlake.operators.resampling import poisson_weight
 
 
@@ -256,3 +257,21 @@ def test_error_correction(walks):
     with pytest.raises(ValueError):
         cointegration.johansen_test(df, "series", "t", ["x"], 2)
     assert cointegration.johansen_test(df.limit(4), "series", "t", ["x", "y"], 2).count() == 0
+
+
+def test_places_by_halving(spark):
+    ends = [-1.0, 0.0, 0.5, 2.0]
+    df = spark.createDataFrame([(v,) for v in (-2.0, -1.0, 0.2, 0.5, 2.0, 3.0, None)], "v double")
+    for below, side in ((False, "right"), (True, "left")):
+        for r in df.select("v", ranks.place(F.col("v"), ends, below).alias("k")).collect():
+            assert r.k == (0 if r.v is None else np.searchsorted(ends, r.v, side))
+
+
+def test_panel_quantile_gaps_widen_their_brackets(spark, monkeypatch):
+    """Brackets that units of one size justify are too narrow where a unit is a lump: the same results as from all rows."""
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(int(u % 400 if u < 2_000 else -(u % 3)), int(u % 2), float(v)) for u, v in enumerate(rng.normal(size=4_000))], "unit int, d int, y double")
+    df = df.withColumn("y", F.col("y") + F.when(F.col("unit") < 0, F.col("unit") * 2).otherwise(0))
+    got = [tuple(r) for r in learners.panel_quantile_gaps(df, "y", "d", "unit", [0.25, 0.5], 20).collect()]
+    monkeypatch.setattr(learners, "SLACKS", (1.0,))
+    assert np.allclose(got, [tuple(r) for r in learners.panel_quantile_gaps(df, "y", "d", "unit", [0.25, 0.5], 20).collect()])
