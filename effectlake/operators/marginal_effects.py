@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .learners import _line
 from .moments import LeastSquares, inferred, number
 from .propensity import BinaryModel
-from .ranks import quantiles
+from .ranks import place, quantiles
 from .resampling import poisson_weight
 
 
@@ -76,12 +76,12 @@ def local_iv(
     edges = np.unique(np.concatenate([grid - bandwidth, grid + bandwidth]))
     middles = [0.0, *((edges[1:] + edges[:-1]) / 2).tolist()]
     rows = own.select(F.col("p__").alias("p"), (F.col("y__") - mean).alias("y"), *([F.col(key).alias("key")] if key else []))
-    rows = rows.withColumn("bin", F.size(F.filter(F.lit(edges.tolist()), lambda e: e <= F.col("p"))))
+    rows = rows.withColumn("bin", place(F.col("p"), edges))
     rows = rows.withColumn("v", (F.col("p") - F.get(F.lit(middles), F.col("bin"))) / bandwidth)
     rows = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates if key else 0))))
     w = F.when(F.col("b") == 0, 1).otherwise(poisson_weight(seed, "b", "key")) if key else F.lit(1)
     rows = rows.withColumn("w", w)
-    power = lambda j: F.lit(1.0) if j == 0 else F.col("v") ** j
+    power = lambda j: F.lit(1.0) if j == 0 else F.col("v") * power(j - 1)
     sums = rows.groupBy("b", "bin").agg(F.array(*[F.sum(F.col("w") * power(j)) for j in range(5)], *[F.sum(F.col("w") * F.col("y") * power(j)) for j in range(4)]).alias("s")).collect()  # bins x replicates
     curves: dict[int, dict[int, np.ndarray]] = {}
     for r in sums:
@@ -98,8 +98,8 @@ def policy_effects(curve: DataFrame, scored: DataFrame, p: str, moved: str, d: s
     """Ate, att, atu and prte: the curve's mean; its means by the shares of treated above, and untreated below, each point; and by the gain in the share above each point when propensities p become ``moved``, from one aggregate of counts between the grid's points."""
     points = curve.orderBy("u").collect()  # the grid
     us, mte = np.array([r["u"] for r in points]), np.array([r["mte"] if r["mte"] is not None else np.nan for r in points])
-    place = lambda c: F.size(F.filter(F.lit(us.tolist()), lambda u: u < number(c)))
-    counts = scored.groupBy(place(p).alias("k"), place(moved).alias("m"), number(d).alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()  # grid x grid at most
+    rows = scored.select(number(p).alias("p"), number(moved).alias("m"), number(d).alias("d"))
+    counts = rows.groupBy(place(F.col("p"), us, True).alias("k"), place(F.col("m"), us, True).alias("m"), "d").agg(F.count(F.lit(1)).alias("n")).collect()  # grid x grid at most
     above = lambda k: (np.arange(len(us)) < k).astype(float)
     att = sum((r["n"] * above(r["k"]) for r in counts if r["d"] == 1), np.zeros(len(us)))
     atu = sum((r["n"] * (1 - above(r["k"])) for r in counts if r["d"] == 0), np.zeros(len(us)))
